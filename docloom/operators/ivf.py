@@ -1,0 +1,162 @@
+"""Approximate vector search by inverted lists, for indexes too large to scan.
+
+The index is stored partitioned by its nearest centroid; a query reads only the
+lists of its ``nprobe`` nearest centroids.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small
+from docloom.operators.similarity import _ranked, matrix, scan_topk, similarity_topk
+
+# Training vectors per centroid; more do not move the centroids.
+_TRAIN_PER_LIST = 256
+
+
+def train_centroids(index: DataFrame, lists: int, seed: int = 7) -> np.ndarray:
+    """``lists`` unit-length centroids, trained by k-means on a sample of the index."""
+    rows = index.filter(F.col("embedding").isNotNull())
+    fraction = min(1.0, lists * _TRAIN_PER_LIST / max(1, rows.count()))
+    sample = rows.sample(fraction, seed) if fraction < 1.0 else rows
+    model = KMeans(k=lists, seed=seed, featuresCol="v").fit(
+        sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
+    centers = np.stack(model.clusterCenters())
+    return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+
+
+def assign_lists(index: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """Adds ``list_id``, the centroid with the highest dot product; no shuffle."""
+    schema = T.StructType(index.schema.fields + [T.StructField("list_id", T.IntegerType())])
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows, good = matrix(frame["embedding"], centroids.shape[1])
+            usable = frame[good]
+            yield usable.assign(list_id=np.argmax(rows @ centroids.T, axis=1).astype("int32") if len(rows) else
+                                np.zeros(0, dtype="int32"))
+
+    return index.mapInPandas(assign, schema)
+
+
+def write_lists(assigned: DataFrame, path: str, salts: int = 1) -> None:
+    """Store the lists as folders; ``salts`` tasks share the writing of each list."""
+    salted = assigned.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
+    salted.repartition("list_id", "_salt").drop("_salt").write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def ann_topk(queries: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int, nprobe: int) -> DataFrame:
+    """Best k chunks among each query's ``nprobe`` nearest lists; all lists give the exact answer.
+
+    Within a task rows are scored list by list against the queries that probe
+    that list, so a list that holds most of the index is just more splits of it.
+    """
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = asked.filter(F.col("embedding").isNotNull())
+    _, small = collect_if_small(asked, F.size("embedding") * 8, MAX_SIDE_ROWS, MAX_SIDE_BYTES)
+    dim = centroids.shape[1]
+    nprobe = min(nprobe, len(centroids))
+    if small is None:
+        return _ann_join(asked, lists, centroids, k, nprobe)
+    frame = small.to_pandas()
+    query_matrix, good = matrix(frame["embedding"], dim)
+    query_ids = frame["query_id"].to_numpy()[good]
+    probes = np.argsort(-(query_matrix @ centroids.T), axis=1, kind="stable")[:, :nprobe]
+    asking = {c: np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
+    out = T.StructType([
+        T.StructField("query_id", asked.schema["query_id"].dataType),
+        T.StructField("chunk_id", lists.schema["chunk_id"].dataType),
+        T.StructField("score", T.DoubleType())])
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            for c, rows in part.groupby("list_id"):
+                who = asking.get(c)
+                if who is None:
+                    continue
+                vectors, usable = matrix(rows["embedding"], dim)
+                best = scan_topk(query_matrix[who], k)(iter([(rows["chunk_id"].to_numpy()[usable], vectors)]))
+                if best is not None:
+                    yield pd.DataFrame({"query_id": query_ids[who][best["q"]], "chunk_id": best["chunk_id"].to_numpy(),
+                                        "score": best["score"].to_numpy()})
+
+    wanted = lists.filter(F.col("list_id").isin([int(c) for c in asking]))
+    return _ranked(wanted.select("chunk_id", "embedding", "list_id").mapInPandas(scored, out), k)
+
+
+def _ann_join(asked: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int, nprobe: int,
+              block: int = 100_000) -> DataFrame:
+    """For query sets beyond the bound: join on (list, query block, index block).
+
+    List sizes decide how many blocks each list is cut into, so a hot list is many groups.
+    """
+    probe_schema = T.StructType(asked.schema.fields + [T.StructField("list_id", T.IntegerType())])
+
+    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows, good = matrix(frame["embedding"], centroids.shape[1])
+            usable = frame[good]
+            nearest = np.argsort(-(rows @ centroids.T), axis=1, kind="stable")[:, :nprobe]
+            out = usable.loc[usable.index.repeat(nprobe)]
+            yield out.assign(list_id=nearest.ravel().astype("int32"))
+
+    probing = asked.mapInPandas(probe, probe_schema)
+
+    def blocks_of(df: DataFrame) -> dict[int, int]:
+        return {r["list_id"]: max(1, -(-r["count"] // block)) for r in df.groupBy("list_id").count().collect()}
+
+    q_blocks, i_blocks = blocks_of(probing), blocks_of(lists)
+
+    def count_column(counts: dict[int, int]):
+        pairs = [F.lit(x) for kv in counts.items() for x in kv]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("list_id")), F.lit(1))
+
+    def number(counts: dict[int, int]):
+        return F.explode(F.sequence(F.lit(0), count_column(counts) - 1))
+
+    def own(key: str, counts: dict[int, int]):
+        return F.pmod(F.xxhash64(key), count_column(counts)).cast("int")
+
+    left = probing.withColumn("qb", own("query_id", q_blocks)).withColumn("ib", number(i_blocks))
+    right = (lists.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), "list_id")
+             .withColumn("ib", own("chunk_id", i_blocks)).withColumn("qb", number(q_blocks)))
+    out = T.StructType([
+        T.StructField("query_id", asked.schema["query_id"].dataType),
+        T.StructField("chunk_id", lists.schema["chunk_id"].dataType),
+        T.StructField("score", T.DoubleType())])
+    names = out.fieldNames()
+
+    def meet(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        best = None
+        if not (q.empty or i.empty):
+            query_matrix, good = matrix(q["embedding"], centroids.shape[1])
+            rows, usable = matrix(i["embedding"], centroids.shape[1])
+            best = scan_topk(query_matrix, k)(iter([(i["chunk_id"].to_numpy()[usable], rows)]))
+        if best is None:
+            return pd.DataFrame({n: [] for n in names})
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[good][best["q"]],
+                             "chunk_id": best["chunk_id"].to_numpy(), "score": best["score"].to_numpy()})
+
+    keys = ["list_id", "qb", "ib"]
+    return _ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, out), k)
+
+
+def recall_against_exact(queries: DataFrame, index: DataFrame, approximate: DataFrame, k: int) -> float:
+    """Share of the exact best k that the approximate search found."""
+    exact = similarity_topk(queries, index, k).select("query_id", "chunk_id")
+    found = exact.join(approximate.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    total = exact.count()
+    return found.count() / total if total else 1.0
