@@ -88,7 +88,8 @@ def two_step(candidates: DataFrame, query: str, text: str, k: int, weight: float
     """Best k of semantic candidates by ``weight`` x score + (1 - ``weight``) x word overlap."""
     mixed = candidates.withColumn("keyword_score", F.round(overlap_score(F.col(query), F.col(text)), DECIMALS))
     both = F.lit(weight) * F.col("score") + F.lit(1 - weight) * F.col("keyword_score")
-    return rerank(mixed.withColumn("combined_score", F.round(both, DECIMALS)), F.desc("combined_score"), k)
+    # Halves of two rounded numbers fall on a rounding edge, hence the further digits.
+    return rerank(mixed.withColumn("combined_score", F.round(both, DECIMALS + 3)), F.desc("combined_score"), k)
 
 
 def expand_topk(variants: DataFrame, index: DataFrame, k: int, per_variant: int | None = None) -> DataFrame:

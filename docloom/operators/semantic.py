@@ -66,7 +66,8 @@ def neighbour_distances(sentences: Column, factory: Callable[[], Encoder] = Hash
                         a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
                         gaps[i] = 1.0 - (a @ b) / np.sqrt((a @ a) * (b @ b))
                 gaps[-1] = 0.0
-                out.append(gaps)
+                # Rounded, so that equal gaps compare equal whatever the order of summation.
+                out.append(np.round(gaps, 9) + 0.0)
             yield pd.Series(out)
 
     return distances(sentences)
