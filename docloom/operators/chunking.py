@@ -41,9 +41,12 @@ def _windows(n: Column, size: int, overlap: int, piece: Callable[[Column], Colum
 
 def token_windows(text: Column, size: int, overlap: int) -> Column:
     """Array of chunks of ``size`` tokens, each repeating the last ``overlap`` of the one before."""
+    return tx.let(tx.tokens(text), lambda toks: windows_of_tokens(toks, size, overlap))
+
+
+def windows_of_tokens(toks: Column, size: int, overlap: int) -> Column:
     check_overlap(size, overlap)
-    return tx.let(tx.tokens(text), lambda toks: _windows(
-        F.size(toks).cast("long"), size, overlap, lambda start: F.array_join(F.slice(toks, start, size), " ")))
+    return _windows(F.size(toks).cast("long"), size, overlap, lambda start: F.array_join(F.slice(toks, start, size), " "))
 
 
 def char_windows(text: Column, size: int, overlap: int) -> Column:

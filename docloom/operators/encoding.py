@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from docloom.functions.vectors import norm
 
 DIMENSION = 256
+# Texts given to an encoder at a time.
+_BATCH = 1024
 _GAP = re.compile("[ \t\n\x0b\f\r]+")
 
 
@@ -45,22 +47,26 @@ class HashingEncoder:
                 self._slots[token] = slot
         return slot
 
-    def counts(self, text: str) -> np.ndarray:
-        out = np.zeros(DIMENSION)
-        for token in _GAP.split(text):
-            if token:
-                bucket, sign = self._slot(token)
-                out[bucket] += sign
-        return out
+    def counts(self, texts: Sequence[str]) -> np.ndarray:
+        """Signed token counts, a row per text."""
+        slots, lengths = [], []
+        for text in texts:
+            found = [self._slot(t) for t in _GAP.split(text) if t] if text else []
+            slots.extend(found)
+            lengths.append(len(found))
+        if not slots:
+            return np.zeros((len(texts), DIMENSION))
+        buckets, signs = np.array(slots).T
+        cells = np.repeat(np.arange(len(texts)), lengths) * DIMENSION + buckets.astype(np.int64)
+        return np.bincount(cells, signs, len(texts) * DIMENSION).reshape(len(texts), DIMENSION)
 
     def encode(self, texts: Sequence[str]) -> tuple[list, list[str]]:
-        vectors, statuses = [], []
-        for text in texts:
-            v = self.counts(text or "")
-            length = np.sqrt(v @ v)
-            vectors.append(v / length if length > 0 else None)
-            statuses.append("SUCCESS" if length > 0 else "ERROR: no direction")
-        return vectors, statuses
+        rows = self.counts(texts)
+        lengths = np.sqrt((rows * rows).sum(axis=1))
+        good = lengths > 0
+        rows[good] /= lengths[good, None]
+        vectors = [row if ok else None for row, ok in zip(rows, good)]
+        return vectors, ["SUCCESS" if ok else "ERROR: no direction" for ok in good]
 
 
 class RemoteEncoder:
@@ -114,8 +120,10 @@ def embed(df: DataFrame, text: str, out: str = "embedding",
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = factory()
         for frame in frames:
-            vectors, statuses = encoder.encode(list(frame[text]))
-            yield frame.assign(**{out: pd.Series(vectors, index=frame.index, dtype=object), f"{out}_status": statuses})
+            for at in range(0, len(frame), _BATCH):
+                part = frame.iloc[at:at + _BATCH]
+                vectors, statuses = encoder.encode(list(part[text]))
+                yield part.assign(**{out: pd.Series(vectors, index=part.index, dtype=object), f"{out}_status": statuses})
 
     return df.mapInPandas(batches, schema)
 

@@ -107,6 +107,16 @@ def exact_percentiles(df: DataFrame, key: str, value: str, fractions: Sequence[f
     )
 
 
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for costly work per row.
+
+    A small or unsplittable file is read by one task. An input that already has
+    enough partitions, as any large one does, is left as it is and not shuffled.
+    """
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A copy of ``df`` in the shared checkpoint folder the session names."""
     context = df.sparkSession.sparkContext

@@ -26,24 +26,47 @@ MIN_SENTENCES = 3
 _HALVINGS = 31
 
 
+def _sized(part: Column) -> Column:
+    return F.struct(part.alias("part"), tx.token_count(part).alias("n"))
+
+
 def halve_long(sentence: Column, max_tokens: int) -> Column:
-    """The sentence as an array, halved at its middle character until each part fits."""
-    def halves(part: Column) -> Column:
-        n = F.char_length(part)
-        mid = F.floor(n / 2).cast("int")
-        both = F.array(F.substr(part, F.lit(1), mid), F.substr(part, mid + 1, n))
-        return F.when(tx.token_count(part) > max_tokens, both).otherwise(F.array(part))
+    """``array<struct<part, n>>``: the sentence halved at its middle character until each part fits."""
+    def halves(p: Column) -> Column:
+        length = F.char_length(p["part"])
+        mid = F.floor(length / 2).cast("int")
+        both = F.array(_sized(F.substr(p["part"], F.lit(1), mid)), _sized(F.substr(p["part"], mid + 1, length)))
+        return F.when(p["n"] > max_tokens, both).otherwise(F.array(p))
+
+    def halved(parts: Column, _: Column) -> Column:
+        long = F.exists(parts, lambda p: p["n"] > max_tokens)
+        return F.when(long, F.flatten(F.transform(parts, halves))).otherwise(parts)
 
-    parts = F.array(sentence)
-    for _ in range(_HALVINGS):
-        parts = F.flatten(F.transform(parts, halves))
-    return F.when(tx.token_count(sentence) > max_tokens, parts).otherwise(F.array(sentence))
+    return tx.let(_sized(sentence), lambda p: F.when(
+        p["n"] > max_tokens, F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), F.array(p), halved)).otherwise(F.array(p)))
 
 
 def fitting_sentences(text: Column, max_tokens: int) -> Column:
+    """Sentences as ``array<struct<part, n>>``, ``n`` being the token count."""
     return F.flatten(F.transform(tx.sentences(text), lambda s: halve_long(s, max_tokens)))
 
 
+def _gaps(texts: list[str], encoder: Encoder) -> np.ndarray:
+    gaps = np.ones(len(texts))
+    vectors, _ = encoder.encode(texts)
+    known = np.array([v is not None for v in vectors])
+    if known.any():
+        dim = len(next(v for v in vectors if v is not None))
+        rows = np.stack([np.asarray(v, dtype=float) if v is not None else np.zeros(dim) for v in vectors])
+        lengths = np.sqrt((rows * rows).sum(axis=1))
+        dots = (rows[:-1] * rows[1:]).sum(axis=1)
+        both = known[:-1] & known[1:]
+        gaps[:-1][both] = 1.0 - dots[both] / (lengths[:-1] * lengths[1:])[both]
+    gaps[-1] = 0.0
+    # Rounded, so that equal gaps compare equal whatever the order of summation.
+    return np.round(gaps, 9) + 0.0
+
+
 def neighbour_distances(sentences: Column, factory: Callable[[], Encoder] = HashingEncoder) -> Column:
     """Cosine distance of each sentence to the next one; 0 for the last.
 
@@ -53,24 +76,11 @@ def neighbour_distances(sentences: Column, factory: Callable[[], Encoder] = Hash
     def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = factory()
         for column in batches:
-            out = []
-            for texts in column:
-                if texts is None or len(texts) == 0:
-                    out.append(np.zeros(0))
-                    continue
-                vectors, _ = encoder.encode(list(texts))
-                gaps = np.ones(len(texts))
-                for i in range(len(texts) - 1):
-                    a, b = vectors[i], vectors[i + 1]
-                    if a is not None and b is not None:
-                        a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-                        gaps[i] = 1.0 - (a @ b) / np.sqrt((a @ a) * (b @ b))
-                gaps[-1] = 0.0
-                # Rounded, so that equal gaps compare equal whatever the order of summation.
-                out.append(np.round(gaps, 9) + 0.0)
-            yield pd.Series(out)
+            yield pd.Series([_gaps(list(texts), encoder) if texts is not None and len(texts) else np.zeros(0)
+                             for texts in column])
 
-    return distances(sentences)
+    # Marked so that a later filter is not moved below it, which would run it twice.
+    return distances.asNondeterministic()(sentences)
 
 
 def array_percentile(values: Column, fraction: float) -> Column:
@@ -84,7 +94,6 @@ def array_percentile(values: Column, fraction: float) -> Column:
     return F.when(F.size(values) > 0, tx.let(F.sort_array(values), at))
 
 
-@F.pandas_udf("array<struct<start int, len int>>")
 def _segments(counts: pd.Series, gaps: pd.Series, threshold: pd.Series, max_tokens: pd.Series,
               min_sentences: pd.Series) -> pd.Series:
     out = []
@@ -111,15 +120,16 @@ def segment(counts: Column, distances: Column, threshold: Column, max_tokens: in
     A group ends when the next sentence would exceed ``max_tokens``, or when it
     holds a multiple of ``min_sentences`` and the gap to the next is above the threshold.
     """
-    return _segments(counts, distances, F.coalesce(threshold, F.lit(0.0)), F.lit(max_tokens), F.lit(min_sentences))
+    grouped = F.pandas_udf(_segments, "array<struct<start int, len int>>").asNondeterministic()
+    return grouped(counts, distances, F.coalesce(threshold, F.lit(0.0)), F.lit(max_tokens), F.lit(min_sentences))
 
 
 def semantic_groups(df: DataFrame, text: str, max_tokens: int = MAX_CHUNK_SIZE, fraction: float = SPLIT_PERCENTILE,
                     min_sentences: int = MIN_SENTENCES,
                     factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
     """Adds the arrays ``sentences, token_counts, distances, groups`` and the ``threshold``."""
-    staged = df.withColumn("sentences", fitting_sentences(F.col(text), max_tokens))
-    staged = staged.withColumn("token_counts", F.transform("sentences", tx.token_count))
+    staged = df.withColumn("_parts", fitting_sentences(F.col(text), max_tokens))
+    staged = staged.withColumns({"sentences": F.col("_parts.part"), "token_counts": F.col("_parts.n")}).drop("_parts")
     staged = staged.withColumn("distances", neighbour_distances(F.col("sentences"), factory))
     between = F.slice(F.col("distances"), F.lit(1), F.greatest(F.size("distances") - 1, F.lit(0)))
     staged = staged.withColumn("threshold", array_percentile(between, fraction))

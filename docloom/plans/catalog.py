@@ -13,6 +13,7 @@ from docloom.operators import (
     chunking, cleaning, diagnosis, dialogue, encoding, experiments, feedback, indexing, ivf, keyword, metrics,
     parsing, ranking, responses, semantic, settings, similarity, splitting,
 )
+from docloom.operators.scaling import spread
 from docloom.plans import sweep
 from docloom.sources import inputs
 from docloom.streaming import monitor
@@ -20,6 +21,9 @@ from docloom.streaming import monitor
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Tables whose rows are costly to work on.
+TEXT_TABLES = {"documents", "pages"}
+
 
 class Tables:
     """The given tables as attributes."""
@@ -28,7 +32,8 @@ class Tables:
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return inputs.table(self._spark, self._dir, name)
+        df = inputs.table(self._spark, self._dir, name)
+        return spread(df) if name in TEXT_TABLES else df
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -258,8 +263,8 @@ SEMANTIC_MAX = 128
 @query
 def split_oversize_sentence(t: Tables) -> DataFrame:
     parts = semantic.fitting_sentences(F.col("text"), MAX_SENTENCE)
-    return t.documents.select("doc_id", F.posexplode(parts).alias("pos", "part")).select(
-        "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("part").alias("part_id"))
+    return t.documents.select("doc_id", F.posexplode(parts).alias("pos", "p")).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("p.part").alias("part_id"))
 
 
 @query

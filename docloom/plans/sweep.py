@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.chunking import char_windows, token_windows
 from docloom.functions import text as tx
+from docloom.operators.chunking import windows_of_tokens
 from docloom.plans.documents import Strategy, run_documents
 from docloom.sources.tables import MAX_SWEEP_TAGS, layout_for, tag_table
 
 
-def sweep_chunks(df: DataFrame, text: str, keep: list[str], specs: dict[str, tuple[int, int]],
-                 unit: str = "token") -> DataFrame:
-    """Chunks of every (size, overlap) spec: ``strategy, keep..., chunk_pos, chunked_text``.
+def sweep_chunks(df: DataFrame, text: str, keep: list[str], specs: dict[str, tuple[int, int]]) -> DataFrame:
+    """Chunks of every (size, overlap) spec: ``strategy, keep..., chunk_pos, chunked_text, chunk_id``.
 
-    Documents are read once; the strategies are exploded within each row.
+    Documents are read and split into tokens once; the strategies are exploded
+    within each row.
     """
-    window = {"token": token_windows, "char": char_windows}[unit]
-    by_spec = F.array(*[
-        F.struct(F.lit(name).alias("strategy"), window(F.col(text), size, overlap).alias("chunks"))
-        for name, (size, overlap) in specs.items()])
+    by_spec = tx.let(tx.tokens(F.col(text)), lambda toks: F.array(*[
+        F.struct(F.lit(name).alias("strategy"), windows_of_tokens(toks, size, overlap).alias("chunks"))
+        for name, (size, overlap) in specs.items()]))
     exploded = df.select(*keep, F.explode(by_spec).alias("s"))
     chunked = exploded.select("s.strategy", *keep, F.posexplode("s.chunks").alias("chunk_pos", "chunked_text"))
     return chunked.withColumn("chunk_id", tx.chunk_id(F.col("chunked_text")))
