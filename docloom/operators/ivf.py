@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small
-from docloom.operators.similarity import _ranked, matrix, scan_topk, similarity_topk
+from docloom.operators.similarity import _ranked, matrix, no_hits, scan_topk, similarity_topk
 
 # Training vectors per centroid; more do not move the centroids.
 _TRAIN_PER_LIST = 256
@@ -137,7 +137,6 @@ def _ann_join(asked: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int,
         T.StructField("query_id", asked.schema["query_id"].dataType),
         T.StructField("chunk_id", lists.schema["chunk_id"].dataType),
         T.StructField("score", T.DoubleType())])
-    names = out.fieldNames()
 
     def meet(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         best = None
@@ -146,7 +145,7 @@ def _ann_join(asked: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int,
             rows, usable = matrix(i["embedding"], centroids.shape[1])
             best = scan_topk(query_matrix, k)(iter([(i["chunk_id"].to_numpy()[usable], rows)]))
         if best is None:
-            return pd.DataFrame({n: [] for n in names})
+            return no_hits()
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[good][best["q"]],
                              "chunk_id": best["chunk_id"].to_numpy(), "score": best["score"].to_numpy()})
 

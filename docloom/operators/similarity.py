@@ -51,6 +51,11 @@ def candidates(scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"q": q, "chunk_id": ids[row], "score": scores[row, q]})
 
 
+def no_hits() -> pd.DataFrame:
+    # Typed as objects: an empty float column cannot become a column of strings.
+    return pd.DataFrame({n: pd.Series(dtype=object) for n in ("query_id", "chunk_id", "score")})
+
+
 def scan_topk(query_matrix: np.ndarray, k: int):
     """Function over (ids, matrix) pairs keeping the running best k per query."""
     def scan(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame | None:
@@ -130,17 +135,16 @@ def _join_blocks(asked: DataFrame, indexed: DataFrame, k: int, out: T.StructType
 
     left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("ib", number(i_blocks))
     right = indexed.withColumn("ib", F.pmod(F.xxhash64("chunk_id"), F.lit(i_blocks)).cast("int")).withColumn("qb", number(q_blocks))
-    names = out.fieldNames()
 
     def meet(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if q.empty or i.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return no_hits()
         dim = len(q["embedding"].iloc[0])
         query_matrix, good = matrix(q["embedding"], dim)
         rows, usable = matrix(i["embedding"], dim)
         best = scan_topk(query_matrix, k)(iter([(i["chunk_id"].to_numpy()[usable], rows)])) if len(query_matrix) else None
         if best is None:
-            return pd.DataFrame({n: [] for n in names})
+            return no_hits()
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[good][best["q"]],
                              "chunk_id": best["chunk_id"].to_numpy(), "score": best["score"].to_numpy()})
 

@@ -86,7 +86,8 @@ def chunk_recursive(df: DataFrame, text: str, size: int, overlap: int, keep: lis
             out = frame[keep].loc[frame.index.repeat(counts)].reset_index(drop=True)
             out["chunk_pos"] = [i for n in counts for i in range(n)]
             out["chunked_text"] = [c for chunks in split for c in chunks]
-            yield out
+            if len(out):
+                yield out
 
     chunks = kept.mapInPandas(batches, schema)
     return chunks.select(chunk_id(F.col("chunked_text")).alias("chunk_id"), *keep, "chunk_pos", "chunked_text")
