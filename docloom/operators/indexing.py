@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import id_bucket
 from docloom.operators.encoding import Encoder, HashingEncoder, embed
 from docloom.operators.scaling import cut_lineage
+from docloom.sources.tables import overwrite_partitions
 
 
 def index_changes(old: DataFrame, new: DataFrame, text: str = "chunked_text") -> DataFrame:
@@ -68,12 +69,7 @@ def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
         index.filter(F.col("bucket").isin(buckets)), chunks, changes, text, encoded).select(*order))
     # A bucket whose last chunk was deleted has no new rows to overwrite it with.
     emptied = set(buckets) - {r["bucket"] for r in rebuilt.select("bucket").distinct().collect()}
-    previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rebuilt.repartition("bucket").write.mode("overwrite").insertInto(index_table)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+    overwrite_partitions(rebuilt.repartition("bucket"), index_table)
     for bucket in emptied:
         spark.sql(f"ALTER TABLE {index_table} DROP IF EXISTS PARTITION (bucket = {int(bucket)})")
     spark.catalog.refreshTable(index_table)

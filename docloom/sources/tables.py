@@ -69,6 +69,17 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
     writer.saveAsTable(name)
 
 
+def overwrite_partitions(df: DataFrame, name: str) -> None:
+    """Replace those partitions of a table that ``df`` has rows for, and no others."""
+    conf = df.sparkSession.conf
+    previous = conf.get("spark.sql.sources.partitionOverwriteMode")
+    conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        df.write.mode("overwrite").insertInto(name)
+    finally:
+        conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+
+
 def append_table(df: DataFrame, name: str, checkpoint: str, continuous: str | None = None,
                  fmt: str = "parquet") -> StreamingQuery:
     """Append a stream to a table: everything available now, or every ``continuous`` interval."""

@@ -12,7 +12,7 @@ from docloom.operators.chunking import chunk_by_name
 from docloom.operators.parsing import split_status
 from docloom.plans.documents import parse_files
 from docloom.sources.files import stream_files
-from docloom.sources.tables import Layout, append_table, stream_table
+from docloom.sources.tables import Layout, append_table, overwrite_partitions, stream_table
 
 
 def _trigger(continuous: str | None) -> dict:
@@ -20,12 +20,15 @@ def _trigger(continuous: str | None) -> dict:
 
 
 def write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
-    """Store a micro-batch under its number; a repeated batch replaces itself."""
+    """Store a micro-batch under its number; a repeated batch replaces itself.
+
+    A reader that streams from the table while a batch is being repeated could
+    see that batch again, so stages are run one after the other.
+    """
     numbered = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
     if not rows.sparkSession.catalog.tableExists(table):
         numbered.limit(0).write.mode("ignore").partitionBy("batch_id").saveAsTable(table)
-    (numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .insertInto(table))
+    overwrite_partitions(numbered, table)
 
 
 def split_sink(stream: DataFrame, status: str, good_table: str, bad_table: str, checkpoint: str,
