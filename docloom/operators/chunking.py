@@ -117,10 +117,15 @@ def chunk_markdown(df: DataFrame, key: str, text: str, include_headers: bool = T
     return sections.select(tx.chunk_id(chunk).alias("chunk_id"), key, "section", chunk.alias("chunked_text"))
 
 
-def metadata_keys(df: DataFrame, contents: str = "doc_parsed_contents") -> list[str]:
-    """Distinct keys of the metadata map: the names, never the values, come to the driver."""
-    found = df.select(F.explode(F.map_keys(contents)).alias("k")).distinct()
-    return sorted(row["k"] for row in found.toLocalIterator())
+def metadata_keys(df: DataFrame, contents: str = "doc_parsed_contents", most: int = 10_000) -> list[str]:
+    """Distinct keys of the metadata map: the names, never the values, come to the driver.
+
+    More than ``most`` names cannot be columns; the map column holds them as they are.
+    """
+    found = df.select(F.explode(F.map_keys(contents)).alias("k")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} metadata keys: use the map column, or name the keys wanted")
+    return sorted(row["k"] for row in found)
 
 
 def metadata_columns(df: DataFrame, contents: str = "doc_parsed_contents", keep_body: bool = False,

@@ -37,12 +37,13 @@ def apply_changes(index: DataFrame, chunks: DataFrame, changes: DataFrame, text:
 
 
 def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
-               factory: Callable[[], Encoder] = HashingEncoder) -> dict[str, int]:
+               factory: Callable[[], Encoder] = HashingEncoder, files_per_bucket: int = 1) -> dict[str, int]:
     """Bring a stored index up to date with ``chunks (chunk_id, text, ...)``.
 
     The table is partitioned by ``bucket``, a hash of the chunk id. Buckets
     with a change are rebuilt and overwritten, others are not touched, and only
-    inserted and updated chunks are encoded. The new buckets are written to the
+    inserted and updated chunks are encoded. ``files_per_bucket`` tasks share
+    the writing of one bucket; raise it with the size of the index. The new buckets are written to the
     checkpoint folder before the table is overwritten, so a lost executor never
     leaves a half-read source.
     """
@@ -52,10 +53,14 @@ def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
     def encoded(df: DataFrame) -> DataFrame:
         return embed(df.select(*columns, id_bucket(F.col("chunk_id")).alias("bucket")), text, "embedding", factory)
 
+    def laid_out(df: DataFrame) -> DataFrame:
+        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(files_per_bucket)).alias("_salt")
+        return df.repartition(F.col("bucket"), salt) if files_per_bucket > 1 else df.repartition("bucket")
+
     order = [*columns, "embedding", "embedding_status", "bucket"]
     if not spark.catalog.tableExists(index_table):
         built = encoded(chunks).select(*order)
-        built.repartition("bucket").write.partitionBy("bucket").saveAsTable(index_table)
+        laid_out(built).write.partitionBy("bucket").saveAsTable(index_table)
         return {"insert": spark.read.table(index_table).count(), "update": 0, "delete": 0, "same": 0}
     index = spark.read.table(index_table)
     changes = cut_lineage(index_changes(index, chunks, text))
@@ -69,7 +74,7 @@ def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
         index.filter(F.col("bucket").isin(buckets)), chunks, changes, text, encoded).select(*order))
     # A bucket whose last chunk was deleted has no new rows to overwrite it with.
     emptied = set(buckets) - {r["bucket"] for r in rebuilt.select("bucket").distinct().collect()}
-    overwrite_partitions(rebuilt.repartition("bucket"), index_table)
+    overwrite_partitions(laid_out(rebuilt), index_table)
     for bucket in emptied:
         spark.sql(f"ALTER TABLE {index_table} DROP IF EXISTS PARTITION (bucket = {int(bucket)})")
     spark.catalog.refreshTable(index_table)

@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small
-from docloom.operators.similarity import _ranked, matrix, no_hits, scan_topk, similarity_topk
+from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small, few_tasks
+from docloom.operators.similarity import (
+    _ranked, best_k, hit_batch, list_matrix, matrix, no_hits, scan_topk, similarity_topk,
+)
 
 # Training vectors per centroid; more do not move the centroids.
 _TRAIN_PER_LIST = 256
@@ -38,14 +41,14 @@ def assign_lists(index: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Adds ``list_id``, the centroid with the highest dot product; no shuffle."""
     schema = T.StructType(index.schema.fields + [T.StructField("list_id", T.IntegerType())])
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, good = matrix(frame["embedding"], centroids.shape[1])
-            usable = frame[good]
-            yield usable.assign(list_id=np.argmax(rows @ centroids.T, axis=1).astype("int32") if len(rows) else
-                                np.zeros(0, dtype="int32"))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, good = list_matrix(batch.column("embedding"), centroids.shape[1])
+            if len(rows):
+                nearest = np.argmax(rows @ centroids.T, axis=1).astype("int32")
+                yield batch.filter(pa.array(good)).append_column("list_id", pa.array(nearest))
 
-    return index.mapInPandas(assign, schema)
+    return index.mapInArrow(assign, schema)
 
 
 def write_lists(assigned: DataFrame, path: str, salts: int = 1) -> None:
@@ -71,30 +74,36 @@ def ann_topk(queries: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int
     nprobe = min(nprobe, len(centroids))
     if small is None:
         return _ann_join(asked, lists, centroids, k, nprobe)
-    frame = small.to_pandas()
-    query_matrix, good = matrix(frame["embedding"], dim)
-    query_ids = frame["query_id"].to_numpy()[good]
+    asked_rows = small.combine_chunks()
+    query_matrix, good = list_matrix(asked_rows.column("embedding").combine_chunks(), dim)
+    query_ids = asked_rows.column("query_id").combine_chunks().filter(pa.array(good))
     probes = np.argsort(-(query_matrix @ centroids.T), axis=1, kind="stable")[:, :nprobe]
-    asking = {c: np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
+    asking = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
     out = T.StructType([
         T.StructField("query_id", asked.schema["query_id"].dataType),
         T.StructField("chunk_id", lists.schema["chunk_id"].dataType),
         T.StructField("score", T.DoubleType())])
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in frames:
-            for c, rows in part.groupby("list_id"):
-                who = asking.get(c)
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, id_type = None, None
+        for batch in batches:
+            id_type = batch.column("chunk_id").type
+            vectors, usable = list_matrix(batch.column("embedding"), dim)
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)[usable]
+            of_list = batch.column("list_id").to_numpy(zero_copy_only=False)[usable]
+            for c in np.unique(of_list):
+                who = asking.get(int(c))
                 if who is None:
                     continue
-                vectors, usable = matrix(rows["embedding"], dim)
-                best = scan_topk(query_matrix[who], k)(iter([(rows["chunk_id"].to_numpy()[usable], vectors)]))
-                if best is not None:
-                    yield pd.DataFrame({"query_id": query_ids[who][best["q"]], "chunk_id": best["chunk_id"].to_numpy(),
-                                        "score": best["score"].to_numpy()})
-
-    wanted = lists.filter(F.col("list_id").isin([int(c) for c in asking]))
-    return _ranked(wanted.select("chunk_id", "embedding", "list_id").mapInPandas(scored, out), k)
+                here = of_list == c
+                found = scan_topk(query_matrix[who], k)(iter([(ids[here], vectors[here])]))
+                found = found.assign(q=who[found["q"]])
+                best = best_k(found if best is None else pd.concat([best, found]), k)
+        if best is not None and len(best):
+            yield hit_batch(best, query_ids, id_type)
+
+    wanted = lists.filter(F.col("list_id").isin(list(asking))) if asking else lists.filter(F.lit(False))
+    return _ranked(few_tasks(wanted.select("chunk_id", "embedding", "list_id")).mapInArrow(scored, out), k)
 
 
 def _ann_join(asked: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int, nprobe: int,

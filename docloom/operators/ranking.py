@@ -14,14 +14,22 @@ from docloom.operators.similarity import DECIMALS, similarity_topk
 # Fixed value: the constant of reciprocal rank fusion.
 RRF_C = 60
 
+# Hits of a few numbers each: some tens of megabytes.
+MAX_BROADCAST_HITS = 500_000
+
 
 def min_score(hits: DataFrame, threshold: float) -> DataFrame:
     return hits.filter(F.col("score") >= threshold)
 
 
-def with_index_columns(hits: DataFrame, index: DataFrame, columns: list[str]) -> DataFrame:
-    """Brings index columns to the hits; only the needed ones are read."""
-    return hits.join(index.select("chunk_id", *columns), "chunk_id")
+def with_index_columns(hits: DataFrame, index: DataFrame, columns: list[str], max_hits: int) -> DataFrame:
+    """Brings index columns to the hits; only the needed ones are read.
+
+    ``max_hits``, the number of queries times k, bounds the hits. Up to
+    ``MAX_BROADCAST_HITS`` they go to the index, whose rows then stay where they are.
+    """
+    found = F.broadcast(hits) if max_hits <= MAX_BROADCAST_HITS else hits
+    return index.select("chunk_id", *columns).join(found, "chunk_id")
 
 
 def to_documents(hits: DataFrame, text: str, uri: str, metadata: list[str]) -> DataFrame:

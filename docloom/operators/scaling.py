@@ -117,12 +117,24 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+def few_tasks(df: DataFrame, waves: int = 4) -> DataFrame:
+    """``df`` in at most ``waves`` tasks per core, by merging splits without a shuffle.
+
+    For work that sends a fixed number of rows per task: more tasks would only
+    send more rows.
+    """
+    limit = waves * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(limit) if df.rdd.getNumPartitions() > limit else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A copy of ``df`` in the shared checkpoint folder the session names."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
+    """A copy of ``df`` in the shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, as in a local session, the copy goes below the warehouse.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -13,17 +13,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small
+from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small, few_tasks
 
 DECIMALS = 6
 # Scores held at a time by one task.
 _BLOCK_SCORES = 4_000_000
 
 
+def list_matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """``matrix`` of an Arrow list column, without a Python object per vector."""
+    if dim == 0:
+        return np.zeros((0, 0)), np.zeros(len(vectors), dtype=bool)
+    good = pc.equal(pc.list_value_length(vectors), dim).fill_null(False).to_numpy(zero_copy_only=False)
+    rows = vectors.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    finite = np.isfinite(rows).all(axis=1)
+    good[np.flatnonzero(good)[~finite]] = False
+    return rows[finite], good
+
+
 def matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows with ``dim`` finite numbers as a matrix, and which rows those are."""
     good = np.array([v is not None and len(v) == dim for v in vectors], dtype=bool)
@@ -90,7 +102,7 @@ def similarity_topk(queries: DataFrame, index: DataFrame, k: int, where: Column
         index = index.filter(where)
     asked = queries.select("query_id", F.col(query_vector).cast("array<double>").alias("embedding"))
     asked = asked.filter(F.col("embedding").isNotNull())
-    indexed = index.select("chunk_id", F.col(index_vector).cast("array<double>").alias("embedding"))
+    indexed = index.select("chunk_id", F.col(index_vector).alias("embedding"))
     n_queries, small = collect_if_small(asked, F.size("embedding") * 8, max_query_rows, max_query_bytes)
     out = T.StructType([
         T.StructField("query_id", asked.schema["query_id"].dataType),
@@ -101,23 +113,35 @@ def similarity_topk(queries: DataFrame, index: DataFrame, k: int, where: Column
     return _ranked(_join_blocks(asked, indexed, k, out, n_queries, max_query_rows), k)
 
 
+def hit_batch(best: pd.DataFrame, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        query_ids.take(pa.array(best["q"].to_numpy())), pa.array(best["chunk_id"].tolist(), id_type),
+        pa.array(best["score"].to_numpy(), pa.float64())], ["query_id", "chunk_id", "score"])
+
+
 def _scan_index(small: pa.Table, indexed: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    asked = small.to_pandas()
-    dim = len(asked["embedding"].iloc[0]) if len(asked) else 0
-    query_matrix, good = matrix(asked["embedding"], dim)
-    query_ids = asked["query_id"].to_numpy()[good]
+    """Each task keeps the best k of every query over all of its rows, and sends those alone."""
+    asked = small.combine_chunks()
+    embeddings, ids = (asked.column(c).combine_chunks() for c in ("embedding", "query_id"))
+    dim = len(embeddings[0]) if len(embeddings) else 0
+    query_matrix, good = list_matrix(embeddings, dim)
+    query_ids = ids.filter(pa.array(good))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type = None
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs():
-            for frame in frames:
-                rows, usable = matrix(frame["embedding"], dim)
-                yield frame["chunk_id"].to_numpy()[usable], rows
+            nonlocal id_type
+            for batch in batches:
+                id_type = batch.column("chunk_id").type
+                rows, usable = list_matrix(batch.column("embedding"), dim)
+                yield batch.column("chunk_id").to_numpy(zero_copy_only=False)[usable], rows
 
         best = scan_topk(query_matrix, k)(pairs()) if len(query_ids) else None
-        if best is not None:
-            yield pd.DataFrame({"query_id": query_ids[best["q"]], "chunk_id": best["chunk_id"], "score": best["score"]})
+        if best is not None and len(best):
+            yield hit_batch(best, query_ids, id_type)
 
-    return indexed.mapInPandas(scored, out)
+    return few_tasks(indexed).mapInArrow(scored, out)
 
 
 def _join_blocks(asked: DataFrame, indexed: DataFrame, k: int, out: T.StructType,
@@ -128,7 +152,7 @@ def _join_blocks(asked: DataFrame, indexed: DataFrame, k: int, out: T.StructType
     """
     n_chunks = indexed.count()
     q_blocks = max(1, math.ceil(n_queries / max(1, block // 2)))
-    i_blocks = max(1, math.ceil(n_chunks / 100_000))
+    i_blocks = max(1, math.ceil(n_chunks / 50_000))
 
     def number(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

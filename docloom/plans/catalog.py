@@ -325,7 +325,7 @@ def _hits(t: Tables, k: int = 5) -> DataFrame:
     """Ranked hits with labels; a hit is relevant when its label is the query's."""
     index = inputs.vector_index(t.embeddings)
     asked = inputs.vector_queries(t.embeddings).select("query_id", F.col("label").alias("query_label"))
-    found = ranking.with_index_columns(_topk(t, k), index, ["label", "doc_id"])
+    found = ranking.with_index_columns(_topk(t, k), index, ["label", "doc_id"], t.embeddings.count() * k)
     return found.join(asked, "query_id").withColumn("relevant", F.col("label") == F.col("query_label"))
 
 
@@ -358,7 +358,8 @@ def retrieve_filtered(t: Tables) -> DataFrame:
 
 @query
 def retrieve_by_document(t: Tables) -> DataFrame:
-    hits = ranking.with_index_columns(_topk(t, 10), inputs.vector_index(t.embeddings), ["doc_id"])
+    hits = ranking.with_index_columns(_topk(t, 10), inputs.vector_index(t.embeddings), ["doc_id"],
+                                      t.embeddings.count() * 10)
     grouped = ranking.group_by_document(hits, "doc_id")
     return grouped.withColumn("first_rank", F.col("first_rank").cast("long"))
 
@@ -379,14 +380,15 @@ def _keyword_hits(t: Tables, k: int, scheme: str = "bm25") -> DataFrame:
     return keyword.keyword_topk(inputs.text_queries(t.benchmark), t.documents, k, scheme)
 
 
-def _with_texts(t: Tables, hits: DataFrame, columns: list[str]) -> DataFrame:
-    docs = inputs.parsed_docs(t.documents).select(F.col("doc_id").alias("chunk_id"), *columns)
-    return hits.join(docs, "chunk_id").join(inputs.text_queries(t.benchmark), "query_id")
+def _with_texts(t: Tables, hits: DataFrame, columns: list[str], k: int) -> DataFrame:
+    docs = inputs.parsed_docs(t.documents).withColumnRenamed("doc_id", "chunk_id")
+    found = ranking.with_index_columns(hits, docs, columns, t.benchmark.count() * k)
+    return found.join(inputs.text_queries(t.benchmark), "query_id")
 
 
 @query
 def retrieve_documents(t: Tables) -> DataFrame:
-    hits = _with_texts(t, _semantic_hits(t, 5), ["doc_content", "doc_uri", "lang", "source"])
+    hits = _with_texts(t, _semantic_hits(t, 5), ["doc_content", "doc_uri", "lang", "source"], 5)
     docs = ranking.to_documents(hits, "doc_content", "doc_uri", ["lang", "source"])
     m = F.col("metadata")
     return docs.select("query_id", F.col("rank").cast("long").alias("rank"), F.md5("page_content").alias("page_id"),
@@ -412,14 +414,14 @@ def retrieve_hybrid_rrf(t: Tables) -> DataFrame:
 
 @query
 def retrieve_hybrid_two_step(t: Tables) -> DataFrame:
-    candidates = _with_texts(t, _semantic_hits(t, 50).drop("rank"), ["doc_content"])
+    candidates = _with_texts(t, _semantic_hits(t, 50).drop("rank"), ["doc_content"], 50)
     best = ranking.two_step(candidates, "query", "doc_content", 10, 0.5)
     return best.select("query_id", "chunk_id", "keyword_score", "combined_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def rerank_overlap(t: Tables) -> DataFrame:
-    hits = _with_texts(t, _keyword_hits(t, 20), ["doc_content"])
+    hits = _with_texts(t, _keyword_hits(t, 20), ["doc_content"], 20)
     best = ranking.rerank_by_scorer(hits.drop("rank"), "overlap", "query", "doc_content", 5)
     return best.select("query_id", "chunk_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
@@ -461,7 +463,7 @@ def classify_intent(t: Tables) -> DataFrame:
 
 @query
 def assemble_context(t: Tables) -> DataFrame:
-    hits = _with_texts(t, _semantic_hits(t, 3), ["doc_content", "doc_uri"])
+    hits = _with_texts(t, _semantic_hits(t, 3), ["doc_content", "doc_uri"], 3)
     context = ranking.assemble_context(hits, "doc_content", "doc_uri", "Passage: {chunk_text}\nSource: {doc_uri}\n")
     return context.select("query_id", F.md5("context").alias("context_id"), F.length("context").cast("long").alias("n_chars"),
                           "n_chunks")

@@ -144,8 +144,9 @@ def test_schema_of():
 def test_strip_boilerplate_keeps_order_and_whole_documents(spark):
     df = spark.createDataFrame([
         (1, "foot\na\nb\nfoot"), (2, "c\nfoot"), (3, "foot"), (4, "untouched\na")], "id int, text string")
-    got = cleaning.strip_boilerplate(df, "id", "text", 3)
-    assert rows(got) == [(1, "a\nb", 2), (2, "c", 1), (3, "", 1), (4, "untouched\na", 0)]
+    for limit in (100, 0):
+        got = cleaning.strip_boilerplate(df, "id", "text", 3, limit)
+        assert rows(got) == [(1, "a\nb", 2), (2, "c", 1), (3, "", 1), (4, "untouched\na", 0)]
 
 
 def test_collapse_repeats(spark):
