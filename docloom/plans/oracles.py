@@ -61,12 +61,12 @@ URI = r"regexp_replace(regexp_replace({x}, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9
 
 DOCS = """docs_v AS (
   SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) AS doc_uri, text AS doc_content, lang, source, n_chars,
-         CASE WHEN doc_id % 17 = 3 THEN 'ERROR: unreadable' ELSE 'SUCCESS' END AS parser_status
+         CASE WHEN n_chars < 100 THEN 'ERROR: too short' ELSE 'SUCCESS' END AS parser_status
   FROM documents)"""
 
 RAW = """raw_v AS (
   SELECT page_id, url AS path, length(html) AS length, html AS content,
-         CASE WHEN page_id % 10 = 9 THEN '.xyz' ELSE '.html' END AS ext FROM pages)"""
+         CASE WHEN contains(html, '</html>') THEN '.html' ELSE '.part' END AS ext FROM pages)"""
 
 LINES = f"lines_v AS ({exploded('documents', 'doc_id', 'string_split(text, chr(10))', 'line')})"
 

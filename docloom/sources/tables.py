@@ -43,7 +43,7 @@ class Layout:
 
     def tables(self) -> list[str]:
         main = [self.raw, self.parsed, self.chunked]
-        return main + [self.quarantine(self.parsed), self.quarantine(self.chunked)]
+        return main + [self.table("index_stream"), self.quarantine(self.parsed), self.quarantine(self.chunked)]
 
 
 def layout_for(strategy: str, schema: str, checkpoint_root: str) -> Layout:

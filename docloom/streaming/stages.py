@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom.operators.chunking import chunk_by_name
+from docloom.operators.chunking import chunk_by_name, dedup_chunks
+from docloom.operators.encoding import Encoder, HashingEncoder, embed
 from docloom.operators.parsing import split_status
 from docloom.plans.documents import parse_files
 from docloom.sources.files import stream_files
@@ -88,6 +89,28 @@ def chunk_stage(spark: SparkSession, layout: Layout, chunker: str = "window", co
                       layout.quarantine(layout.chunked), layout.checkpoint(layout.chunked), continuous)
 
 
+def index_stage(spark: SparkSession, layout: Layout, factory: Callable[[], Encoder] = HashingEncoder,
+                continuous: str | None = None) -> StreamingQuery:
+    """Encode newly stored chunks into the index table, once or at every ``continuous`` interval.
+
+    A chunk id stands for its text, so a known id needs no new vector. Ids of
+    other batches alone count as known, which lets a repeated batch replace itself.
+    """
+    table = layout.table("index_stream")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        fresh = dedup_chunks(batch, "doc_uri").select("chunk_id", "chunked_text", "doc_uri")
+        if session.catalog.tableExists(table):
+            known = session.read.table(table).filter(F.col("batch_id") != batch_id).select("chunk_id")
+            fresh = fresh.join(known, "chunk_id", "left_anti")
+        write_batch(embed(fresh, "chunked_text", "embedding", factory), table, batch_id)
+
+    stream = stream_table(spark, layout.chunked).drop("batch_id")
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", layout.checkpoint(table))
+            .trigger(**_trigger(continuous)).start())
+
+
 def run_incremental(spark: SparkSession, path: str, layout: Layout, file_format: str | None = None,
                     parser: str | None = None, chunker: str = "window", **settings) -> dict[str, int]:
     """Bring raw, parsed and chunk tables up to date with the files, then stop. Returns failures per stage."""

@@ -61,6 +61,26 @@ def test_incremental_run(spark, corpus, tmp_path):
     assert spark.read.table(layout.parsed).count() == 3
 
 
+def test_index_follows_the_chunks(spark, corpus, tmp_path):
+    layout = tables.Layout("default", str(tmp_path / "ck"), "idxs")
+    drop(spark, layout)
+    sizes = []
+    for name, text in (("g.txt", "plain words here"), ("h.txt", "other words")):
+        stages.run_incremental(spark, str(corpus), layout, chunker="window", size=4, overlap=1)
+        stages.index_stage(spark, layout).awaitTermination()
+        index = spark.read.table(layout.table("index_stream"))
+        assert index.count() == index.select("chunk_id").distinct().count() == spark.read.table(layout.chunked).select("chunk_id").distinct().count()
+        sizes.append(index.count())
+        (corpus / name).write_text(text)
+    # The second run brought a copy of a known text only.
+    assert sizes[0] == sizes[1]
+    stages.run_incremental(spark, str(corpus), layout, chunker="window", size=4, overlap=1)
+    query = stages.index_stage(spark, layout, continuous="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.table(layout.table("index_stream")).count() == sizes[0] + 1
+
+
 def test_repeated_batch_replaces_itself(spark):
     spark.sql("DROP TABLE IF EXISTS batches")
     df = spark.createDataFrame([(1,), (2,)], "a int")
