@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import let, lines
-from docloom.operators.scaling import collect_if_small
+from docloom.operators.scaling import collect_if_few
 
 # Boilerplate lines that are compared as a list of constants.
 MAX_SHARED_LINES = 5_000
@@ -31,12 +31,12 @@ def strip_boilerplate(df: DataFrame, key: str, text: str, min_docs: int,
     no text is shuffled; more are joined.
     """
     shared = boilerplate_lines(df, text, min_docs).select(F.lower(F.hex("line_id")).alias("line_id"))
-    _, small = collect_if_small(shared, F.lit(32), max_lines)
+    small = collect_if_few(shared, max_lines)
     if small is None:
         return _strip_joined(df, key, text, shared)
     ids = small.column("line_id").to_pylist()
     kept = F.filter(lines(F.col(text)), lambda x: ~F.md5(x).isin(ids)) if ids else lines(F.col(text))
-    staged = df.select(key, F.size(lines(F.col(text))).alias("_n"), kept.alias("_kept"))
+    staged = df.select(key, (F.regexp_count(F.col(text), F.lit("\n")) + 1).alias("_n"), kept.alias("_kept"))
     return staged.select(key, F.array_join("_kept", "\n").alias("clean_text"),
                          (F.col("_n") - F.size("_kept")).cast("long").alias("n_dropped"))
 

@@ -112,8 +112,11 @@ def encoder_factory(name: str) -> Callable[[], Encoder]:
 
 
 def embed(df: DataFrame, text: str, out: str = "embedding",
-          factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
-    """Adds ``out array<double>`` and ``<out>_status``; one encoder per partition, no shuffle."""
+          factory: Callable[[], Encoder] = HashingEncoder, only: str | None = None) -> DataFrame:
+    """Adds ``out array<double>`` and ``<out>_status``; one encoder per partition, no shuffle.
+
+    With ``only``, a boolean column, other rows are not given to the encoder and get nulls.
+    """
     schema = T.StructType(df.schema.fields + [
         T.StructField(out, T.ArrayType(T.DoubleType())), T.StructField(f"{out}_status", T.StringType())])
 
@@ -122,8 +125,13 @@ def embed(df: DataFrame, text: str, out: str = "embedding",
         for frame in frames:
             for at in range(0, len(frame), _BATCH):
                 part = frame.iloc[at:at + _BATCH]
-                vectors, statuses = encoder.encode(list(part[text]))
-                yield part.assign(**{out: pd.Series(vectors, index=part.index, dtype=object), f"{out}_status": statuses})
+                chosen = np.flatnonzero(part[only].to_numpy(dtype=bool)) if only else np.arange(len(part))
+                encoded, reported = encoder.encode([part[text].iloc[i] for i in chosen])
+                vectors, statuses = ([None] * len(part) for _ in range(2))
+                for i, vector, status in zip(chosen, encoded, reported):
+                    vectors[i], statuses[i] = vector, status
+                yield part.assign(**{out: pd.Series(vectors, index=part.index, dtype=object),
+                                     f"{out}_status": pd.Series(statuses, index=part.index, dtype=object)})
 
     return df.mapInPandas(batches, schema)
 

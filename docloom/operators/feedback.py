@@ -68,15 +68,25 @@ def dedup_assessments(log: DataFrame) -> DataFrame:
     return merge_feedback(dedup_text(log), nest_retrieval(dedup_retrieval(log)))
 
 
-def attach_ground_truth(requests: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Requests with each reviewer's rating, edit and chunk ratings; unrated requests stay."""
+def rated_requests(log: DataFrame) -> DataFrame:
+    """Ids of the requests with a rating of either kind."""
+    rated = F.col("text_assessment").isNotNull() | F.col("retrieval_assessment").isNotNull()
+    return log.filter(rated).select("request_id").distinct()
+
+
+def attach_ground_truth(requests: DataFrame, feedback: DataFrame, rated_ids: DataFrame | None = None) -> DataFrame:
+    """Requests with each reviewer's rating, edit and chunk ratings; unrated requests stay.
+
+    ``rated_ids``, the ids that have feedback, spares working out the feedback a
+    second time to find the others.
+    """
     rated = feedback.select(
         "request_id",
         F.col("text_assessment.ratings.answer_correct.value").alias("is_correct"),
         F.nullif(F.col("text_assessment.suggested_output"), F.lit("")).alias("suggested_output"),
         F.col("source_id").alias("source_user"),
         "step_id", "retrieval_assessments")
-    return left_join_skewed(requests, rated, "request_id")
+    return left_join_skewed(requests, rated, "request_id", rated_ids)
 
 
 def is_positive(rating: Column) -> Column:
@@ -138,7 +148,7 @@ def expected_context(chunks: Column, ratings: Column) -> Column:
 
 def create_evaluation_set(requests: DataFrame, log: DataFrame) -> DataFrame:
     """Evaluation rows: one per request, reviewer and rated step; one for an unrated request."""
-    labelled = label_records(attach_ground_truth(requests, dedup_assessments(log)))
+    labelled = label_records(attach_ground_truth(requests, dedup_assessments(log), rated_requests(log)))
     return labelled.withColumn("chunk_relevance", relevance_array(F.col("retrieval_assessments"))).select(
         "request_id", "request", "response", "expected_response",
         expected_context(trace_chunks(F.col("trace")), F.col("chunk_relevance")).alias("expected_retrieved_context"),

@@ -27,13 +27,28 @@ def index_changes(old: DataFrame, new: DataFrame, text: str = "chunked_text") ->
     return before.join(after, "chunk_id", "full_outer").select("chunk_id", change.alias("change"))
 
 
-def apply_changes(index: DataFrame, chunks: DataFrame, changes: DataFrame, text: str = "chunked_text",
-                  encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The index after a sync: kept rows as they are, inserts and updates encoded anew, deletes gone."""
-    kept = index.join(changes.filter(F.col("change") == "same").select("chunk_id"), "chunk_id", "left_semi")
-    touched = chunks.join(changes.filter(F.col("change").isin("insert", "update")).select("chunk_id"), "chunk_id", "left_semi")
-    fresh = encode(touched) if encode else touched
-    return kept.unionByName(fresh.select(*kept.columns))
+def apply_changes(index: DataFrame, chunks: DataFrame, text: str = "chunked_text",
+                  factory: Callable[[], Encoder] | None = None) -> DataFrame:
+    """The index after a sync, out of one join: rows whose text is unchanged are kept as they
+    are, new and changed ones come from ``chunks``, and the others are gone.
+
+    With a ``factory`` the index has ``embedding`` and ``embedding_status``, and
+    only new and changed texts are encoded.
+    """
+    columns = [c for c in chunks.columns if c != "chunk_id"]
+    extra = ["embedding", "embedding_status"] if factory else []
+    old = index.select("chunk_id", F.struct(*columns, *extra).alias("_old"))
+    new = chunks.select("chunk_id", F.struct(*columns).alias("_new"))
+    stale = F.coalesce(F.col(f"_old.{text}") != F.col(f"_new.{text}"), F.lit(True))
+    joined = old.join(new, "chunk_id", "right").withColumn("_stale", stale)
+    picked = joined.select("chunk_id", *[
+        F.when(F.col("_stale"), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in columns],
+        *[F.col(f"_old.{c}").alias(f"_kept_{c}") for c in extra], "_stale")
+    if not factory:
+        return picked.drop("_stale")
+    encoded = embed(picked, text, "embedding", factory, only="_stale")
+    return encoded.select("chunk_id", *columns, *[
+        F.when(F.col("_stale"), F.col(c)).otherwise(F.col(f"_kept_{c}")).alias(c) for c in extra])
 
 
 def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
@@ -48,18 +63,14 @@ def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
     leaves a half-read source.
     """
     spark = chunks.sparkSession
-    columns = [c for c in chunks.columns]
-
-    def encoded(df: DataFrame) -> DataFrame:
-        return embed(df.select(*columns, id_bucket(F.col("chunk_id")).alias("bucket")), text, "embedding", factory)
+    bucket = id_bucket(F.col("chunk_id"))
 
     def laid_out(df: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(files_per_bucket)).alias("_salt")
         return df.repartition(F.col("bucket"), salt) if files_per_bucket > 1 else df.repartition("bucket")
 
-    order = [*columns, "embedding", "embedding_status", "bucket"]
     if not spark.catalog.tableExists(index_table):
-        built = encoded(chunks).select(*order)
+        built = embed(chunks, text, "embedding", factory).withColumn("bucket", bucket)
         laid_out(built).write.partitionBy("bucket").saveAsTable(index_table)
         return {"insert": spark.read.table(index_table).count(), "update": 0, "delete": 0, "same": 0}
     index = spark.read.table(index_table)
@@ -67,11 +78,12 @@ def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
     counts = {"insert": 0, "update": 0, "delete": 0, "same": 0}
     counts.update({r["change"]: r["count"] for r in changes.groupBy("change").count().collect()})
     buckets = [r["b"] for r in changes.filter(F.col("change") != "same")
-               .select(id_bucket(F.col("chunk_id")).alias("b")).distinct().collect()]  # at most 256
+               .select(bucket.alias("b")).distinct().collect()]  # at most 256
     if not buckets:
         return counts
     rebuilt = cut_lineage(apply_changes(
-        index.filter(F.col("bucket").isin(buckets)), chunks, changes, text, encoded).select(*order))
+        index.filter(F.col("bucket").isin(buckets)), chunks.filter(bucket.isin(buckets)), text, factory,
+    ).withColumn("bucket", bucket).select(*index.columns))
     # A bucket whose last chunk was deleted has no new rows to overwrite it with.
     emptied = set(buckets) - {r["bucket"] for r in rebuilt.select("bucket").distinct().collect()}
     overwrite_partitions(laid_out(rebuilt), index_table)

@@ -97,20 +97,18 @@ def parse_json_doc(df: DataFrame, content: str, content_key: str) -> DataFrame:
 
     The content key is renamed ``parsed_content``; all other keys are kept.
     """
-    raw = F.col(content).cast("string")
-    fields = F.from_json(raw, "map<string,string>")
-    rest = F.map_filter(fields, lambda k, v: k != content_key)
-    body = F.create_map(F.lit("parsed_content"), fields[content_key])
+    raw, fields = F.col(content).cast("string"), F.col("_fields")
     status = (
         F.when(~F.is_valid_utf8(raw), "ERROR: not valid UTF-8")
         .when(F.coalesce(F.map_contains_key(fields, content_key), F.lit(False)), SUCCESS)
         .when(fields.isNull() | (F.size(fields) == 0), "ERROR: not a JSON object")
-        .otherwise(f"ERROR: no key {content_key}")
-    )
+        .otherwise(f"ERROR: no key {content_key}"))
+    renamed = F.transform_keys(fields, lambda k, v: F.when(k == content_key, "parsed_content").otherwise(k))
     return (
-        df.withColumn("parser_status", status)
-        .withColumn("doc_parsed_contents", F.when(F.col("parser_status") == SUCCESS, F.map_concat(body, rest)))
-    )
+        df.withColumn("_fields", F.from_json(raw, "map<string,string>"))
+        .withColumn("parser_status", status)
+        .withColumn("doc_parsed_contents", F.when(F.col("parser_status") == SUCCESS, renamed))
+        .drop("_fields"))
 
 
 def pages_to_text(pages: Column) -> Column:

@@ -27,17 +27,24 @@ def collect_if_small(df: DataFrame, size: Column, max_rows: int = MAX_SIDE_ROWS,
     return rows, df.toArrow() if fits else None
 
 
-def left_join_skewed(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def collect_if_few(df: DataFrame, max_rows: int) -> pa.Table | None:
+    """The rows of ``df``, which must be of small fixed size, unless there are more than ``max_rows``."""
+    table = df.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows else None
+
+
+def left_join_skewed(left: DataFrame, right: DataFrame, on: str | Sequence[str],
+                     right_keys: DataFrame | None = None) -> DataFrame:
     """Left join whose right side may hold most of its rows under one key.
 
     A left outer join cannot split a skewed right partition. An inner join can
     be split on both sides, and the unmatched left rows come from an anti join
-    against the keys alone.
+    against the keys alone: ``right_keys`` where the caller has them for less.
     """
     keys = [on] if isinstance(on, str) else list(on)
     matched = left.join(right, keys, "inner")
-    unmatched = left.join(right.select(*keys).distinct(), keys, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    present = right.select(*keys).distinct() if right_keys is None else right_keys.select(*keys)
+    return matched.unionByName(left.join(present, keys, "left_anti"), allowMissingColumns=True)
 
 
 def running_total(df: DataFrame, key: str, position: str, value: str, name: str,
@@ -64,46 +71,46 @@ def running_total(df: DataFrame, key: str, position: str, value: str, name: str,
     )
 
 
-def exact_percentiles(df: DataFrame, key: str, value: str, fractions: Sequence[float],
-                      buckets: int = 1024) -> DataFrame:
+def _value_bucket(value: Column) -> Column:
+    """A whole number that never falls as ``value`` rises: some 64 per factor of e, at most about 190,000."""
+    size = F.floor(F.least(F.ln(F.abs(value)) * 64, F.lit(1e5))) + 48_000
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(0).cast("long")
+
+
+def exact_percentiles(df: DataFrame, key: str, value: str, fractions: Sequence[float]) -> DataFrame:
     """Exact percentiles (linear interpolation) per key: ``key, fraction, result``.
 
-    Equal values are counted before anything is shuffled. Equal-width buckets
-    then tell which stretch of values holds each wanted rank, and only those
-    stretches are ordered.
+    Equal values are counted before anything is shuffled. Counts per bucket of
+    close values then tell which buckets hold the wanted ranks, and only those
+    buckets are ordered.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = counts.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    width = F.col("_hi") - F.col("_lo")
-    bucketed = counts.join(bounds, key).withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1)))
-        .otherwise(F.lit(0)).cast("int"))
-    per_bucket = bucketed.groupBy(key, "_b").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
-    upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    spans = per_bucket.withColumn("_end", F.sum("_bn").over(upto)).withColumn("_start", F.col("_end") - F.col("_bn"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("fraction")) for p in fractions]))
-    rank = F.col("_f.fraction") * (F.col("_total") - 1)
-    # The two neighbouring ranks of each fraction, each in the bucket that holds it.
-    targets = (
-        spans.select(key, "_b", "_start", "_end", "_total", wanted.alias("_f"))
-        .select(key, "_b", "_start", "_end", F.col("_f.fraction").alias("fraction"), rank.alias("_rank"),
-                F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("_at"))
-        .filter((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end")))
-        .distinct()
-    )
-    needed = targets.select(key, "_b", "_start").distinct()
+    usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    counts = (df.filter(usable).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_b", _value_bucket(F.col("_v"))))
+    of_key = Window.partitionBy(key)
+    upto = of_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    spans = (
+        counts.groupBy(key, "_b").agg(F.sum("_n").alias("_bn"))
+        .withColumn("_end", F.sum("_bn").over(upto)).withColumn("_total", F.sum("_bn").over(of_key))
+        .withColumn("_start", F.col("_end") - F.col("_bn")))
+    # The two neighbouring ranks of each fraction, each with the bucket that holds it.
+    def targets(p: float) -> list[Column]:
+        rank = F.lit(float(p)) * (F.col("_total") - 1)
+        return [F.struct(F.lit(float(p)).alias("fraction"), rank.alias("rank"), at.alias("at"))
+                for at in (F.floor(rank), F.ceil(rank))]
+
+    ranks = F.array(*[t for p in fractions for t in targets(p)])
+    wanted = spans.select(key, "_b", "_start", F.array_distinct(F.filter(
+        ranks, lambda t: (t["at"] >= F.col("_start")) & (t["at"] < F.col("_end")))).alias("_wanted"))
     inside = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     located = (
-        bucketed.select(key, "_b", "_v", "_n").join(needed, [key, "_b"])
+        counts.join(wanted.filter(F.size("_wanted") > 0), [key, "_b"])
         .withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
-        .withColumn("_from", F.col("_upto") - F.col("_n"))
-        .select(key, "_b", "_v", "_from", "_upto")
-    )
-    picked = targets.join(located, [key, "_b"]).filter((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_upto")))
-    low, high = F.min("_v"), F.max("_v")
+        .select(key, "_v", F.explode(F.filter("_wanted", lambda t: (t["at"] < F.col("_upto")) & (
+            t["at"] >= F.col("_upto") - F.col("_n")))).alias("_t")))
     return (
-        picked.groupBy(key, "fraction", "_rank").agg(low.alias("_l"), high.alias("_h"))
-        .select(key, "fraction", (F.col("_l") + (F.col("_h") - F.col("_l")) * (F.col("_rank") - F.floor("_rank"))).alias("result"))
+        located.groupBy(key, "_t.fraction", "_t.rank").agg(F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+        .select(key, "fraction", (F.col("_l") + (F.col("_h") - F.col("_l")) * (F.col("rank") - F.floor("rank"))).alias("result"))
     )
 
 

@@ -222,17 +222,11 @@ def chunk_context_fit(t: Tables) -> DataFrame:
 
 @query
 def chunk_stats(t: Tables) -> DataFrame:
-    docs, keep = t.documents, ["doc_id"]
-    named = [
-        chunking.chunk_tokens(docs, "text", 512, 256, keep).withColumn("strategy", F.lit("window")),
-        chunking.chunk_chars(docs, "text", 1500, 250, keep).withColumn("strategy", F.lit("chars")),
-        chunking.chunk_paragraphs(docs, "text", keep).withColumn("strategy", F.lit("paragraph")),
-        chunking.chunk_sentences(docs, "text", keep).withColumn("strategy", F.lit("sentence")),
-    ]
-    together = named[0]
-    for more in named[1:]:
-        together = together.unionByName(more)
-    return chunking.chunk_stats(together, ["strategy"])
+    text = F.col("text")
+    chunks = sweep.chunk_all(t.documents, ["doc_id"], {
+        "window": chunking.token_windows(text, 512, 256), "chars": chunking.char_windows(text, 1500, 250),
+        "paragraph": tx.paragraphs(text), "sentence": tx.sentences(text)})
+    return chunking.chunk_stats(chunks, ["strategy"])
 
 
 @query
@@ -492,8 +486,7 @@ def index_sync_changes(t: Tables) -> DataFrame:
 
 @query
 def index_sync_apply(t: Tables) -> DataFrame:
-    old, new = _snapshots(t)
-    synced = indexing.apply_changes(old, new, indexing.index_changes(old, new))
+    synced = indexing.apply_changes(*_snapshots(t))
     return synced.select("chunk_id", "doc_uri", F.md5("chunked_text").alias("text_id"))
 
 
@@ -619,7 +612,9 @@ def _log(t: Tables) -> DataFrame:
 
 
 def _attached(t: Tables) -> DataFrame:
-    return feedback.attach_ground_truth(inputs.request_log(t.conversations), feedback.dedup_assessments(_log(t)))
+    log = _log(t)
+    return feedback.attach_ground_truth(
+        inputs.request_log(t.conversations), feedback.dedup_assessments(log), feedback.rated_requests(log))
 
 
 def _ratings(column: str = "retrieval_assessments"):

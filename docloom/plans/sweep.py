@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -11,20 +11,30 @@ from docloom.plans.documents import Strategy, run_documents
 from docloom.sources.tables import MAX_SWEEP_TAGS, layout_for, tag_table
 
 
-def sweep_chunks(df: DataFrame, text: str, keep: list[str], specs: dict[str, tuple[int, int]]) -> DataFrame:
-    """Chunks of every (size, overlap) spec: ``strategy, keep..., chunk_pos, chunked_text, chunk_id``.
+def _named(arrays: dict[str, Column]) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("strategy"), chunks.alias("chunks")) for name, chunks in arrays.items()])
 
-    Documents are read and split into tokens once; the strategies are exploded
-    within each row.
-    """
-    by_spec = tx.let(tx.tokens(F.col(text)), lambda toks: F.array(*[
-        F.struct(F.lit(name).alias("strategy"), windows_of_tokens(toks, size, overlap).alias("chunks"))
-        for name, (size, overlap) in specs.items()]))
-    exploded = df.select(*keep, F.explode(by_spec).alias("s"))
+
+def _exploded(df: DataFrame, keep: list[str], by_strategy: Column) -> DataFrame:
+    exploded = df.select(*keep, F.explode(by_strategy).alias("s"))
     chunked = exploded.select("s.strategy", *keep, F.posexplode("s.chunks").alias("chunk_pos", "chunked_text"))
     return chunked.withColumn("chunk_id", tx.chunk_id(F.col("chunked_text")))
 
 
+def chunk_all(df: DataFrame, keep: list[str], arrays: dict[str, Column]) -> DataFrame:
+    """Chunks of several strategies, each an array expression: ``strategy, keep..., chunk_pos, chunked_text, chunk_id``.
+
+    Documents are read once; the strategies are exploded within each row.
+    """
+    return _exploded(df, keep, _named(arrays))
+
+
+def sweep_chunks(df: DataFrame, text: str, keep: list[str], specs: dict[str, tuple[int, int]]) -> DataFrame:
+    """Token windows of every (size, overlap) spec; a document is split into tokens once for all of them."""
+    return _exploded(df, keep, tx.let(tx.tokens(F.col(text)), lambda toks: _named(
+        {name: windows_of_tokens(toks, size, overlap) for name, (size, overlap) in specs.items()})))
+
+
 def write_sweep(chunks: DataFrame, table: str) -> None:
     """One table with a folder per strategy, so that reading one strategy prunes the others."""
     chunks.write.mode("overwrite").partitionBy("strategy").saveAsTable(table)

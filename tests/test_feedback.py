@@ -68,6 +68,12 @@ def test_classes_partition_the_requests(spark):
     assert rows(feedback.label_records(attached), *columns) == rows(feedback.union_of_classes(attached), *columns)
 
 
+def test_a_click_may_rate_answer_and_chunk(spark):
+    both = spark.createDataFrame([(20, 7, "s", None, ("r",), ("e", (("positive",),)), (0, "s", (("true",),)))], LOG)
+    got = feedback.dedup_assessments(both).first()
+    assert got.text_assessment.suggested_output == "e" and len(got.retrieval_assessments) == 1
+
+
 def test_both_spellings_of_ratings(spark):
     df = spark.createDataFrame([("true",), ("positive",), ("false",), ("negative",), ("idk",), (None,)], "is_correct string")
     df = df.withColumn("response", F.lit("r")).withColumn("suggested_output", F.lit(None).cast("string"))
