@@ -660,7 +660,7 @@ WHERE a.experiment <> 'poc' AND a.metric <> 'correct_percentage'""", RUNS, SUMMA
 add("monitor_tumbling", """SELECT start_micros, experiment, n_rows, n_errors, correct_percent, avg_latency, correct_percent < 80 AS alert FROM (
   SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, event_ts)) AS start_micros, experiment, count(*) AS n_rows,
          count(*) FILTER (WHERE correctness <> 'yes') AS n_errors,
-         round(avg(CASE WHEN correctness = 'yes' THEN 100.0 ELSE 0.0 END), 4) AS correct_percent, round(avg(latency_seconds), 6) AS avg_latency
+         round(avg(CASE WHEN correctness = 'yes' THEN 100.0 ELSE 0.0 END), 4) AS correct_percent, round(avg(latency_seconds), 9) AS avg_latency
   FROM runs_v GROUP BY 1, 2)""", RUNS)
 
 

@@ -20,6 +20,6 @@ def monitor(df: DataFrame, window: str, watermark: str | None = None, min_correc
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if(~good).alias("n_errors"),
             F.round(F.avg(F.when(good, 100.0).otherwise(0.0)), 4).alias("correct_percent"),
-            F.round(F.avg("latency_seconds"), 6).alias("avg_latency"))
+            F.round(F.avg("latency_seconds"), 9).alias("avg_latency"))
         .withColumn("alert", F.col("correct_percent") < min_correct_percent)
     )
