@@ -63,10 +63,12 @@ def apply_parser(df: DataFrame, name: str, content: str = "content") -> DataFram
 def parse_by_extension(df: DataFrame, content: str = "content", ext: str = "ext") -> DataFrame:
     """Adds ``parsing`` by each row's extension; an unsupported one becomes an error status."""
     unsupported = F.concat(F.lit("ERROR: unsupported format "), F.col(ext))
-    chosen = None
+    extensions: dict[str, list[str]] = {}
     for extension, name in _BY_EXTENSION.items():
-        parsed = parser(name)(F.col(content))
-        hit = F.col(ext) == extension
+        extensions.setdefault(name, []).append(extension)
+    chosen = None
+    for name, taken in extensions.items():
+        hit, parsed = F.col(ext).isin(taken), parser(name)(F.col(content))
         chosen = F.when(hit, parsed) if chosen is None else chosen.when(hit, parsed)
     return df.withColumn("parsing", chosen.otherwise(_parsed(F.lit(None).cast("string"), unsupported)))
 

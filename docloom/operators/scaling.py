@@ -115,7 +115,7 @@ def exact_percentiles(df: DataFrame, key: str, value: str, fractions: Sequence[f
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for costly work per row.
+    """A table as read, over at least as many partitions as there are cores, for costly work per row.
 
     A small or unsplittable file is read by one task. An input that already has
     enough partitions, as any large one does, is left as it is and not shuffled.
@@ -130,8 +130,7 @@ def few_tasks(df: DataFrame, waves: int = 4) -> DataFrame:
     For work that sends a fixed number of rows per task: more tasks would only
     send more rows.
     """
-    limit = waves * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(limit) if df.rdd.getNumPartitions() > limit else df
+    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
