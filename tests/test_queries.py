@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from docloom.plans import catalog, oracles
 from tests.conftest import SF_DIR
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = oracles.ORACLES
 TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 NO_SQL = {"chunk_recursive", "retrieve_ann"}
 
@@ -46,6 +47,10 @@ def test_query_matches_sql(spark, duck, name):
     assert shown(spark_rows) == shown(duck_rows)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def test_no_query_is_empty_here(spark):
     assert QUERIES["evaluation_set"](spark, SF_DIR).count() == 94
 
