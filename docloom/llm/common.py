@@ -59,7 +59,7 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when it has grown to ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
