@@ -32,10 +32,12 @@ KEY = b"docloom surrogate key; replace in production"
 
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _NUMBERS = re.compile(
-    r"(?P<phone>\+\d{1,3}[ -]?\(?\d{3}\)?[ -]\d{3}[ -]\d{4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
-    r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\dA-Za-z])(?:\d{4}[ -]){3}\d{4}(?![\dA-Za-z])|(?<![\dA-Za-z])\d{13,19}(?![\dA-Za-z]))")
+    r"(?P<phone>\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9])|(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9]))"
+    r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
+    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z]))")
+# What any number among them has; most texts have none.
+_NUMBER_LIKE = re.compile(r"[0-9][0-9(). -]{6,}")
 # Titles that name a person, by gender (fixed word lists).
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κυρία")
 _MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "г-н", "κύριος")
@@ -49,6 +51,10 @@ _SYLLABLES = {
 }
 
 
+_TITLES = _FEMALE + _MALE + _NEUTRAL
+_DIGITS = frozenset("0123456789")
+
+
 class Draw:
     """An endless stream of small numbers that key and entity determine."""
 
@@ -75,7 +81,7 @@ def luhn_digit(digits: str) -> str:
 def _like(text: str, draw: Draw) -> str:
     """Letters for letters of the same case, digits for digits, the rest as it is."""
     return "".join(
-        chr(97 + draw.below(26)) if c.islower() else chr(65 + draw.below(26)) if c.isupper() else str(draw.below(10)) if c.isdigit() else c
+        chr(97 + draw.below(26)) if c.islower() else chr(65 + draw.below(26)) if c.isupper() else str(draw.below(10)) if c in _DIGITS else c
         for c in text)
 
 
@@ -117,13 +123,13 @@ def _script(name: str) -> str:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(c for c in text if c in _DIGITS)
 
 
 def _in_form(digits: str, original: str) -> str:
     """New digits in the places of the old ones."""
     new = iter(digits)
-    return "".join(next(new) if c.isdigit() else c for c in original)
+    return "".join(next(new) if c in _DIGITS else c for c in original)
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
@@ -131,13 +137,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(*m.span(), "email", m.group().lower()) for m in _EMAIL.finditer(text)]
-    for m in _NUMBERS.finditer(text):
+    for m in _NUMBERS.finditer(text) if _NUMBER_LIKE.search(text) else ():
         kind, value = m.lastgroup, m.group()
         if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
             continue
         found.append((*m.span(), kind, value if kind == "ip" else _digits(value)))
     names: dict[str, str] = {}
-    for m in _PERSON.finditer(text):
+    for m in _PERSON.finditer(text) if any(title in text for title in _TITLES) else ():
         title = m.group("title")
         gender = "f" if title in _FEMALE else "m" if title in _MALE else "n"
         words = m.group("names").split(" ")
