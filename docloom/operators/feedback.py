@@ -138,20 +138,22 @@ def trace_chunks(trace: Column) -> Column:
     return F.flatten(F.transform(retrievers, lambda s: s["documents"]))
 
 
-def expected_context(chunks: Column, ratings: Column) -> Column:
-    """The retrieved chunks rated positive; null where there is none or either side is missing."""
-    pairs = F.arrays_zip(F.slice(chunks, F.lit(1), F.least(F.size(chunks), F.size(ratings))).alias("chunk"),
-                         F.slice(ratings, F.lit(1), F.least(F.size(chunks), F.size(ratings))).alias("rating"))
-    good = F.transform(F.filter(pairs, lambda p: is_positive(p["rating"])), lambda p: p["chunk"])
-    return F.when(chunks.isNotNull() & ratings.isNotNull() & (F.size(good) > 0), good)
+def expected_context(chunks: Column, assessments: Column) -> Column:
+    """The retrieved chunks whose position has a positive rating; null where there is none or either side is missing.
+
+    A reviewer may rate some positions only, so ratings are matched by position, not by their place in the array.
+    """
+    good = F.filter(chunks, lambda c, i: F.exists(
+        assessments, lambda a: (a["position"] == i) & is_positive(a["ratings"]["answer_correct"]["value"])))
+    return F.when(chunks.isNotNull() & assessments.isNotNull() & (F.size(good) > 0), good)
 
 
 def create_evaluation_set(requests: DataFrame, log: DataFrame) -> DataFrame:
     """Evaluation rows: one per request, reviewer and rated step; one for an unrated request."""
     labelled = label_records(attach_ground_truth(requests, dedup_assessments(log), rated_requests(log)))
-    return labelled.withColumn("chunk_relevance", relevance_array(F.col("retrieval_assessments"))).select(
+    return labelled.select(
         "request_id", "request", "response", "expected_response",
-        expected_context(trace_chunks(F.col("trace")), F.col("chunk_relevance")).alias("expected_retrieved_context"),
+        expected_context(trace_chunks(F.col("trace")), F.col("retrieval_assessments")).alias("expected_retrieved_context"),
         "source_user", "step_id", "source_tag", "has_edit")
 
 

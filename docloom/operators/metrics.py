@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -47,18 +47,20 @@ def rank_metrics(hits: DataFrame, totals: DataFrame, ks: Sequence[int], key: str
         F.round(F.try_divide(F.col("n_relevant").cast("double"), F.col("n_truth")), 6).alias("recall_at_k"))
 
 
-def ndcg(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """Normalised discounted gain of 0/1 relevance; null where nothing is relevant."""
+def ndcg(hits: DataFrame, totals: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+    """Normalised discounted gain of 0/1 relevance at ``k`` for every query of ``totals`` (``key``, ``n_truth``).
+
+    The ideal list begins with all relevant items there are, found or not. A
+    query without hits has 0, one for which nothing is relevant null.
+    """
     def gain(rank: Column) -> Column:
         return 1 / F.log2(rank + 1)
 
-    ideal_order = Window.partitionBy(key).orderBy(F.col("relevant").desc(), F.col("rank"))
-    placed = hits.select(key, "rank", "relevant").withColumn("_ideal", F.row_number().over(ideal_order))
-    zero = F.lit(0.0)
-    summed = placed.groupBy(key).agg(
-        F.sum(F.when(F.col("relevant"), gain(F.col("rank"))).otherwise(zero)).alias("_dcg"),
-        F.sum(F.when(F.col("relevant"), gain(F.col("_ideal"))).otherwise(zero)).alias("_ideal"))
-    return summed.select(key, F.round(F.try_divide(F.col("_dcg"), F.col("_ideal")), 6).alias("ndcg"))
+    found = hits.filter((F.col("rank") <= k) & F.col("relevant")).groupBy(key).agg(F.sum(gain(F.col("rank"))).alias("_dcg"))
+    places = F.least(F.col("n_truth"), F.lit(k)).cast("int")
+    ideal = F.when(places > 0, F.aggregate(F.sequence(F.lit(1), places), F.lit(0.0), lambda a, i: a + gain(i)))
+    return totals.join(found, key, "left").select(
+        key, F.round(F.coalesce("_dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
 
 
 def summary(df: DataFrame, by: str, rating: str = "correctness") -> DataFrame:

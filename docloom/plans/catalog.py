@@ -688,8 +688,7 @@ def trace_retrieved_chunks(t: Tables) -> DataFrame:
 
 @query
 def evalset_expected_context(t: Tables) -> DataFrame:
-    context = feedback.expected_context(feedback.trace_chunks(F.col("trace")),
-                                        feedback.relevance_array(F.col("retrieval_assessments")))
+    context = feedback.expected_context(feedback.trace_chunks(F.col("trace")), F.col("retrieval_assessments"))
     return _attached(t).select("request_id", "source_user", "step_id", context.alias("c")).filter(
         F.col("c").isNotNull()).select("request_id", "source_user", "step_id", _uris(F.col("c")).alias("expected_context"))
 
@@ -738,16 +737,19 @@ def metric_document_recall(t: Tables) -> DataFrame:
     return metrics.document_recall(asked, hits, inputs.vector_index(t.embeddings), ["label"], "doc_id")
 
 
+def _truth_sizes(t: Tables) -> DataFrame:
+    sizes = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n_truth"))
+    return inputs.vector_queries(t.embeddings).join(sizes, "label").select("query_id", "n_truth")
+
+
 @query
 def metric_at_k(t: Tables) -> DataFrame:
-    sizes = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n_truth"))
-    totals = inputs.vector_queries(t.embeddings).join(sizes, "label").select("query_id", "n_truth")
-    return metrics.rank_metrics(_hits(t, 10), totals, [1, 3, 5, 10])
+    return metrics.rank_metrics(_hits(t, 10), _truth_sizes(t), [1, 3, 5, 10])
 
 
 @query
 def metric_ndcg(t: Tables) -> DataFrame:
-    return metrics.ndcg(_hits(t, 10))
+    return metrics.ndcg(_hits(t, 10), _truth_sizes(t), 10)
 
 
 @query

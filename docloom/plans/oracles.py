@@ -544,13 +544,13 @@ CHUNK = """chunk_v AS (SELECT * FROM log_v WHERE chunk_rating IS NOT NULL
 NEST = """nest_v AS (SELECT request_id, source_id, step_id, max(ts) AS ts,
          string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions,
          string_agg(chunk_rating, ',' ORDER BY position) AS ratings,
-         list(chunk_rating ORDER BY position) AS rating_list
+         list(position) FILTER (WHERE chunk_rating = 'true') AS good_positions
   FROM chunk_v GROUP BY request_id, source_id, step_id)"""
 MERGED = """merged_v AS (SELECT request_id, source_id, coalesce(t.step_id, n.step_id) AS step_id, coalesce(t.ts, n.ts) AS ts,
-         t.answer_rating, t.suggested_output, n.ratings, n.rating_list
+         t.answer_rating, t.suggested_output, n.ratings, n.good_positions
   FROM text_v t FULL OUTER JOIN nest_v n USING (request_id, source_id))"""
 ATTACHED = """attached_v AS (SELECT r.*, m.answer_rating AS is_correct, nullif(m.suggested_output, '') AS suggested_output,
-         m.source_id AS source_user, m.step_id, m.ratings, m.rating_list
+         m.source_id AS source_user, m.step_id, m.ratings, m.good_positions
   FROM requests_v r LEFT JOIN merged_v m ON m.request_id = r.request_id)"""
 LABELLED = """labelled_v AS (SELECT *,
          CASE is_correct WHEN 'positive' THEN 'thumbs_up' WHEN 'negative' THEN 'thumbs_down_edited' ELSE 'no_feedback_provided' END AS source_tag,
@@ -558,7 +558,7 @@ LABELLED = """labelled_v AS (SELECT *,
          suggested_output IS NOT NULL AS has_edit FROM attached_v)"""
 CONTEXT = """context_v AS (SELECT l.*, (
     SELECT string_agg('d/' || CAST(request_id + i AS VARCHAR) || '=c' || CAST(i AS VARCHAR), ',' ORDER BY i)
-    FROM (SELECT unnest(range(5)) AS i) WHERE traced AND rating_list[i + 1] = 'true') AS expected_context FROM labelled_v l)"""
+    FROM (SELECT unnest(range(5)) AS i) WHERE traced AND list_contains(good_positions, i)) AS expected_context FROM labelled_v l)"""
 CHAIN = [REQUESTS, LOG, TEXT, CHUNK, NEST, MERGED, ATTACHED, LABELLED, CONTEXT]
 
 add("feedback_latest_text", "SELECT event_id, request_id, source_id, step_id, answer_rating, suggested_output FROM text_v", LOG, TEXT)
@@ -603,10 +603,11 @@ add("metric_at_k", """SELECT query_id, k, round(r / k, 6) AS precision_at_k, rou
   FROM hits_v, (SELECT CAST(unnest([1, 3, 5, 10]) AS INTEGER) AS k) WHERE rank <= k GROUP BY query_id, k)
 JOIN (SELECT label, count(*) AS n_truth FROM embeddings GROUP BY label) USING (label)""", topk(10))
 
-add("metric_ndcg", """SELECT query_id, round(sum(CASE WHEN label = query_label THEN 1 / log2(rank + 1) ELSE 0 END)
-       / nullif(sum(CASE WHEN label = query_label THEN 1 / log2(ideal + 1) ELSE 0 END), 0), 6) AS ndcg
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(label = query_label AS INT) DESC, rank) AS ideal FROM hits_v)
-GROUP BY query_id""", topk(10))
+add("metric_ndcg", """SELECT e.vec_id AS query_id, round(coalesce(d.dcg, 0) / i.ideal, 6) AS ndcg
+FROM embeddings e
+JOIN (SELECT label, count(*) AS n_truth FROM embeddings GROUP BY label) z USING (label)
+JOIN (SELECT n, sum(1 / log2(n2 + 1)) AS ideal FROM range(1, 11) a(n), range(1, 11) b(n2) WHERE n2 <= n GROUP BY n) i ON i.n = least(z.n_truth, 10)
+LEFT JOIN (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg FROM hits_v WHERE label = query_label GROUP BY query_id) d ON d.query_id = e.vec_id""", topk(10))
 
 SUMMARY = """summary_v AS (SELECT experiment, count(*) AS n_rows,
          round(avg(CASE WHEN correctness = 'yes' THEN 1.0 ELSE 0.0 END) * 100, 6) AS correct_percentage,

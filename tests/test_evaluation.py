@@ -25,8 +25,10 @@ def test_rank_metrics_and_ndcg(spark):
     totals = spark.createDataFrame([(1, 4), (2, 1)], "query_id int, n_truth long")
     got = metrics.rank_metrics(hits, totals, [1, 2])
     assert rows(got) == [(1, 1, 0.0, 0.0), (1, 2, 0.5, 0.25), (2, 1, 0.0, 0.0), (2, 2, 0.0, 0.0)]
-    ideal = 1 + 1 / np.log2(3)
-    assert rows(metrics.ndcg(hits)) == [(1, round((1 / np.log2(3) + 0.5) / ideal, 6)), (2, None)]
+    # Four items are relevant, so three hits could all have been; queries without a relevant hit or any hit have 0.
+    more = totals.unionByName(spark.createDataFrame([(3, 2), (4, 0)], "query_id int, n_truth long"))
+    ideal = 1 + 1 / np.log2(3) + 0.5
+    assert rows(metrics.ndcg(hits, more, 3)) == [(1, round((1 / np.log2(3) + 0.5) / ideal, 6)), (2, 0.0), (3, 0.0), (4, None)]
 
 
 @pytest.mark.parametrize("seed", range(4))

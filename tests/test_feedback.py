@@ -61,6 +61,17 @@ def test_evaluation_set(requests, log):
     assert rows(feedback.one_row_per_request(got), "request_id", "source_user") == [(1, "r"), (2, "q"), (3, "r"), (4, "r"), (5, None)]
 
 
+def test_ratings_of_some_positions_select_those_chunks(spark):
+    documents = ",".join(f'{{"doc_uri":"d{i}","content":"c"}}' for i in range(5))
+    trace = f'{{"spans":[{{"span_type":"RETRIEVER","documents":[{documents}]}}]}}'
+    requests = spark.createDataFrame([(1, "q", "r", trace)], "request_id long, request string, response string, trace string")
+    clicks = spark.createDataFrame([click(1, 1, 1, chunk=(3, "true")), click(2, 1, 2, chunk=(1, "true")), click(3, 1, 3, reviewer="x", chunk=(4, "false")),
+                                    click(4, 1, 4, reviewer="y", chunk=(9, "true"))], LOG)
+    got = feedback.create_evaluation_set(requests, clicks)
+    context = F.transform("expected_retrieved_context", lambda c: c["doc_uri"])
+    assert rows(got.withColumn("c", context), "source_user", "c") == [("r", ["d1", "d3"]), ("x", None), ("y", None)]
+
+
 def test_classes_partition_the_requests(spark):
     events, conversations = (inputs.table(spark, SF_DIR, t) for t in ("events", "conversations"))
     attached = feedback.attach_ground_truth(inputs.request_log(conversations), feedback.dedup_assessments(inputs.assessment_log(events)))
@@ -84,7 +95,8 @@ def test_both_spellings_of_ratings(spark):
 def test_context_is_null_when_a_side_is_missing(spark):
     df = spark.createDataFrame([(None, ["true"]), ([("u", "c")], None), ([("u", "c")], ["false"]), ([("u", "c"), ("v", "d")], ["true"]), ([("u", "c")], ["false", "true"])],
                                "chunks array<struct<doc_uri string, content string>>, ratings array<string>")
-    got = [r.e for r in df.select(feedback.expected_context(F.col("chunks"), F.col("ratings")).alias("e")).collect()]
+    rated = F.transform("ratings", lambda r, i: F.struct(i.alias("position"), F.struct(F.struct(r.alias("value")).alias("answer_correct")).alias("ratings")))
+    got = [r.e for r in df.select(feedback.expected_context(F.col("chunks"), rated).alias("e")).collect()]
     assert got[:3] == [None, None, None] and [c.doc_uri for c in got[3]] == ["u"] and got[4] is None
 
 
