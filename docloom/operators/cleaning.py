@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import let, lines
-from docloom.operators.scaling import collect_if_few
-
-# Boilerplate lines that are compared as a list of constants.
-MAX_SHARED_LINES = 5_000
 
 
 def boilerplate_lines(df: DataFrame, text: str, min_docs: int) -> DataFrame:
@@ -23,28 +19,15 @@ def boilerplate_lines(df: DataFrame, text: str, min_docs: int) -> DataFrame:
         F.col("n_docs") >= min_docs)
 
 
-def strip_boilerplate(df: DataFrame, key: str, text: str, min_docs: int,
-                      max_lines: int = MAX_SHARED_LINES) -> DataFrame:
+def strip_boilerplate(df: DataFrame, key: str, text: str, min_docs: int) -> DataFrame:
     """``key``, the text without its boilerplate lines (order kept) and how many were dropped.
 
-    Up to ``max_lines`` boilerplate lines are compared within each document and
-    no text is shuffled; more are joined.
+    Only line ids go through the join with the boilerplate set; the positions to
+    drop come back to the document, whose text is then filtered in place. A null
+    text stays null with nothing dropped.
     """
-    shared = boilerplate_lines(df, text, min_docs).select(F.lower(F.hex("line_id")).alias("line_id"))
-    small = collect_if_few(shared, max_lines)
-    if small is None:
-        return _strip_joined(df, key, text, shared)
-    ids = small.column("line_id").to_pylist()
-    kept = F.filter(lines(F.col(text)), lambda x: ~F.md5(x).isin(ids)) if ids else lines(F.col(text))
-    staged = df.select(key, (F.regexp_count(F.col(text), F.lit("\n")) + 1).alias("_n"), kept.alias("_kept"))
-    return staged.select(key, F.array_join("_kept", "\n").alias("clean_text"),
-                         (F.col("_n") - F.size("_kept")).cast("long").alias("n_dropped"))
-
-
-def _strip_joined(df: DataFrame, key: str, text: str, shared: DataFrame) -> DataFrame:
-    """Only line ids go through the join with the boilerplate set; the positions to
-    drop come back to the document, whose text is then filtered in place."""
-    ids = df.select(key, F.posexplode(F.transform(lines(F.col(text)), F.md5)).alias("pos", "line_id"))
+    shared = boilerplate_lines(df, text, min_docs).select("line_id")
+    ids = df.select(key, F.posexplode(F.transform(lines(F.col(text)), lambda x: F.unhex(F.md5(x)))).alias("pos", "line_id"))
     dropped = ids.join(shared, "line_id", "left_semi").groupBy(key).agg(F.collect_list("pos").alias("_drop"))
     # array_except hashes the dropped positions, so this stays linear in the lines.
     kept = let(lines(F.col(text)), lambda ls: F.transform(

@@ -6,6 +6,7 @@ lists of its ``nprobe`` nearest centroids.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,22 +18,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small, few_tasks
+from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small
 from docloom.operators.similarity import (
     _ranked, best_k, hit_batch, list_matrix, matrix, no_hits, scan_topk, similarity_topk,
 )
 
-# Training vectors per centroid; more do not move the centroids.
-_TRAIN_PER_LIST = 256
+
+def list_count(index: DataFrame) -> int:
+    """As many lists as a list has vectors on average: the square root of the index size."""
+    return max(1, math.isqrt(index.filter(F.col("embedding").isNotNull()).count()))
 
 
 def train_centroids(index: DataFrame, lists: int, seed: int = 7) -> np.ndarray:
-    """``lists`` unit-length centroids, trained by k-means on a sample of the index."""
+    """``lists`` unit-length centroids, trained by distributed k-means on all vectors of the index."""
     rows = index.filter(F.col("embedding").isNotNull())
-    fraction = min(1.0, lists * _TRAIN_PER_LIST / max(1, rows.count()))
-    sample = rows.sample(fraction, seed) if fraction < 1.0 else rows
     model = KMeans(k=lists, seed=seed, featuresCol="v").fit(
-        sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
+        rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
     centers = np.stack(model.clusterCenters())
     return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
 
@@ -103,7 +104,7 @@ def ann_topk(queries: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int
             yield hit_batch(best, query_ids, id_type)
 
     wanted = lists.filter(F.col("list_id").isin(list(asking))) if asking else lists.filter(F.lit(False))
-    return _ranked(few_tasks(wanted.select("chunk_id", "embedding", "list_id")).mapInArrow(scored, out), k)
+    return _ranked(wanted.select("chunk_id", "embedding", "list_id").mapInArrow(scored, out), k)
 
 
 def _ann_join(asked: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int, nprobe: int,

@@ -97,7 +97,9 @@ def apply_python_parser(df: DataFrame, parse: Callable[[bytes], str], content: s
 def parse_json_doc(df: DataFrame, content: str, content_key: str) -> DataFrame:
     """Adds ``doc_parsed_contents map<string,string>`` and ``parser_status``.
 
-    The content key is renamed ``parsed_content``; all other keys are kept.
+    The content key is renamed ``parsed_content`` and takes the place of a key
+    that already has this name; all other keys are kept. Of a repeated key the
+    first value counts.
     """
     raw, fields = F.col(content).cast("string"), F.col("_fields")
     status = (
@@ -105,7 +107,10 @@ def parse_json_doc(df: DataFrame, content: str, content_key: str) -> DataFrame:
         .when(F.coalesce(F.map_contains_key(fields, content_key), F.lit(False)), SUCCESS)
         .when(fields.isNull() | (F.size(fields) == 0), "ERROR: not a JSON object")
         .otherwise(f"ERROR: no key {content_key}"))
-    renamed = F.transform_keys(fields, lambda k, v: F.when(k == content_key, "parsed_content").otherwise(k))
+    names = F.filter(F.array_distinct(F.map_keys(fields)), lambda k: (k == content_key) | (k != "parsed_content"))
+    renamed = F.map_from_arrays(
+        F.transform(names, lambda k: F.when(k == content_key, "parsed_content").otherwise(k)),
+        F.transform(names, lambda k: F.element_at(fields, k)))
     return (
         df.withColumn("_fields", F.from_json(raw, "map<string,string>"))
         .withColumn("parser_status", status)

@@ -27,12 +27,6 @@ def collect_if_small(df: DataFrame, size: Column, max_rows: int = MAX_SIDE_ROWS,
     return rows, df.toArrow() if fits else None
 
 
-def collect_if_few(df: DataFrame, max_rows: int) -> pa.Table | None:
-    """The rows of ``df``, which must be of small fixed size, unless there are more than ``max_rows``."""
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
-
-
 def left_join_skewed(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                      right_keys: DataFrame | None = None) -> DataFrame:
     """Left join whose right side may hold most of its rows under one key.
@@ -124,23 +118,19 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
-def few_tasks(df: DataFrame, waves: int = 4) -> DataFrame:
-    """``df`` in at most ``waves`` tasks per core, by merging splits without a shuffle.
-
-    For work that sends a fixed number of rows per task: more tasks would only
-    send more rows.
-    """
-    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A copy of ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 
-    Where that is unset, as in a local session, the copy goes below the warehouse.
+    Where that is unset, a local session's copy goes below the warehouse; a
+    cluster has to name the folder, since others cannot see a local one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint()

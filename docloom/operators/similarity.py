@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small, few_tasks
+from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small
 
 DECIMALS = 6
 # Scores held at a time by one task.
@@ -141,7 +141,7 @@ def _scan_index(small: pa.Table, indexed: DataFrame, k: int, out: T.StructType)
         if best is not None and len(best):
             yield hit_batch(best, query_ids, id_type)
 
-    return few_tasks(indexed).mapInArrow(scored, out)
+    return indexed.mapInArrow(scored, out)
 
 
 def _join_blocks(asked: DataFrame, indexed: DataFrame, k: int, out: T.StructType,

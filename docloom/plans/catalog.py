@@ -335,9 +335,10 @@ def retrieve_topk(t: Tables) -> DataFrame:
 @query
 def retrieve_ann(t: Tables) -> DataFrame:
     index = inputs.vector_index(t.embeddings)
-    centroids = ivf.train_centroids(index, 16)
+    n_lists = ivf.list_count(index)
+    centroids = ivf.train_centroids(index, n_lists)
     lists = ivf.assign_lists(index.select("chunk_id", "embedding"), centroids)
-    return _shown(ivf.ann_topk(inputs.vector_queries(t.embeddings), lists, centroids, 5, 4))
+    return _shown(ivf.ann_topk(inputs.vector_queries(t.embeddings), lists, centroids, 5, max(1, n_lists // 4)))
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.operators.chunking import windows_of_tokens
 from docloom.plans.documents import Strategy, run_documents
-from docloom.sources.tables import MAX_SWEEP_TAGS, layout_for, tag_table
+from docloom.sources.tables import layout_for, tag_table
 
 
 def _named(arrays: dict[str, Column]) -> Column:
@@ -48,7 +48,7 @@ def run_sweep(spark: SparkSession, path: str, strategies: list[Strategy], schema
         layout = layout_for(strategy.name, schema, checkpoint_root)
         try:
             results[strategy.name] = run_documents(spark, path, strategy, layout)
-            tag_table(spark, layout.chunked, strategy.config(), MAX_SWEEP_TAGS)
+            tag_table(spark, layout.chunked, strategy.config())
         except (ValueError, FileNotFoundError) as problem:
             results[strategy.name] = f"ERROR: {problem}"
     return results

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-# Fixed value: the most tags kept on one table by a sweep.
-MAX_SWEEP_TAGS = 19
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -113,9 +110,9 @@ def flatten(config: dict, separator: str = "/", _path: str = "") -> dict[str, ob
     return out
 
 
-def tag_table(spark: SparkSession, table: str, config: dict, limit: int | None = None) -> dict[str, str]:
+def tag_table(spark: SparkSession, table: str, config: dict) -> dict[str, str]:
     """Store the flattened config as table properties, key paths joined by ``__``."""
-    tags = {k: str(v) for k, v in list(flatten(config, "__").items())[:limit]}
+    tags = {k: str(v) for k, v in flatten(config, "__").items()}
     if tags:
         def quoted(s: str) -> str:
             return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"

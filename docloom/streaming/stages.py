@@ -34,14 +34,20 @@ def write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
 
 def split_sink(stream: DataFrame, status: str, good_table: str, bad_table: str, checkpoint: str,
                continuous: str | None = None,
-               project: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Write successes and failures of one stream to two tables, computing the rows once."""
+               project: Callable[[DataFrame], DataFrame] = lambda df: df,
+               failed: dict[int, int] | None = None) -> StreamingQuery:
+    """Write successes and failures of one stream to two tables, computing the rows once.
+
+    ``failed`` receives the failed rows of each micro-batch under its number.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             good, bad = split_status(batch, F.col(status))
             write_batch(project(good), good_table, batch_id)
             write_batch(bad, bad_table, batch_id)
+            if failed is not None:
+                failed[batch_id] = bad.count()
         finally:
             batch.unpersist()
 
@@ -49,44 +55,26 @@ def split_sink(stream: DataFrame, status: str, good_table: str, bad_table: str,
             .trigger(**_trigger(continuous)).start())
 
 
-def failures(query: StreamingQuery, name: str = "stage") -> int:
-    """Failed rows of the last run that had data; a run without data reports none."""
-    total = 0
-    for progress in query.recentProgress:
-        observed = progress.observedMetrics if hasattr(progress, "observedMetrics") else progress.get("observedMetrics", {})
-        row = (observed or {}).get(name)
-        if row is not None:
-            total += (row["failed"] if not isinstance(row, dict) else row.get("failed", 0)) or 0
-    return total
-
-
-def observed(stream: DataFrame, status: str, name: str = "stage") -> DataFrame:
-    """Counts rows and failures of each micro-batch as it passes."""
-    return stream.observe(name, F.count(F.lit(1)).alias("rows"),
-                          F.count_if(F.coalesce(F.col(status) != "SUCCESS", F.lit(True))).alias("failed"))
-
-
 def load_stage(spark: SparkSession, path: str, layout: Layout, file_format: str | None = None,
                continuous: str | None = None) -> StreamingQuery:
     return append_table(stream_files(spark, path, file_format), layout.raw, layout.checkpoint(layout.raw), continuous)
 
 
 def parse_stage(spark: SparkSession, layout: Layout, parser: str | None = None,
-                continuous: str | None = None) -> StreamingQuery:
+                continuous: str | None = None, failed: dict[int, int] | None = None) -> StreamingQuery:
     raw = stream_table(spark, layout.raw)
-    parsed = observed(parse_files(raw, parser), "parser_status")
-    return split_sink(parsed, "parser_status", layout.parsed, layout.quarantine(layout.parsed),
-                      layout.checkpoint(layout.parsed), continuous)
+    return split_sink(parse_files(raw, parser), "parser_status", layout.parsed, layout.quarantine(layout.parsed),
+                      layout.checkpoint(layout.parsed), continuous, failed=failed)
 
 
 def chunk_stage(spark: SparkSession, layout: Layout, chunker: str = "window", continuous: str | None = None,
-                **settings) -> StreamingQuery:
+                failed: dict[int, int] | None = None, **settings) -> StreamingQuery:
     """Chunks of newly parsed documents. Document columns travel with the chunks, so no stream is joined."""
     parsed = stream_table(spark, layout.parsed).drop("batch_id")
     chunks = chunk_by_name(chunker, parsed, "doc_content", ["doc_uri", "last_modified"], **settings)
     chunks = chunks.withColumn("chunker_status", F.when(F.col("chunked_text").isNull(), "ERROR: no text").otherwise("SUCCESS"))
-    return split_sink(observed(chunks, "chunker_status"), "chunker_status", layout.chunked,
-                      layout.quarantine(layout.chunked), layout.checkpoint(layout.chunked), continuous)
+    return split_sink(chunks, "chunker_status", layout.chunked,
+                      layout.quarantine(layout.chunked), layout.checkpoint(layout.chunked), continuous, failed=failed)
 
 
 def index_stage(spark: SparkSession, layout: Layout, factory: Callable[[], Encoder] = HashingEncoder,
@@ -115,8 +103,7 @@ def run_incremental(spark: SparkSession, path: str, layout: Layout, file_format:
                     parser: str | None = None, chunker: str = "window", **settings) -> dict[str, int]:
     """Bring raw, parsed and chunk tables up to date with the files, then stop. Returns failures per stage."""
     load_stage(spark, path, layout, file_format).awaitTermination()
-    parsed = parse_stage(spark, layout, parser)
-    parsed.awaitTermination()
-    chunked = chunk_stage(spark, layout, chunker, **settings)
-    chunked.awaitTermination()
-    return {"parse": failures(parsed), "chunk": failures(chunked)}
+    failed: dict[str, dict[int, int]] = {"parse": {}, "chunk": {}}
+    parse_stage(spark, layout, parser, failed=failed["parse"]).awaitTermination()
+    chunk_stage(spark, layout, chunker, failed=failed["chunk"], **settings).awaitTermination()
+    return {stage: sum(batches.values()) for stage, batches in failed.items()}

@@ -34,7 +34,7 @@ def test_collapse_blank_lines(spark):
 
 
 @pytest.mark.parametrize("path, expected", [
-    ("dbfs:/Volumes/c/s/file.pdf", "Volumes/c/s/file.pdf"),
+    ("store:/volumes/c/s/file.pdf", "volumes/c/s/file.pdf"),
     ("file:///tmp/a b.html", "tmp/a b.html"),
     ("https://host.example.com/en/25?x=1#top", "en/25"),
     ("/plain/path", "plain/path"),
@@ -143,10 +143,19 @@ def test_schema_of():
 
 def test_strip_boilerplate_keeps_order_and_whole_documents(spark):
     df = spark.createDataFrame([
-        (1, "foot\na\nb\nfoot"), (2, "c\nfoot"), (3, "foot"), (4, "untouched\na")], "id int, text string")
-    for limit in (100, 0):
-        got = cleaning.strip_boilerplate(df, "id", "text", 3, limit)
-        assert rows(got) == [(1, "a\nb", 2), (2, "c", 1), (3, "", 1), (4, "untouched\na", 0)]
+        (1, "foot\na\nb\nfoot"), (2, "c\nfoot"), (3, "foot"), (4, "untouched\na"), (5, None), (6, "")], "id int, text string")
+    got = cleaning.strip_boilerplate(df, "id", "text", 3)
+    assert rows(got) == [(1, "a\nb", 2), (2, "c", 1), (3, "", 1), (4, "untouched\na", 0), (5, None, 0), (6, "", 0)]
+
+
+def test_json_keys_that_clash(spark):
+    df = spark.createDataFrame([
+        (1, '{"text": "t", "parsed_content": "old", "a": 1}'), (2, '{"a": 1, "text": "t", "a": 2}'),
+        (3, '{"parsed_content": "old"}')], "id int, raw string")
+    got = {r.id: (r.doc_parsed_contents, r.parser_status) for r in parsing.parse_json_doc(df, "raw", "text").collect()}
+    assert got[1] == ({"parsed_content": "t", "a": "1"}, "SUCCESS")
+    assert got[2] == ({"parsed_content": "t", "a": "1"}, "SUCCESS")
+    assert got[3] == (None, "ERROR: no key text")
 
 
 def test_collapse_repeats(spark):

@@ -58,7 +58,7 @@ def test_tags_and_lineage(spark):
     stored = {r.key: r.value for r in spark.sql("SHOW TBLPROPERTIES tagged").collect()}
     assert tags == {"chunker__name": "window", "chunker__config__size": "5", "note": "it's"}
     assert {k: stored[k] for k in tags} == tags
-    assert len(tables.tag_table(spark, "tagged", {f"k{i}": i for i in range(40)}, tables.MAX_SWEEP_TAGS)) == 19
+    assert len(tables.tag_table(spark, "tagged", {f"k{i}": i for i in range(40)})) == 40
     for stage in ("parse", "chunk"):
         tables.log_lineage(spark, "lineage", "run1", stage, "tagged", 1, config)
     tables.log_lineage(spark, "lineage", "run1", "bare", "tagged", 1)
