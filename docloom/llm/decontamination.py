@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import WordHashes, ngram_hashes, stored, texts_of
+from docloom.llm.common import mixed, ngram_hashes, stored, texts_of
 
 SEED = 3
 MIN_WORDS = 8
@@ -37,13 +37,39 @@ BLOCK_WORDS = 400_000
 EVIDENCE = 0.1
 SIMILARITY = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
-_PLAIN = bytes(32 if 33 <= c <= 126 and not chr(c).isalnum() else c for c in range(256))
+# Bytes of text that are hashed at a time; a longer document is looked up alone.
+_PIECE = 1 << 18
+_PLAIN = bytes(32 if 9 <= c <= 13 or 33 <= c <= 126 and not chr(c).isalnum() else c for c in range(256))
+# A number for each byte at each of 256 places of a word.
+_NUMBERS = mixed(np.arange(1, 1 + (1 << 16), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def words_of(text: bytes) -> list[bytes]:
+def plain(text: bytes) -> bytes:
+    """Lower-cased, with spaces for punctuation and white space."""
     if not text.isascii():
         text = text.decode("utf-8", "replace").lower().encode()
-    return text.lower().translate(_PLAIN).split()
+    return text.lower().translate(_PLAIN)
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and first byte of each word of a plain text; a word's hash is the sum of its bytes' numbers."""
+    hashes, starts, low = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while low < len(text):
+        high = text.find(b" ", low + _PIECE)
+        codes = np.frombuffer(text[low:high if high >= 0 else len(text)], np.uint8)
+        inside = codes != 32
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        first, length = edges[::2], edges[1::2] - edges[::2]
+        if len(first):
+            begin = np.cumsum(length) - length
+            place = np.arange(begin[-1] + length[-1]) - np.repeat(begin, length)
+            numbers = _NUMBERS[(place & 255) << 8 | codes[inside]]
+            if length.max() > 256:
+                numbers = numbers * ((place >> 8) * 2 + 1).astype(np.uint64)
+            hashes.append(mixed(np.add.reduceat(numbers, begin)))
+            starts.append(first + low)
+        low = high if high >= 0 else len(text)
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def align(passage: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -67,7 +93,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items, parts, texts, counts = [], [], [], []
         for item, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-            words = words_of(text)
+            words = plain(text).split()
             if len(words) < MIN_WORDS:
                 continue
             for part, start in enumerate(range(0, max(len(words) - PASSAGE + STRIDE, 1), STRIDE)):
@@ -81,26 +107,25 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SeedIndex:
-    """The seeds of a block of passages, sorted, with the passages and offsets they stand at."""
+    """The seeds of a block of passages, sorted, each with the passages that hold it."""
 
     def __init__(self, items: list, texts: list[bytes]):
-        hashes = WordHashes()
         self.items = items
-        self.words = [hashes.of(text.split()) for text in texts]
+        self.words = [word_hashes(text)[0] for text in texts]
         grams = [ngram_hashes(w, SEED) for w in self.words]
         every = np.concatenate(grams)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        offset = np.concatenate([np.arange(len(g)) for g in grams])
-        order = np.argsort(every, kind="stable")
-        self.owner, self.offset = owner[order], offset[order]
-        self.seeds, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.seeds, seed = np.unique(every, return_inverse=True)
+        # Each seed counts once per passage, however often the passage repeats it.
+        pairs = np.unique(seed * len(grams) + owner)
+        self.owner, self.seed = pairs % len(grams), pairs // len(grams)
+        self.first = np.searchsorted(self.seed, np.arange(len(self.seeds)))
+        self.count = np.bincount(self.seed, minlength=len(self.seeds))
         self.weight = np.ones(len(self.seeds))
         self._weigh()
 
     def _weigh(self) -> None:
-        # Each seed counts once per passage, however often the passage repeats it.
-        pairs = np.unique(np.stack([self.owner, np.repeat(np.arange(len(self.seeds)), self.count)]), axis=1)
-        self.total = np.bincount(pairs[0], self.weight[pairs[1]], len(self.words))
+        self.total = np.bincount(self.owner, self.weight[self.seed], len(self.words))
 
     def set_counts(self, documents: int, counts: np.ndarray) -> None:
         self.weight = np.log((documents + 2) / (counts + 1))
@@ -121,17 +146,13 @@ class SeedIndex:
         true = self.seeds[seed] == grams[at]
         return at[true], seed[true]
 
-    def leaks(self, words: np.ndarray, flags: np.ndarray) -> dict:
-        """Per item its best ``(similarity, first word, last word)``, from ``SIMILARITY`` on."""
-        at, seed = self.hits(ngram_hashes(words, SEED), flags)
-        if not len(at):
-            return {}
+    def leaks(self, words: np.ndarray, at: np.ndarray, seed: np.ndarray) -> dict:
+        """Per item its best ``(similarity, first word, last word)``, from ``SIMILARITY`` on. ``seed`` are the seeds, ``at`` their positions."""
         present = np.unique(seed)
         counts = self.count[present]
         entries = np.repeat(self.first[present], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        pairs = np.unique(np.stack([self.owner[entries], np.repeat(present, counts)]), axis=1)
-        owners, inverse = np.unique(pairs[0], return_inverse=True)
-        evidence = np.bincount(inverse, self.weight[pairs[1]])
+        owners, inverse = np.unique(self.owner[entries], return_inverse=True)
+        evidence = np.bincount(inverse, self.weight[self.seed[entries]])
         best: dict = {}
         for owner in owners[evidence >= EVIDENCE * self.total[owners]].tolist():
             passage = self.words[owner]
@@ -155,15 +176,55 @@ class SeedIndex:
         return [(max(0, a - length - length // 2), min(n, b + SEED + length + length // 2)) for a, b in zip(starts.tolist(), ends.tolist())]
 
 
+def _groups(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of several texts in a row, and the word at which each text ends; a group closes when it has ``_PIECE`` bytes."""
+    def group(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words, starts = word_hashes(b" ".join(parts))
+        return words, np.searchsorted(starts, np.cumsum([len(part) + 1 for part in parts]))
+
+    parts, held = [], 0
+    for text in texts:
+        parts.append(plain(text))
+        held += len(parts[-1]) + 1
+        if held >= _PIECE:
+            yield group(parts)
+            parts, held = [], 0
+    if parts:
+        yield group(parts)
+
+
+def _hits(own: SeedIndex, flags: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that hold a seed, which seed, and in which text of the group; a seed lies within one text."""
+    at, seed = own.hits(ngram_hashes(words, SEED), flags)
+    text = np.searchsorted(ends, at, side="right")
+    within = at + SEED <= ends[text]
+    return at[within], seed[within], text[within]
+
+
+def _found(own: SeedIndex, flags: np.ndarray, texts: Iterator[bytes]) -> Iterator[tuple[int, dict]]:
+    """The number of each text that holds items, and these."""
+    before = 0
+    for words, ends in _groups(texts):
+        at, seed, text = _hits(own, flags, words, ends)
+        some, edges = np.unique(text, return_index=True)
+        for i, low, high in zip(some.tolist(), edges.tolist(), [*edges[1:].tolist(), len(text)]):
+            start = int(ends[i - 1]) if i else 0
+            items = own.leaks(words[start:ends[i]], at[low:high] - start, seed[low:high])
+            if items:
+                yield before + i, items
+        before += len(ends)
+
+
 def _counted(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = index.value, WordHashes()
+        own = index.value
         flags, counts, documents = own.bits(), np.zeros(len(own.seeds), np.int64), 0
         for batch in batches:
             documents += batch.num_rows
-            for text in texts_of(batch.column(0)):
-                _, seed = own.hits(ngram_hashes(hashes.of(words_of(text)), SEED), flags)
-                counts[np.unique(seed)] += 1
+            for words, ends in _groups(texts_of(batch.column(0))):
+                _, seed, text = _hits(own, flags, words, ends)
+                # A text counts once, however often it has the seed.
+                np.add.at(counts, np.unique(text * len(counts) + seed) % len(counts), 1)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int64()), pa.array(np.r_[documents, counts[some]], pa.int64())], names=["seed", "n"])
 
@@ -172,11 +233,12 @@ def _counted(index):
 
 def _aligned(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = index.value, WordHashes()
+        own = index.value
         flags = own.bits()
         for batch in batches:
-            rows = [(doc, item, *found) for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))
-                    for item, found in own.leaks(hashes.of(words_of(text)), flags).items()]
+            ids = batch.column(0)
+            rows = [(ids[i].as_py(), item, *found) for i, items in _found(own, flags, texts_of(batch.column(1)))
+                    for item, found in items.items()]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
                                              names=["doc_id", "item_id", "similarity", "first_word", "last_word"])
@@ -186,11 +248,12 @@ def _aligned(index):
 
 def _clean(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = index.value, WordHashes()
+        own = index.value
         flags = own.bits()
         for batch in batches:
-            clean = [not own.leaks(hashes.of(words_of(text)), flags) for text in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(clean, pa.bool_()))
+            clean = np.ones(batch.num_rows, bool)
+            clean[[i for i, _ in _found(own, flags, texts_of(batch.column(1)))]] = False
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(clean))
 
     return scan
 
