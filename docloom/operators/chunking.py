@@ -204,12 +204,18 @@ def chunk_stats(chunks: DataFrame, keys: list[str], text: str = "chunked_text")
         F.sum(n).alias("total_tokens"), F.round(F.avg(n), 6).alias("avg_tokens"))
 
 
+def _markdown(df: DataFrame, text: str, keep: list[str], include_headers: bool = True) -> DataFrame:
+    chunks = chunk_markdown(df.select(F.struct(*keep).alias("_doc"), text), "_doc", text, include_headers)
+    return chunks.select("chunk_id", *[F.col("_doc").getField(k).alias(k) for k in keep], F.col("section").alias("chunk_pos"), "chunked_text")
+
+
 # A chunker maps (documents, text column, kept columns, **settings) to chunk rows.
 _CHUNKERS: dict[str, Callable[..., DataFrame]] = {
     "window": lambda df, text, keep, size=512, overlap=256: chunk_tokens(df, text, size, overlap, keep),
     "chars": lambda df, text, keep, size=2000, overlap=500: chunk_chars(df, text, size, overlap, keep),
     "paragraph": lambda df, text, keep: chunk_paragraphs(df, text, keep),
     "sentence": lambda df, text, keep: chunk_sentences(df, text, keep),
+    "markdown": _markdown,
 }
 
 
@@ -217,7 +223,16 @@ def register_chunker(name: str, chunker: Callable[..., DataFrame]) -> None:
     _CHUNKERS[name] = chunker
 
 
-def chunk_by_name(name: str, df: DataFrame, text: str, keep: list[str], **settings) -> DataFrame:
+def chunker_named(name: str) -> Callable[..., DataFrame]:
     if name not in _CHUNKERS:
         raise ValueError(f"unknown chunker {name!r}, known: {sorted(_CHUNKERS)}")
-    return _CHUNKERS[name](df, text, keep, **settings)
+    return _CHUNKERS[name]
+
+
+def chunk_by_name(name: str, df: DataFrame, text: str, keep: list[str], **settings) -> DataFrame:
+    return chunker_named(name)(df, text, keep, **settings)
+
+
+def without_text(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Documents that no chunker finds a chunk in, with the reason as ``chunker_status``."""
+    return df.filter(~F.coalesce(F.rlike(text, F.lit(r"\S")), F.lit(False))).select(*keep, F.lit("ERROR: no text").alias("chunker_status"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import indexing, parsing
-from docloom.operators.chunking import chunk_by_name, dedup_chunks
+from docloom.operators.chunkers import chunk_by_name, without_text
+from docloom.operators.chunking import dedup_chunks
 from docloom.sources.files import load_files
 from docloom.sources.tables import Layout, log_lineage, read_table, tag_table, write_table
 
@@ -46,17 +47,16 @@ def run_documents(spark: SparkSession, path: str, strategy: Strategy, layout: La
     from docloom.operators.encoding import encoder_factory
 
     files = load_files(spark, path, strategy.file_format)
-    staging = f"{layout.parsed}_all"
-    write_table(parse_files(files, strategy.parser), staging)
-    everything = read_table(spark, staging)
+    write_table(parse_files(files, strategy.parser), layout.staging)
+    everything = read_table(spark, layout.staging)
     report = parsing.check_parsed(everything)
     good, bad = parsing.split_status(everything, F.col("parser_status"))
     write_table(good, layout.parsed)
     write_table(bad, layout.quarantine(layout.parsed))
-    spark.sql(f"DROP TABLE {staging}")
-    chunks = chunk_by_name(strategy.chunker, read_table(spark, layout.parsed), "doc_content",
-                           ["doc_uri", "last_modified"], **strategy.chunker_settings)
-    write_table(chunks, layout.chunked)
+    spark.sql(f"DROP TABLE {layout.staging}")
+    parsed, keep = read_table(spark, layout.parsed), ["doc_uri", "last_modified"]
+    write_table(chunk_by_name(strategy.chunker, parsed, "doc_content", keep, **strategy.chunker_settings), layout.chunked)
+    write_table(without_text(parsed, "doc_content", keep), layout.quarantine(layout.chunked))
     stored = read_table(spark, layout.chunked)
     unique = dedup_chunks(stored, "doc_uri").select("chunk_id", "chunked_text", "doc_uri")
     synced = indexing.sync_index(layout.table("index"), unique, factory=encoder_factory(strategy.encoder))

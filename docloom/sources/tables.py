@@ -32,6 +32,10 @@ class Layout:
     def chunked(self) -> str:
         return self.table("gold_chunked")
 
+    @property
+    def staging(self) -> str:
+        return f"{self.parsed}_all"
+
     def quarantine(self, table: str) -> str:
         return f"{table}_quarantine"
 
@@ -40,7 +44,7 @@ class Layout:
 
     def tables(self) -> list[str]:
         main = [self.raw, self.parsed, self.chunked]
-        return main + [self.table("index_stream"), self.quarantine(self.parsed), self.quarantine(self.chunked)]
+        return main + [self.staging, self.table("index"), self.table("index_stream"), self.quarantine(self.parsed), self.quarantine(self.chunked)]
 
 
 def layout_for(strategy: str, schema: str, checkpoint_root: str) -> Layout:

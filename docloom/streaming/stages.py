@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom.operators.chunking import chunk_by_name, dedup_chunks
+from docloom.operators.chunkers import chunker_named, without_text
+from docloom.operators.chunking import dedup_chunks
 from docloom.operators.encoding import Encoder, HashingEncoder, embed
 from docloom.operators.parsing import split_status
 from docloom.plans.documents import parse_files
@@ -69,12 +70,23 @@ def parse_stage(spark: SparkSession, layout: Layout, parser: str | None = None,
 
 def chunk_stage(spark: SparkSession, layout: Layout, chunker: str = "window", continuous: str | None = None,
                 failed: dict[int, int] | None = None, **settings) -> StreamingQuery:
-    """Chunks of newly parsed documents. Document columns travel with the chunks, so no stream is joined."""
-    parsed = stream_table(spark, layout.parsed).drop("batch_id")
-    chunks = chunk_by_name(chunker, parsed, "doc_content", ["doc_uri", "last_modified"], **settings)
-    chunks = chunks.withColumn("chunker_status", F.when(F.col("chunked_text").isNull(), "ERROR: no text").otherwise("SUCCESS"))
-    return split_sink(chunks, "chunker_status", layout.chunked,
-                      layout.quarantine(layout.chunked), layout.checkpoint(layout.chunked), continuous, failed=failed)
+    """Chunks of newly parsed documents; documents without text go to the quarantine table.
+
+    Document columns travel with the chunks, so no stream is joined.
+    """
+    cut, keep = chunker_named(chunker), ["doc_uri", "last_modified"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        empty = without_text(batch, "doc_content", keep)
+        chunks = cut(batch, "doc_content", keep, **settings)
+        write_batch(chunks.withColumn("chunker_status", F.lit("SUCCESS")), layout.chunked, batch_id)
+        write_batch(empty, layout.quarantine(layout.chunked), batch_id)
+        if failed is not None:
+            failed[batch_id] = empty.count()
+
+    stream = stream_table(spark, layout.parsed).drop("batch_id")
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", layout.checkpoint(layout.chunked))
+            .trigger(**_trigger(continuous)).start())
 
 
 def index_stage(spark: SparkSession, layout: Layout, factory: Callable[[], Encoder] = HashingEncoder,

@@ -23,8 +23,6 @@ def corpus(tmp_path):
 
 def drop(spark, layout):
     tables.reset(spark, layout)
-    for stage in ("index", "silver_parsed_all"):
-        spark.sql(f"DROP TABLE IF EXISTS {layout.table(stage)}")
 
 
 def test_stream_reads_each_file_once(spark, corpus, tmp_path):
@@ -61,6 +59,29 @@ def test_incremental_run(spark, corpus, tmp_path):
     assert spark.read.table(layout.parsed).count() == 3
 
 
+@pytest.mark.parametrize("chunker", ["recursive", "semantic", "markdown", "paragraph"])
+def test_chunkers_by_name_and_quarantine(spark, corpus, tmp_path, chunker):
+    (corpus / "empty.txt").write_text(" \n ")
+    layout = tables.Layout("default", str(tmp_path / "ck"), f"named_{chunker}")
+    drop(spark, layout)
+    assert stages.run_incremental(spark, str(corpus), layout, chunker=chunker) == {"parse": 2, "chunk": 1}
+    uris = {r.doc_uri.split("/")[-1] for r in spark.read.table(layout.chunked).collect()}
+    assert uris == {"a.html", "b.txt"}
+    bad = spark.read.table(layout.quarantine(layout.chunked)).collect()
+    assert [(r.doc_uri.split("/")[-1], r.chunker_status) for r in bad] == [("empty.txt", "ERROR: no text")]
+    with pytest.raises(ValueError, match="unknown chunker"):
+        stages.chunk_stage(spark, layout, "no such")
+
+
+def test_reset_drops_the_batch_index(spark, corpus, tmp_path):
+    layout = tables.layout_for("reset run", "default", str(tmp_path / "ck"))
+    drop(spark, layout)
+    run_documents(spark, str(corpus), Strategy("reset run", chunker="markdown"), layout)
+    assert spark.catalog.tableExists(layout.table("index")) and spark.read.table(layout.quarantine(layout.chunked)).count() == 0
+    tables.reset(spark, layout)
+    assert not any(spark.catalog.tableExists(t) for t in layout.tables())
+
+
 def test_index_follows_the_chunks(spark, corpus, tmp_path):
     layout = tables.Layout("default", str(tmp_path / "ck"), "idxs")
     drop(spark, layout)
