@@ -12,8 +12,9 @@ Vectors are whole numbers, so that sums do not depend on the order of rows.
 
 Defined results: a null text has no words and fails the word limit; a null
 language or source is a value of its own; sources with fewer than ``min_group``
-documents of a language are judged together, and a language with fewer than
-that in all is judged by the limits alone; equal rows get equal verdicts.
+documents of a language are judged by the estimate of the whole language, and
+those of a language with fewer than that by the estimate of all documents, so
+every document is tested; equal rows get equal verdicts.
 """
 
 from __future__ import annotations
@@ -34,11 +35,11 @@ _UNIT = 256
 _PRIOR_WORDS = 60
 # Smallest standard deviation of each component, in steps; shares that are mostly 0 have no scatter of their own.
 _FLOORS = (10.0, 12.0, 12.0, 12.0, 24.0)
-# Chi-squared distribution with five degrees of freedom (fixed values): its 0.975 quantile, and what the scatter of
-# the inner 0.75 or 0.975 of the points must be multiplied by to be that of all.
-_CHI2_975, _INNER_75, _INNER_975 = 12.8325, 1.413, 1.056
-# Squared distance beyond which a document is rejected: six standard deviations, about one normal vector in a million.
-CUTOFF = 36.0
+# Chi-squared distribution with five degrees of freedom (fixed values): its 0.975 and 0.999 quantiles, and what the
+# scatter of the inner 0.75 or 0.975 of the points must be multiplied by to be that of all.
+_CHI2_975, _CHI2_999, _INNER_75, _INNER_975 = 12.8325, 20.515, 1.413, 1.056
+# Squared distance beyond which a document is rejected.
+CUTOFF = _CHI2_999
 _BINS_PER_OCTAVE = 16
 
 
@@ -142,15 +143,21 @@ def _totals() -> list[Column]:
 
 def estimates(vectors: DataFrame, steps: int = 4, min_group: int = 50, share: float = 0.75) -> DataFrame:
     """Per judged group: centre and scatter. ``vectors`` has ``lang_key, key, x*``."""
-    small = vectors.groupBy("lang_key", "key").agg(F.count(F.lit(1)).alias("_n"))
-    # Where a key's documents are counted: in their own group, or with the language's other small sources.
-    placed = stored(small.select("key", F.when(F.col("_n") >= min_group, F.col("key")).otherwise(F.col("lang_key")).alias("grp")), "groups")
-    rows = stored(vectors.select("key", *[f"x{i}" for i in range(P)]).join(placed, "key").drop("key"), "vectors")
+    counts = vectors.groupBy("lang_key", "key").agg(F.count(F.lit(1)).alias("_n"))
+    languages = counts.groupBy("lang_key").agg(F.sum("_n").alias("_of"))
+    own, language, every = F.concat(F.lit("s"), "key"), F.concat(F.lit("l"), "lang_key"), F.lit("a")
+    # By which estimate a key's documents are judged: their own group's, their language's, or that of all.
+    placed = stored(counts.join(languages, "lang_key").select("lang_key", "key", F.when(F.col("_n") >= min_group, own).when(
+        F.col("_of") >= min_group, language).otherwise(every).alias("grp")), "groups")
+    # A document counts in each of these groups by which some document is judged.
+    members = stored(placed.select("key", F.explode(F.array(own, language, every)).alias("grp")).join(
+        placed.select("grp").distinct(), "grp", "left_semi"), "members")
+    rows = stored(vectors.select("key", *[f"x{i}" for i in range(P)]).join(members, "key").drop("key"), "vectors")
 
     quartiles = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[
         F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(P)])
     spread = [F.greatest((F.get(f"p{i}", F.lit(2)) - F.get(f"p{i}", F.lit(0))) / 1.349, F.lit(_FLOORS[i])) for i in range(P)]
-    centre = stored(quartiles.filter(F.col("n") >= min_group).select(
+    centre = stored(quartiles.select(
         "grp", *[F.get(f"p{i}", F.lit(1)).cast("double").alias(f"m{i}") for i in range(P)],
         *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _pairs()]), "start")
 
@@ -172,11 +179,11 @@ def estimates(vectors: DataFrame, steps: int = 4, min_group: int = 50, share: fl
 
     kept = with_distance(rows.join(centre, "grp")).filter(F.col("d2") <= _CHI2_975)
     final = _cholesky(kept.groupBy("grp").agg(*_moments()), ["grp"], F.lit(_INNER_975))
-    return stored(placed.join(final, "grp").drop("grp"), "estimates")
+    return stored(placed.join(final, "grp").drop("grp", "lang_key"), "estimates")
 
 
 def judged(vectors: DataFrame, cutoff: float = CUTOFF, **options) -> DataFrame:
-    """``vectors`` with ``base_failed``, ``d2`` (null where the group is too small) and ``kept``."""
+    """``vectors`` with ``base_failed``, ``d2`` and ``kept``."""
     centres = estimates(vectors.filter(~base_failed()).select("lang_key", "key", *[f"x{i}" for i in range(P)]), **options)
     far = F.coalesce(F.col("d2") > cutoff, F.lit(False))
     return with_distance(vectors.join(centres, "key", "left")).select(

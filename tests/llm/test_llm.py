@@ -338,6 +338,19 @@ def test_distance_equals_numpy(spark):
     assert np.allclose(sorted(r.d2 for r in got), sorted((d @ np.linalg.inv(scatter) * d).sum(axis=1)), rtol=1e-6)
 
 
+def test_cutoff_is_a_quantile_and_small_groups_are_tested(spark, documents):
+    x = quality_rules.CUTOFF
+    tail = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    assert 0.00099 < tail < 0.025
+    clean = [(i, ". ".join(prose(i * 7 + k, 12).capitalize() for k in range(5)), "en", "a") for i in range(150)]
+    junk = " ".join(w + "$$$" for w in prose(3, 50).split())
+    # A small source beside a large one, a source that is null, a small language, a language that is null.
+    odd = [(500, junk, "en", "b"), (501, junk, "en", None), (502, junk, "de", "a"), (503, junk, None, None), (510, clean[0][1], "en", "b"), (511, clean[1][1], "de", "c")]
+    got = {r.doc_id: r for r in quality_rules.verdicts(documents(clean + odd)).collect()}
+    assert all(r.d2 is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {500, 501, 502, 503}
+
+
 # --- 10 ----------------------------------------------------------------------
 
 def test_secret_spans(spark, documents):
