@@ -2,14 +2,19 @@
 
 Patterns give the base spans. Other long tokens whose symbols are those of an
 encoding (hex, base32, base36, base64) are tested for what a random secret would
-be: an even use of the alphabet (chi-squared), no excess of runs above or below
-its middle, no correlation of neighbours. Fisher's method combines the three.
-
-Random tokens have evenly spread p-values, structured ones small ones. Per
-encoding and length class, counted over all documents, the p-values above one
-half tell how many tokens are random; the acceptance limit is the smallest at
-which the share of structured tokens among the accepted is at most ``FDR``.
-Short tokens, which the tests tell apart less well, thus need a higher limit.
+be: an even use of the alphabet (chi-squared), the alphabet's shares of capitals,
+vowels, consonants and digits (chi-squared, which tells short ones apart), no
+excess of runs above or below its middle, no correlation of neighbours. Fisher's
+method combines the four.
+
+Random tokens have evenly spread p-values, structured ones small ones. How small
+is known from a fixed set of structured tokens (words and identifiers in several
+spellings) that go through the same tests. How many tokens are random is told,
+per encoding and length class over all documents, by the p-values above one
+half, drawn towards the neighbouring lengths, the whole encoding and one half
+where there are few. The acceptance limit is the smallest at which the expected
+share of structured tokens among the accepted is at most ``FDR``; a lone token
+is accepted at any p-value that structured ones hardly reach.
 
 Defined results: a null text is empty and has no spans; rows are scanned one by
 one, so repeated ids and rows are all reported; positions are code points.
@@ -17,7 +22,10 @@ one, so repeated ids and rows are all reported; positions are code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import random
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import stored
@@ -31,6 +39,21 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_VALUE = 6
 FDR = 0.05
 _BINS = 50
+# Tokens whose evidence a wider pool of tokens counts for.
+_WEIGHT = 10.0
+# Ordinary words of the structured tokens (fixed list), and how many tokens there are per encoding and length.
+_WORDS = ("account address amount archive article backup balance branch buffer cache calendar category channel client cluster column "
+          "comment company config contact content context counter country customer data default delivery department detail device "
+          "document domain download driver editor element employee error event export factory feature field file filter folder format "
+          "function garden group handler header history image import index invoice item journal key language layer letter level library "
+          "line list location manager market member message method model module monitor name network node number object option order "
+          "package page parameter partner pattern payment person picture planet policy position price process product profile project "
+          "property provider quality query record reference region release report request resource response result river school search "
+          "section server service session setting shipment signal source status storage store stream street string student summary "
+          "supplier system table target task template thread time title token total traffic transfer type update upload user value "
+          "version village water weather window winter worker").split()
+_HEX_WORDS = "dead beef cafe babe face feed fade decade added bead deed facade 0000 0001 00ff ffff 1234 2024 abcd 0123 cdef 89ab 4567".split()
+_STRUCTURED, _STRUCTURED_LENGTHS = 150, (16, 18, 20, 22, 24, 28, 32, 40, 48, 64)
 # Matches per step of a running sum inside a row.
 _PAGE = 128
 
@@ -116,6 +139,25 @@ def _symbol(c: Column, size: Column) -> Column:
                        .when(c.isin("+", "-"), 62).otherwise(63))).cast("int")
 
 
+# Symbols of each kind in the alphabets of 64, 36, 32 and 16; of 64, capitals are a kind, of 16, letters are one.
+_SHARES = {"capital": (26, 0, 0, 0), "vowel": (5, 5, 5, 0), "consonant": (21, 21, 21, 6), "other": (12, 10, 6, 10)}
+
+
+def _by_size(of: tuple[int, int, int, int]) -> Column:
+    return F.when(F.col("size") == 64, of[0]).when(F.col("size") == 36, of[1]).when(F.col("size") == 32, of[2]).otherwise(of[3])
+
+
+def _share(code: Column, size: Column) -> Column:
+    """The kind of a symbol, by its place in the alphabet."""
+    letter = F.when(size == 64, code - 26).otherwise(code)
+    return (F.when(size == 16, F.when(code < 10, "other").otherwise("consonant")).when(letter < 0, "capital")
+            .when(letter >= 26, "other").when(letter.isin(0, 4, 8, 14, 20), "vowel").otherwise("consonant"))
+
+
+def _is_share(kind: str):
+    return lambda c: _share(c, F.col("size")) == kind
+
+
 def tested(tokens: DataFrame) -> DataFrame:
     """Adds ``size`` (alphabet), ``length_class`` and ``p``; tokens of no encoding are left out. ``tokens`` has ``token``."""
     body = F.regexp_replace("token", "=+$", "")
@@ -129,6 +171,8 @@ def tested(tokens: DataFrame) -> DataFrame:
     counted = codes.withColumn("n", F.size("codes").cast("double")).select("*", total(F.transform(
         F.sequence(F.lit(0), F.col("size") - 1), lambda s: F.pow(F.size(F.filter("codes", lambda c: c == s)).cast("double"), F.lit(2.0)))).alias("squares"),
         F.size(F.filter("codes", lambda c: c * 2 >= F.col("size"))).cast("double").alias("high"),
+        *[F.size(F.filter("codes", _is_share(kind))).cast("double").alias(kind) for kind in _SHARES],
+        *[_by_size(of).cast("double").alias(f"{kind}_of") for kind, of in _SHARES.items()],
         total(F.transform("codes", lambda c, i: F.when((c * 2 >= F.col("size")) != (F.get("codes", i + 1) * 2 >= F.col("size")), 1.0).otherwise(0.0))).alias("changes"),
         (total(F.transform("codes", lambda c: c.cast("double"))) / n).alias("mean"))
     moments = counted.select(
@@ -141,30 +185,84 @@ def tested(tokens: DataFrame) -> DataFrame:
     low = n - F.col("high")
     cross = 2 * F.col("high") * low
     runs = F.when((cross > n), _two_sided((F.col("changes") - cross / n) / F.sqrt(cross * (cross - n) / (n * n * (n - 1))))).otherwise(0.0)
+    of = {kind: F.col(kind) - n * F.col(f"{kind}_of") / F.col("size") for kind in _SHARES}
+    shares = sum((F.when(F.col(f"{kind}_of") > 0, of[kind] * of[kind] * F.col("size") / (n * F.col(f"{kind}_of"))).otherwise(0.0) for kind in _SHARES), F.lit(0.0))
+    kinds = F.when(F.col("size") == 64, 3.0).when(F.col("size") == 16, 1.0).otherwise(2.0)
+    unlike = 1 - _normal((F.pow(shares / kinds, F.lit(1 / 3)) - (1 - 2 / (9 * kinds))) / F.sqrt(2 / (9 * kinds)))
     serial = F.when(F.col("variance") > 0, _two_sided((F.col("lagged") / F.col("variance") + 1 / n) * F.sqrt(n))).otherwise(0.0)
     tiny = F.lit(1e-100)
-    t = -(F.log(F.greatest(uneven, tiny)) + F.log(F.greatest(runs, tiny)) + F.log(F.greatest(serial, tiny)))
+    t = -(F.log(F.greatest(uneven, tiny)) + F.log(F.greatest(unlike, tiny)) + F.log(F.greatest(runs, tiny)) + F.log(F.greatest(serial, tiny)))
     return moments.withColumn("t", t).select(
         *tokens.columns, "size", F.floor(F.log2("n") * 2).cast("int").alias("length_class"),
-        (F.exp(-F.col("t")) * (1 + F.col("t") + F.col("t") * F.col("t") / 2)).alias("p"))
+        (F.exp(-F.col("t")) * (1 + F.col("t") + F.pow("t", F.lit(2.0)) / 2 + F.pow("t", F.lit(3.0)) / 6)).alias("p"))
+
+
+def structured_tokens() -> list[str]:
+    """The fixed structured tokens: words, identifiers and counters in the spellings of each encoding."""
+    rng, tokens = random.Random(20), []
+
+    def filled(n: int, words: list[str], joiner: str, change) -> str:
+        # A number stands after one of the words.
+        parts, number = [], str(rng.choice((1, 2, 7, 10, 24, 42, 64, 100, 256, 2023, 2024)))
+        while len(joiner.join(parts)) < n:
+            parts.append(change(rng.choice(words), len(parts)))
+        parts.insert(rng.randrange(1, len(parts) + 1), number)
+        text = joiner.join(parts)[:n]
+        return text if any(c.isdigit() for c in text) else text[:-1] + number[0]
+
+    for n in _STRUCTURED_LENGTHS:
+        for i in range(_STRUCTURED):
+            tokens.append(filled(n, _WORDS, "", lambda w, k: w))
+            tokens.append(filled(n, _WORDS, "-_/"[i % 3], lambda w, k: w) if i % 2 else filled(n, _WORDS, "", lambda w, k: w.capitalize() if k else w))
+            upper = filled(n, _WORDS, "", lambda w, k: w.upper())
+            tokens.append("".join("234567"[int(c) % 6] if c.isdigit() else c for c in upper))
+            tokens.append(filled(n, _HEX_WORDS, "", lambda w, k: w) if i % 2 else f"{rng.randrange(160, 1 << 20):X}".rjust(n - 1, "0") + "A")
+    return tokens
+
+
+def structured_null(spark: SparkSession) -> dict[tuple[int, int], tuple[float, float]]:
+    """Per alphabet and length class: centre and spread of the structured tokens' p-values as normal deviates."""
+    tokens = spark.createDataFrame([(t,) for t in structured_tokens()], "token string")
+    found: dict[tuple[int, int], list[float]] = {}
+    for row in tested(tokens).select("size", "length_class", "p").collect():
+        deviate = NormalDist().inv_cdf(min(max(row["p"], 1e-15), 1 - 1e-15))
+        found.setdefault((row["size"], row["length_class"]), []).append(deviate)
+    null = {}
+    for cell, values in found.items():
+        values.sort()
+        # The upper half only: how far down the plainly structured ones lie does not matter.
+        middle, high = values[len(values) // 2], values[len(values) * 19 // 20]
+        null[cell] = middle, max((high - middle) / NormalDist().inv_cdf(0.95), 0.5)
+    return null
+
+
+def _passing(null: dict[tuple[int, int], tuple[float, float]], cell: tuple[int, int], p: float) -> float:
+    """Share of structured tokens of a cell with a p-value above ``p``; longer ones than the fixed set has are taken for its longest."""
+    lengths = [length for size, length in null if size == cell[0]]
+    middle, spread = null[cell[0], min(max(cell[1], min(lengths)), max(lengths))]
+    return 1 - NormalDist(middle, spread).cdf(NormalDist().inv_cdf(p))
+
+
+def limits(tests: DataFrame, fdr: float = FDR, null: dict[tuple[int, int], tuple[float, float]] | None = None) -> dict[tuple[int, int], float]:
+    """Smallest accepted p-value per alphabet and length class; at most a few hundred of them come to the driver."""
+    counts = tests.groupBy("size", "length_class").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("p") >= 0.5, 1)).alias("upper"))
+    cells = {(r["size"], r["length_class"]): (r["n"], min(2 * r["upper"], r["n"])) for r in counts.collect()}
+    if not cells:
+        return {}
+    null = structured_null(tests.sparkSession) if null is None else null
 
+    def pooled(own: list[tuple[int, int]], towards: float) -> float:
+        return (sum(r for _, r in own) + _WEIGHT * towards) / (sum(n for n, _ in own) + _WEIGHT)
 
-def limits(tests: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], float]:
-    """Smallest accepted p-value per alphabet and length class; at most a few hundred of them come to the driver."""
-    bins = tests.groupBy("size", "length_class", F.least(F.floor(F.col("p") * _BINS), F.lit(_BINS - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    cells: dict[tuple[int, int], list[int]] = {}
-    for row in bins.collect():
-        cells.setdefault((row["size"], row["length_class"]), [0] * _BINS)[row["bin"]] += row["n"]
     found = {}
-    for cell, counts in cells.items():
-        randoms = min(2 * sum(counts[_BINS // 2:]), sum(counts))
-        for at in range(_BINS):
-            accepted = sum(counts[at:])
-            if not accepted:
-                break
-            if max(0.0, accepted - randoms * (1 - at / _BINS)) <= fdr * accepted:
-                # The first bin still holds the plainly structured tokens.
-                found[cell] = max(at / _BINS, 0.001)
+    for size, length in cells:
+        whole = pooled([c for (s, _), c in cells.items() if s == size], 0.5)
+        near = pooled([cells[size, k] for k in (length - 1, length, length + 1) if (size, k) in cells], whole)
+        share = pooled([cells[size, length]], near)
+        for at in [0.001, 0.002, 0.005, 0.01] + [k / _BINS for k in range(1, _BINS)]:
+            wrong = (1 - share) * _passing(null, (size, length), at)
+            if wrong <= fdr * (wrong + share * (1 - at)):
+                found[size, length] = at
                 break
     return found
 

@@ -375,6 +375,24 @@ def test_secret_spans(spark, documents):
     assert secret_scans.secrets(table.limit(0)).count() == 0
 
 
+def test_lone_secrets_of_many_lengths_are_found(spark):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    lengths = (20, 24, 32, 40, 64, 100, 200)
+    found, tame = 0, 0
+    null = secret_scans.structured_null(spark)
+    tokens = [(n, i, "".join(rng.choices(alphabet, k=n))) for n in lengths for i in range(60)]
+    tests = secret_scans.tested(spark.createDataFrame(tokens, "n int, i int, token string")).collect()
+    # One secret alone in its encoding (share of random ones at most 0.6, so of structured ones 0.08 may pass): the limit is what a single token of the cell gives, on either side of one half.
+    for cell in {(t.size, t.length_class) for t in tests}:
+        for upper in (False, True):
+            one = spark.createDataFrame([(*cell, 0.75 if upper else 0.25)], "size int, length_class int, p double")
+            limit = secret_scans.limits(one, null=null).get(cell, 2.0)
+            found += sum(limit <= t.p for t in tests if (t.size, t.length_class) == cell and (t.p >= 0.5) == upper)
+            tame += secret_scans._passing(null, cell, limit) > 0.08
+    assert found >= 0.9 * len(tests) and not tame
+
+
 # --- pipeline ----------------------------------------------------------------
 
 def test_pipeline(spark, documents):
