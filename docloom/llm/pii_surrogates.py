@@ -1,7 +1,9 @@
 """PII: detected entities get keyed surrogates of the same type, gender, script and format.
 
-Detected are e-mail addresses, telephone numbers, IPv4 addresses, card numbers,
-social security numbers, and persons named after a title. An entity's canonical
+Detected are e-mail addresses, telephone numbers (E.164 and grouped national
+ones), IPv4 and IPv6 addresses, IBANs, card numbers, social security numbers,
+and persons named after a title; full names with a title anywhere in the corpus
+are also found without one in all documents. An entity's canonical
 form (lower case, digits only) and a secret key give its surrogate, so the same
 entity has the same surrogate in every document and in every spelling. Digits
 stay digits, letters letters of the same case; card check digits stay valid;
@@ -19,10 +21,12 @@ are treated as one document; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +36,29 @@ KEY = b"docloom surrogate key; replace in production"
 
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _NUMBERS = re.compile(
-    r"(?P<phone>\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9])|(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9]))"
+    r"(?P<phone>\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9])|(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){1,5}(?![0-9])"
+    r"|(?<![0-9.+-])[2-9][0-9]{2}(?P<gap>[-. ])[0-9]{3}(?P=gap)[0-9]{4}(?![0-9]|[-.][0-9])"
+    r"|(?<![0-9.+-])0[1-9][0-9]{1,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9]|[-.][0-9]))"
     r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z]))")
+    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9A-Za-z]|[ -][0-9]{1,3}(?![0-9A-Za-z]))|(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){4}[0-9]{1,3}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z]))")
 # What any number among them has; most texts have none.
 _NUMBER_LIKE = re.compile(r"[0-9][0-9(). -]{6,}")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*(?![\w:]|\.[0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Country codes of one and of two digits; the others have three.
+_ONE_DIGIT = ("1", "7")
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 # Titles that name a person, by gender (fixed word lists).
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κυρία")
 _MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "г-н", "κύριος")
 _NEUTRAL = ("Dr", "Prof")
-_PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(_FEMALE + _MALE + _NEUTRAL)})\.? (?P<names>[^\W\d_a-zа-яα-ω][^\W\d_]+(?: [^\W\d_a-zа-яα-ω][^\W\d_]+)?)")
+_NAME = r"[^\W\d_a-zа-яα-ω](?:[^\W\d_]+|['’][^\W\d_a-zа-яα-ω][^\W\d_]*)(?:-[^\W\d_]+|['’][^\W\d_a-zа-яα-ω][^\W\d_]*)*"
+_MOST_NAMES = 4
+_PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(_FEMALE + _MALE + _NEUTRAL)})\.? (?P<names>{_NAME}(?: {_NAME}){{0,{_MOST_NAMES - 1}}})")
+_RUN = re.compile(rf"(?<!\w){_NAME}(?: {_NAME})+")
 # Syllables and endings of invented names by script (fixed lists): female, male.
 _SYLLABLES = {
     "latin": ("ba be bo da de di do fa fe ga go ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te to va ve vi".split(), "a", "n"),
@@ -78,6 +94,21 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _remainder(text: str) -> int:
+    """Of an IBAN with its first four characters at the end, letters as numbers from 10, by 97."""
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def _iban(text: str) -> str | None:
+    """The longest part of groups from the start that has right check digits."""
+    while text:
+        bare = text.replace(" ", "")
+        if 15 <= len(bare) <= 34 and _remainder(bare[4:] + bare[:4]) == 1:
+            return text
+        text = text.rpartition(" ")[0]
+    return None
+
+
 def _like(text: str, draw: Draw) -> str:
     """Letters for letters of the same case, digits for digits, the rest as it is."""
     return "".join(
@@ -101,8 +132,18 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "ssn":
         return f"9{draw.below(100):02d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
     if kind == "phone":
-        # The country code stays; area codes do not begin with 0 or 1.
-        return canonical[:-10] + str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in range(9))
+        # The country code or trunk zero stays; area codes do not begin with 0 or 1.
+        code = canonical[1:] if canonical[0] == "+" else ""
+        kept = (2 if code[0] in _ONE_DIGIT else 3 if code[:2] in _TWO_DIGITS else 4) if code else int(canonical[0] == "0")
+        return canonical[:kept] + str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in canonical[kept + 1:])
+    if kind == "ipv6":
+        # Zero groups stay, the others keep their width; later draws are wider where short ones run out.
+        groups = [(len(g.lstrip("0")), g) for g in canonical.split(":")]
+        widths = [min(4, w + attempt // 4) if w else 4 * (attempt >= 16) for w, _ in groups]
+        return ":".join(("%x" % (1 + draw.below(15)) + "".join("%x" % draw.below(16) for _ in range(w - 1))).zfill(4) if w else "0000" for w in widths)
+    if kind == "iban":
+        body = "".join(chr(65 + draw.below(26)) if c.isalpha() else str(draw.below(10)) for c in canonical[4:])
+        return canonical[:2] + f"{98 - _remainder(body + canonical[:2] + '00'):02d}" + body
     if kind == "card":
         body = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[1:-1])
         valid = luhn_digit(canonical[:-1]) == canonical[-1]
@@ -132,8 +173,27 @@ def _in_form(digits: str, original: str) -> str:
     return "".join(next(new) if c in _DIGITS else c for c in original)
 
 
-def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """Non-overlapping ``(start, end, kind, canonical)`` in order."""
+def _ipv6_in_form(new: str, original: str) -> str:
+    """New groups in the places of the old ones, as wide at least."""
+    head, gap, tail = original.partition("::")
+    first, last = (head.split(":") if head else []), (tail.split(":") if tail else [])
+    groups = new.split(":")
+    used = groups[:len(first)] + groups[8 - len(last):]
+    if gap and any(g != "0000" for g in groups[len(first):8 - len(last)]):
+        return new
+    shown = [(g.lstrip("0") or "0").zfill(len(o)) for g, o in zip(used, first + last)]
+    text = ":".join(shown[:len(first)]) + gap + ":".join(shown[len(first):])
+    return text.upper() if original.upper() == original else text
+
+
+def titled(text: str) -> list[tuple[list[str], str]]:
+    """Name words after titles, with the title's gender."""
+    return [(m.group("names").split(" "), "f" if m.group("title") in _FEMALE else "m" if m.group("title") in _MALE else "n")
+            for m in (_PERSON.finditer(text) if any(title in text for title in _TITLES) else ())]
+
+
+def detect(text: str, known: dict[str, str] | None = None) -> list[tuple[int, int, str, str]]:
+    """Non-overlapping ``(start, end, kind, canonical)`` in order; ``known`` has full names of the corpus and their gender."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(*m.span(), "email", m.group().lower()) for m in _EMAIL.finditer(text)]
@@ -141,15 +201,37 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         kind, value = m.lastgroup, m.group()
         if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
             continue
-        found.append((*m.span(), kind, value if kind == "ip" else _digits(value)))
+        start, end = m.span()
+        if kind == "phone" and value[0] == "+":
+            # Of numbers in a row, as many groups as a telephone number may have.
+            while len(_digits(value)) > 15 and re.search(r"[ .-]", value):
+                value = value[:max(value.rfind(c) for c in " .-")]
+            if not 8 <= len(_digits(value)) <= 15:
+                continue
+        digits, grouped = _digits(value), not value.isdigit()
+        if kind == "card" and grouped and len(digits) != 16 and luhn_digit(digits[:-1]) != digits[-1]:
+            continue
+        canonical = value if kind == "ip" else "+" + digits if value[0] == "+" else digits
+        found.append((start, start + len(value), kind, canonical))
+    for m in _IPV6.finditer(text) if text.count(":") > 1 else ():
+        value = m.group() if m.group().endswith("::") else m.group().rstrip(":")
+        try:
+            address = ipaddress.IPv6Address(value)
+        except ValueError:
+            continue
+        if not (address.is_loopback or address.is_unspecified):
+            found.append((m.start(), m.start() + len(value), "ipv6", address.exploded))
+    for m in _IBAN.finditer(text):
+        if value := _iban(m.group()):
+            found.append((m.start(), m.start() + len(value), "iban", value.replace(" ", "")))
     names: dict[str, str] = {}
-    for m in _PERSON.finditer(text) if any(title in text for title in _TITLES) else ():
-        title = m.group("title")
-        gender = "f" if title in _FEMALE else "m" if title in _MALE else "n"
-        words = m.group("names").split(" ")
+    people = titled(text)
+    for full, gender in (known or {}).items():
+        people += [(m.group().split(" "), gender) for m in re.finditer(rf"(?<!\w){re.escape(full)}(?!\w)", text, re.I)]
+    for words, gender in people:
         for i, word in enumerate(words):
-            # A given name before a family name has the title's gender; a family name has none.
-            sex = gender if i == 0 and len(words) == 2 else "n"
+            # Given names before a family name have the title's gender; a family name has none.
+            sex = gender if i < len(words) - 1 else "n"
             names.setdefault(word, f"name/{_script(word)}/{sex}")
     if names:
         # The same names later in the text, without a title.
@@ -162,14 +244,19 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def replaced(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
+def replaced(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY, known: dict[str, str] | None = None) -> tuple[str, int]:
     """The text with surrogates in place of entities, and how many were replaced."""
-    parts, at, spans = [], 0, detect(text)
+    parts, at, spans = [], 0, detect(text, known)
     for start, end, kind, canonical in spans:
         new = surrogate(kind, canonical, attempts.get((kind, canonical), 0), key)
         old = text[start:end]
         if kind in ("phone", "card", "ssn"):
-            new = _in_form(new, old)
+            new = _in_form(_digits(new), old)
+        elif kind == "ipv6":
+            new = _ipv6_in_form(new, old)
+        elif kind == "iban":
+            places = iter(new)
+            new = "".join(c if c == " " else next(places) for c in old)
         elif kind.startswith("name/"):
             new = new.upper() if old.isupper() and len(old) > 1 else new.capitalize()
         parts += [text[at:start], new]
@@ -177,10 +264,50 @@ def replaced(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY)
     return "".join([*parts, text[at:]]), len(spans)
 
 
+def _known(column: pa.Array) -> Iterator[dict[str, str]]:
+    for pairs in column.to_pylist():
+        yield {e["name"]: e["gender"] for e in pairs or ()}
+
+
+def _name_hash(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words).lower().encode()) - (1 << 63)
+
+
+def _titled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(_name_hash(words), " ".join(words).lower(), gender) for text in batch.column(0).to_pylist() if text
+                for words, gender in titled(text) if len(words) > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
+                                          pa.array([r[2] for r in rows], pa.string())], names=["hash", "name", "gender"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of two to ``_MOST_NAMES`` capitalised words in a row, once per document."""
+    for batch in batches:
+        ids, hashes = [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = set()
+            for m in _RUN.finditer(text or ""):
+                words = m.group().split(" ")
+                found.update(_name_hash(words[i:i + n]) for n in range(2, _MOST_NAMES + 1) for i in range(len(words) - n + 1))
+            ids += [doc] * len(found)
+            hashes += found
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["id", "hash"])
+
+
+def with_known_names(rows: DataFrame) -> DataFrame:
+    """Adds ``known``: the full names with a title somewhere in the corpus that a document may have, with their gender."""
+    full = stored(rows.select("text").mapInArrow(_titled, "hash long, name string, gender string")
+                  .groupBy("hash", "name").agg(F.min("gender").alias("gender")), "titled")
+    met = rows.select("id", "text").mapInArrow(_runs, "id long, hash long").join(full, "hash")
+    known = stored(met.groupBy("id").agg(F.collect_set(F.struct("name", "gender")).alias("known")), "known")
+    return rows.join(known, "id", "left")
+
+
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(doc, kind, canonical) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text
-                for kind, canonical in {(s[2], s[3]) for s in detect(text)}]
+        rows = [(doc, kind, canonical) for doc, text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _known(batch.column(2))) if text
+                for kind, canonical in {(s[2], s[3]) for s in detect(text, known)}]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
                                           pa.array([r[2] for r in rows], pa.string())], names=["id", "kind", "canonical"])
 
@@ -222,12 +349,12 @@ def _applied(key: bytes):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, extra in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, extra, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _known(batch.column(3))):
                 if text is None:
                     texts.append(None)
                     counts.append(0)
                     continue
-                new, n = replaced(text, {(e["kind"], e["canonical"]): e["attempt"] for e in extra or ()}, key)
+                new, n = replaced(text, {(e["kind"], e["canonical"]): e["attempt"] for e in extra or ()}, key, known)
                 texts.append(new)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(texts, pa.string())],
@@ -239,10 +366,11 @@ def _applied(key: bytes):
 def anonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``doc_id, n_entities, text`` with surrogates in place of all entities."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), with_fixed_ids(F.col("doc_id")).alias("id"), "text")
-    mentions = stored(rows.select("id", "text").mapInArrow(_mentions, "id long, kind string, canonical string"), "mentions")
+    rows = with_known_names(rows)
+    mentions = stored(rows.select("id", "text", "known").mapInArrow(_mentions, "id long, kind string, canonical string"), "mentions")
     again = stored(redrawn(mentions.select("kind", "canonical").distinct(), key), "redrawn")
     extra = stored(mentions.join(again, ["kind", "canonical"]).groupBy("id").agg(
         F.collect_set(F.struct("kind", "canonical", "attempt")).alias("extra")), "extra")
     # A stored table of known size: sent to the documents when small, else both sides are shuffled.
-    return rows.join(extra, "id", "left").select("doc_id", "text", "extra").mapInArrow(
+    return rows.join(extra, "id", "left").select("doc_id", "text", "extra", "known").mapInArrow(
         _applied(key), "doc_id long, n_entities long, text string")

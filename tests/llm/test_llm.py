@@ -121,6 +121,23 @@ def test_surrogates_keep_form_and_identity(spark, documents):
     assert got[9007].n_entities == 0 and got[9004].text == "one two"
 
 
+def test_more_shapes_and_names_of_the_corpus(spark, documents):
+    secrets = ["555-123-4567", "+14155552671", "+44 20 7946 0958", "+49 170 1234567", "2001:db8::ff00:42:8329", "DE89 3704 0044 0532 0130 00",
+               "GB82WEST12345698765432", "3782 822463 10005", "O'Neil", "Anne-Marie", "Smith", "Garcia Lopez"]
+    text = ("Call 555-123-4567, +14155552671, +44 20 7946 0958 or +49 170 1234567; host 2001:db8::ff00:42:8329 at 12:30:45; account DE89 3704 0044 0532 0130 00 "
+            "and GB82WEST12345698765432, not DE00 3704 0044 0532 0130 00; card 3782 822463 10005, not 3782 822463 10006. Mr O'Neil met Mrs Anne-Marie Smith and "
+            "Dr Maria Garcia Lopez.")
+    table = documents([(1, text, "en", "a"), (2, "Later Anne-Marie Smith rang +1 415 555 2671. Smith left.", "en", "b"), (3, "The Smith works.", "en", "b")] + ODD)
+    got = {r.doc_id: r.text for r in pii_surrogates.anonymised(table).collect()}
+    assert not [x for x in secrets if x in got[1]] and "Smith" not in got[2] and "Anne" not in got[2] and got[3] == "The Smith works."
+    assert "12:30:45" in got[1] and "DE00 3704 0044 0532 0130 00" in got[1] and "3782 822463 10006" in got[1]
+    assert re.search(r"Mrs ([\w-]+ \w+) and", got[1]).group(1) == re.search(r"Later ([\w-]+ \w+) rang", got[2]).group(1)
+    assert re.search(r"\+1(\d{10})", got[1]).group(1) == "".join(re.search(r"\+1 (\d{3}) (\d{3}) (\d{4})", got[2]).groups())
+    iban = re.search(r"account (DE[\d ]+) and", got[1]).group(1).replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and len(iban) == 22
+    assert re.search(r"\+44 \d\d \d{4} \d{4} or \+49 \d{3} \d{7};", got[1]) and re.search(r"host [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4} ", got[1])
+
+
 def test_colliding_surrogates_are_redrawn(spark):
     # More one-letter addresses than letters: only longer draws can tell them apart.
     entities = spark.createDataFrame([("email", f"{c}@x{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in range(10)], "kind string, canonical string")
