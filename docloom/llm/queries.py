@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
-    context_mixing, decontamination, line_dedup, mixing, near_dedup, pii_surrogates, quality_classifier, quality_rules, secret_scans, url_filters,
+    context_mixing, conversation_repair, decontamination, line_dedup, mixing, near_dedup, pii_surrogates, quality_classifier, quality_rules,
+    secret_scans, simhash_dedup, url_filters, vector_codes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +62,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.summary(_table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_decontamination, op2_mixing, op3_pii_surrogates, op4_near_dedup, op5_quality_classifier, op6_line_dedup, op7_url_filters,
-    op8_context_mixing, op9_quality_rules, op10_secret_scans)}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op7_url_filters": url_filters.ORACLE}
+    op8_context_mixing, op9_quality_rules, op10_secret_scans, op11_conversation_repair, op12_simhash_dedup, op13_vector_codes)}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE, "op7_url_filters": url_filters.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE}

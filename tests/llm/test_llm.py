@@ -32,7 +32,7 @@ def edited(text, seed, share):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF_DIR)
     want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
