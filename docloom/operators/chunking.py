@@ -84,30 +84,35 @@ def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
     ``key, section, h1, h2, h3, body``. A heading ends the lower-level headings
     before it. Sections without any text are left out.
+
+    One fold over a document's sections carries the headings; a document stays one row until
+    its sections are listed, so nothing is shuffled.
     """
-    parts = F.split(F.col(text), r"\n(?=#{1,3} )")
-    exploded = df.select(key, F.posexplode(parts).alias("section", "_part"))
     head = r"^(#{1,3}) ([^\n]*)"
-    level = F.length(F.regexp_extract("_part", head, 1))
-    parted = exploded.select(
-        key, "section", level.alias("_level"),
-        tx.strip(F.regexp_extract("_part", head, 2)).alias("_title"),
-        tx.strip(F.when(level > 0, F.regexp_replace("_part", r"^[^\n]*", "")).otherwise(F.col("_part"))).alias("body"),
-    )
-    upto = Window.partitionBy(key).orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
-    latest = {f"_h{n}": F.max(F.when(F.col("_level") == n, F.struct("section", "_title"))).over(upto) for n in (1, 2, 3)}
-
-    def begun(n: int) -> Column:
-        return F.coalesce(F.col(f"_h{n}.section"), F.lit(-1))
-
-    return (
-        parted.withColumns(latest)
-        .withColumn("h1", F.col("_h1._title"))
-        .withColumn("h2", F.when(begun(2) > begun(1), F.col("_h2._title")))
-        .withColumn("h3", F.when(begun(3) > F.greatest(begun(1), begun(2)), F.col("_h3._title")))
-        .filter(F.col("body") != "")
-        .select(key, "section", "h1", "h2", "h3", "body")
-    )
+    level = lambda part: F.length(F.regexp_extract(part, head, 1))
+    sized = F.transform(F.split(F.col(text), r"\n(?=#{1,3} )", -1), lambda p, i: F.struct(
+        i.alias("section"), level(p).alias("level"), tx.strip(F.regexp_extract(p, head, 2)).alias("title"),
+        tx.strip(F.when(level(p) > 0, F.regexp_replace(p, r"^[^\n]*", "")).otherwise(p)).alias("body")))
+    none = F.lit(None).cast("string")
+    start = F.struct(*(none.alias(h) for h in ("h1", "h2", "h3")),
+                     F.array().cast("array<struct<section:int,h1:string,h2:string,h3:string,body:string>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = p["level"]
+        heads = F.struct(
+            F.when(at == 1, p["title"]).otherwise(acc["h1"]).alias("h1"),
+            F.when(at == 2, p["title"]).when(at == 1, none).otherwise(acc["h2"]).alias("h2"),
+            F.when(at == 3, p["title"]).when(at.isin(1, 2), none).otherwise(acc["h3"]).alias("h3"))
+
+        def carried(h: Column) -> Column:
+            row = F.struct(p["section"].alias("section"), h["h1"].alias("h1"), h["h2"].alias("h2"), h["h3"].alias("h3"), p["body"].alias("body"))
+            out = F.when(p["body"] != "", F.concat(acc["out"], F.array(row))).otherwise(acc["out"])
+            return F.struct(h["h1"].alias("h1"), h["h2"].alias("h2"), h["h3"].alias("h3"), out.alias("out"))
+
+        return tx.let(heads, carried)
+
+    listed = F.aggregate(sized, start, step, lambda acc: acc["out"])
+    return df.select(key, F.inline(listed))
 
 
 def chunk_markdown(df: DataFrame, key: str, text: str, include_headers: bool = True) -> DataFrame:

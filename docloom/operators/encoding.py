@@ -10,11 +10,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.vectors import norm
+from docloom.functions import text as tx
+from docloom.functions.vectors import l2_normalize, norm
 
 DIMENSION = 256
 # Texts given to an encoder at a time.
@@ -136,6 +137,32 @@ def embed(df: DataFrame, text: str, out: str = "embedding",
     return df.mapInPandas(batches, schema)
 
 
+def hashed_counts(text: Column) -> Column:
+    """The signed token counts of ``HashingEncoder`` as an expression: 256 numbers, without Python.
+
+    A token's half bucket (bucket and sign) is the first three hex digits of its md5, without the last
+    three bits. Sorted behind one mark for each half bucket, the marks' distances are the counts.
+    """
+    halves = 2 * DIMENSION
+    own = F.transform(tx.tokens(text), lambda t: F.shiftright(F.conv(F.substring(F.md5(t), 1, 3), 16, 10).cast("int"), 3))
+    marked = F.array_sort(F.concat(own, F.sequence(F.lit(0), F.lit(halves - 1))))
+
+    def counts(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return tx.let(F.concat(starts, F.array(n)), lambda at: F.transform(
+            F.sequence(F.lit(0), F.lit(DIMENSION - 1)),
+            lambda b: (2 * F.get(at, 2 * b + 1) - F.get(at, 2 * b) - F.get(at, 2 * b + 2)).cast("double")))
+
+    return tx.let(marked, counts)
+
+
+def embed_hashing(df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+    """Adds ``out`` and ``<out>_status`` as ``embed`` with the hashing encoder does, within the JVM."""
+    found = df.withColumn(out, tx.let(hashed_counts(F.coalesce(F.col(text), F.lit(""))), l2_normalize))
+    return found.withColumn(f"{out}_status", F.when(F.col(out).isNull(), "ERROR: no direction").otherwise("SUCCESS"))
+
+
 def embedding_report(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """Rows, missing vectors, dimensions and norm spread."""
     n = norm(F.col(vector))

@@ -9,27 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.operators.scaling import stored
 from docloom.operators.similarity import DECIMALS, similarity_topk
 
 # Fixed value: the constant of reciprocal rank fusion.
 RRF_C = 60
 
-# Hits of a few numbers each: some tens of megabytes.
-MAX_BROADCAST_HITS = 500_000
-
 
 def min_score(hits: DataFrame, threshold: float) -> DataFrame:
     return hits.filter(F.col("score") >= threshold)
 
 
-def with_index_columns(hits: DataFrame, index: DataFrame, columns: list[str], max_hits: int) -> DataFrame:
+def with_index_columns(hits: DataFrame, index: DataFrame, columns: list[str]) -> DataFrame:
     """Brings index columns to the hits; only the needed ones are read.
 
-    ``max_hits``, the number of queries times k, bounds the hits. Up to
-    ``MAX_BROADCAST_HITS`` they go to the index, whose rows then stay where they are.
+    The hits are stored first: their size is then known when the join is planned, and
+    they travel to the index if Spark's own limit allows, whose rows then stay where they are.
     """
-    found = F.broadcast(hits) if max_hits <= MAX_BROADCAST_HITS else hits
-    return index.select("chunk_id", *columns).join(found, "chunk_id")
+    return index.select("chunk_id", *columns).join(stored(hits, "hits"), "chunk_id")
 
 
 def to_documents(hits: DataFrame, text: str, uri: str, metadata: list[str]) -> DataFrame:
@@ -100,12 +97,13 @@ def two_step(candidates: DataFrame, query: str, text: str, k: int, weight: float
     return rerank(mixed.withColumn("combined_score", F.round(both, DECIMALS + 3)), F.desc("combined_score"), k)
 
 
-def expand_topk(variants: DataFrame, index: DataFrame, k: int, per_variant: int | None = None) -> DataFrame:
+def expand_topk(variants: DataFrame, search: Callable[[DataFrame, int], DataFrame], k: int, per_variant: int | None = None) -> DataFrame:
     """Search every variant of a question, keep a chunk's best score, then the best k.
 
-    ``variants`` holds ``query_id, variant_id`` (unique) and a vector.
+    ``variants`` holds ``query_id, variant_id`` (unique) and a vector; ``search`` gives the hits of
+    queries and a number of hits, as ``VectorIndex.search`` does.
     """
-    found = similarity_topk(variants.select(F.col("variant_id").alias("query_id"), "embedding"), index, per_variant or k)
+    found = search(variants.select(F.col("variant_id").alias("query_id"), "embedding"), per_variant or k)
     owners = variants.select("query_id", "variant_id")
     hits = found.withColumnRenamed("query_id", "variant_id").join(owners, "variant_id")
     best = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_variants"))

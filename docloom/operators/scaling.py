@@ -1,32 +1,15 @@
-"""Plan pieces shared by the operators: bounded collection, skew-safe joins,
+"""Plan pieces shared by the operators: stored tables, skew-safe joins,
 running sums and exact percentiles that hold when one key owns most rows."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# What a driver may hold and ship to every task.
-MAX_SIDE_ROWS = 20_000
-MAX_SIDE_BYTES = 64 * 1024 * 1024
-
-
-def measured(df: DataFrame, size: Column, max_rows: int, max_bytes: int) -> tuple[int, bool]:
-    """Row count of ``df`` and whether it fits the two bounds."""
-    rows, nbytes = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()
-    return rows, rows <= max_rows and nbytes <= max_bytes
-
-
-def collect_if_small(df: DataFrame, size: Column, max_rows: int = MAX_SIDE_ROWS,
-                     max_bytes: int = MAX_SIDE_BYTES) -> tuple[int, pa.Table | None]:
-    """The rows of ``df`` when they fit the bounds, otherwise only their number."""
-    rows, fits = measured(df, size, max_rows, max_bytes)
-    return rows, df.toArrow() if fits else None
-
-
 def left_join_skewed(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                      right_keys: DataFrame | None = None) -> DataFrame:
     """Left join whose right side may hold most of its rows under one key.
@@ -118,19 +101,38 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A copy of ``df`` in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the one that ``spark.checkpoint.dir`` names; only a local session may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="docloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/docloom-{spark.sparkContext.applicationId}"
 
-    Where that is unset, a local session's copy goes below the warehouse; a
-    cluster has to name the folder, since others cannot see a local one.
-    """
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: no lineage, and its size is known to the planner."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def input_files(df: DataFrame) -> tuple:
+    """Path, size and time of the files that ``df`` reads, without a job."""
     spark = df.sparkSession
-    context = spark.sparkContext
+    found = []
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
     return df.checkpoint()

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.functions.vectors import dot, norm
 from docloom.operators.chunking import explode_chunks, register_chunker
-from docloom.operators.encoding import Encoder, HashingEncoder
+from docloom.operators.encoding import Encoder, hashed_counts
 
 # The defaults of the semantic chunker.
 MAX_CHUNK_SIZE = 512
@@ -67,11 +68,21 @@ def _gaps(texts: list[str], encoder: Encoder) -> np.ndarray:
     return np.round(gaps, 9) + 0.0
 
 
-def neighbour_distances(sentences: Column, factory: Callable[[], Encoder] = HashingEncoder) -> Column:
+def neighbour_distances(sentences: Column, factory: Callable[[], Encoder] | None = None) -> Column:
     """Cosine distance of each sentence to the next one; 0 for the last.
 
-    A sentence without a vector is at distance 1 from its neighbours.
+    A sentence without a vector is at distance 1 from its neighbours. Without a ``factory``,
+    sentences are hashed within the JVM; with one, an encoder of it runs in each task.
     """
+    if factory is None:
+        def pairs(vectors: Column) -> Column:
+            last = F.size(vectors) - 1
+            # Signed counts are whole numbers: products and sums are exact.
+            return F.transform(vectors, lambda v, i: F.when(i == last, 0.0).otherwise(F.round(F.lit(1.0) - F.coalesce(
+                F.try_divide(dot(v, F.get(vectors, i + 1)), norm(v) * norm(F.get(vectors, i + 1))), F.lit(0.0)), 9) + 0.0))
+
+        return tx.let(F.transform(sentences, hashed_counts), pairs)
+
     @F.pandas_udf("array<double>")
     def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = factory()
@@ -94,39 +105,39 @@ def array_percentile(values: Column, fraction: float) -> Column:
     return F.when(F.size(values) > 0, tx.let(F.sort_array(values), at))
 
 
-def _segments(counts: pd.Series, gaps: pd.Series, threshold: pd.Series, max_tokens: pd.Series,
-              min_sentences: pd.Series) -> pd.Series:
-    out = []
-    for tokens, gap, limit, most, least in zip(counts, gaps, threshold, max_tokens, min_sentences):
-        groups: list[dict] = []
-        total = 0
-        for i, n in enumerate(tokens):
-            if groups:
-                length = groups[-1]["len"]
-                drifted = length % least == 0 and gap[i - 1] > limit
-                if total + n <= most and not drifted:
-                    groups[-1]["len"] = length + 1
-                    total += n
-                    continue
-            groups.append({"start": i + 1, "len": 1})
-            total = n
-        out.append(groups)
-    return pd.Series(out)
-
-
 def segment(counts: Column, distances: Column, threshold: Column, max_tokens: int, min_sentences: int) -> Column:
     """Greedy groups of sentences as ``array<struct<start, len>>``, ``start`` from 1.
 
     A group ends when the next sentence would exceed ``max_tokens``, or when it
     holds a multiple of ``min_sentences`` and the gap to the next is above the threshold.
+    One fold over the sentences holds the groups' starts, the last group's length and its tokens.
     """
-    grouped = F.pandas_udf(_segments, "array<struct<start int, len int>>").asNondeterministic()
-    return grouped(counts, distances, F.coalesce(threshold, F.lit(0.0)), F.lit(max_tokens), F.lit(min_sentences))
+    def state(starts: Column, length: Column, total: Column) -> Column:
+        return F.struct(starts.alias("starts"), length.alias("len"), total.cast("long").alias("total"))
+
+    def grouped(given: Column) -> Column:
+        tokens, gaps = given["tokens"], given["gaps"]
+
+        def step(acc: Column, i: Column) -> Column:
+            n = F.get(tokens, i).cast("long")
+            drifted = (acc["len"] % min_sentences == 0) & (F.get(gaps, i - 1) > given["limit"])
+            joins = (acc["len"] > 0) & (acc["total"] + n <= max_tokens) & ~F.coalesce(drifted, F.lit(False))
+            return F.when(joins, state(acc["starts"], acc["len"] + 1, acc["total"] + n)).otherwise(
+                state(F.concat(acc["starts"], F.array(i + 1)), F.lit(1), n))
+
+        start = state(F.array().cast("array<int>"), F.lit(0), F.lit(0))
+        folded = F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, lambda acc: acc["starts"])
+        groups = tx.let(folded, lambda s: F.transform(s, lambda at, g: F.struct(
+            at.alias("start"), (F.coalesce(F.get(s, g + 1), F.size(tokens) + 1) - at).alias("len"))))
+        return F.when(F.size(tokens) > 0, groups).otherwise(F.array().cast("array<struct<start:int,len:int>>"))
+
+    # Handed over at once: a column named within the fold would be computed again for every sentence.
+    return tx.let(F.struct(counts.alias("tokens"), distances.alias("gaps"), F.coalesce(threshold, F.lit(0.0)).alias("limit")), grouped)
 
 
 def semantic_groups(df: DataFrame, text: str, max_tokens: int = MAX_CHUNK_SIZE, fraction: float = SPLIT_PERCENTILE,
                     min_sentences: int = MIN_SENTENCES,
-                    factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
+                    factory: Callable[[], Encoder] | None = None) -> DataFrame:
     """Adds the arrays ``sentences, token_counts, distances, groups`` and the ``threshold``."""
     staged = df.withColumn("_parts", fitting_sentences(F.col(text), max_tokens))
     staged = staged.withColumns({"sentences": F.col("_parts.part"), "token_counts": F.col("_parts.n")}).drop("_parts")
@@ -139,10 +150,11 @@ def semantic_groups(df: DataFrame, text: str, max_tokens: int = MAX_CHUNK_SIZE,
 
 def chunk_semantic(df: DataFrame, text: str, keep: list[str], max_tokens: int = MAX_CHUNK_SIZE,
                    fraction: float = SPLIT_PERCENTILE, min_sentences: int = MIN_SENTENCES,
-                   factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
+                   factory: Callable[[], Encoder] | None = None) -> DataFrame:
     """Chunk rows; a document with fewer than ``min_sentences`` gives its sentences as they are."""
     staged = semantic_groups(df, text, max_tokens, fraction, min_sentences, factory)
-    grouped = F.transform("groups", lambda g: F.array_join(F.slice(F.col("sentences"), g["start"], g["len"]), " "))
+    grouped = tx.let(F.struct("groups", "sentences"), lambda s: F.transform(
+        s["groups"], lambda g: F.array_join(F.slice(s["sentences"], g["start"], g["len"]), " ")))
     whole = tx.sentences(F.col(text))
     chunks = F.when(F.size(whole) < min_sentences, whole).otherwise(grouped)
     return explode_chunks(staged, chunks, keep)

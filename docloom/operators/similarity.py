@@ -1,175 +1,153 @@
-"""Vector search: the best k chunks of each query.
+"""Exact vector search over an index that is asked once: blocks of queries meet blocks of the index.
 
-Queries that fit a checked bound travel to the index, whose partitions are
-scored in place; larger query sets are cut into blocks and joined to index
-blocks. Both are exact and shuffle k rows per query and task, never all pairs.
+An index that is asked often is built as lists (``vector_index``), which rule out
+most pairs where the vectors have any structure; here every pair is scored. Both
+rank by the score itself and round only what they show.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.scaling import MAX_SIDE_BYTES, MAX_SIDE_ROWS, collect_if_small
-
-DECIMALS = 6
-# Scores held at a time by one task.
-_BLOCK_SCORES = 4_000_000
-
-
-def list_matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """``matrix`` of an Arrow list column, without a Python object per vector."""
-    if dim == 0:
-        return np.zeros((0, 0)), np.zeros(len(vectors), dtype=bool)
-    good = pc.equal(pc.list_value_length(vectors), dim).fill_null(False).to_numpy(zero_copy_only=False)
+# Shown digits; scores that agree in ``TIE`` digits are ties, settled by id, as their sums may differ in the last bits.
+DECIMALS, TIE = 6, 12
+# Vectors of one side in a task.
+BLOCK_BYTES = 32 * 1024 * 1024
+# Below the k-th best by how much a product may lie and still be compared exactly.
+SLACK = 1e-9
+# Scores, and candidates, held at a time by one task.
+_HELD = 4_000_000
+
+
+def list_matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``dim`` finite numbers as a matrix, and which rows those are."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    if dim == 0 or not len(vectors):
+        return np.zeros((0, dim)), np.zeros(len(vectors), dtype=bool)
+    good = pc.equal(pc.list_value_length(vectors), dim).fill_null(False).to_numpy(zero_copy_only=False).copy()
     rows = vectors.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     finite = np.isfinite(rows).all(axis=1)
     good[np.flatnonzero(good)[~finite]] = False
     return rows[finite], good
 
 
-def matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with ``dim`` finite numbers as a matrix, and which rows those are."""
-    good = np.array([v is not None and len(v) == dim for v in vectors], dtype=bool)
-    if not good.any():
-        return np.zeros((0, dim)), good
-    rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors[good]])
-    finite = np.isfinite(rows).all(axis=1)
-    good[np.flatnonzero(good)[~finite]] = False
-    return rows[finite], good
-
-
-def best_k(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of each ``q``: score descending, then chunk id."""
-    ordered = frame.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-    return ordered[ordered.groupby("q", sort=False).cumcount() < k]
-
+class Best:
+    """The best k rows of each query so far, and all that are within the slack of them."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held = k, [], 0
+
+    def add(self, scores: np.ndarray, row_numbers: np.ndarray, query_numbers: np.ndarray) -> None:
+        """``scores`` has a row per index row and a column per query."""
+        if len(scores) > self.k:
+            floor = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+            row, q = np.nonzero(scores >= floor - SLACK)
+        else:
+            row, q = (x.ravel() for x in np.indices(scores.shape))
+        self.parts.append((query_numbers[q], row_numbers[row], scores[row, q]))
+        self.held += len(q)
+        if self.held > _HELD:
+            self._reduce()
+
+    def _reduce(self) -> None:
+        q, row, score = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        order = np.lexsort((-score, q))
+        q, row, score = q[order], row[order], score[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.intp)
+        sizes = np.diff(np.r_[first, len(q)])
+        last = score[np.minimum(first + self.k, first + sizes) - 1]
+        keep = score >= np.repeat(last, sizes) - SLACK
+        self.parts, self.held = [(q[keep], row[keep], score[keep])], int(keep.sum())
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Query and row numbers."""
+        if not self.parts:
+            return np.empty(0, np.intp), np.empty(0, np.intp)
+        self._reduce()
+        return self.parts[0][:2]
+
+
+def score_blocks(query_matrix: np.ndarray, rows: np.ndarray, row_numbers: np.ndarray, query_numbers: np.ndarray, best: Best) -> None:
+    step = max(1, _HELD // max(1, len(query_numbers)))
+    asked = query_matrix[query_numbers]
+    for at in range(0, len(row_numbers), step):
+        part = row_numbers[at:at + step]
+        best.add(rows[part] @ asked.T, part, query_numbers)
+
+
+def exact_scores(query_matrix: np.ndarray, rows: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The same product for the same two vectors, wherever they stand. Adding zero turns -0.0 into 0.0."""
+    return np.einsum("ij,ij->i", query_matrix[q], rows[row]) + 0.0
+
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, with ``rank``; the score unrounded."""
+    order = Window.partitionBy("query_id").orderBy(F.round("score", TIE).desc(), F.asc("chunk_id"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-def candidates(scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Of a rows x queries score matrix, all that may be among a query's best k (ties kept)."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-        row, q = np.nonzero(scores >= floor)
-    else:
-        row, q = (x.ravel() for x in np.indices(scores.shape))
-    return pd.DataFrame({"q": q, "chunk_id": ids[row], "score": scores[row, q]})
 
+def shown(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", DECIMALS) + 0.0)
 
-def no_hits() -> pd.DataFrame:
-    # Typed as objects: an empty float column cannot become a column of strings.
-    return pd.DataFrame({n: pd.Series(dtype=object) for n in ("query_id", "chunk_id", "score")})
 
+def usable_queries(queries: DataFrame, vector: str = "embedding") -> DataFrame:
+    asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("embedding"))
+    return asked.filter(F.col("embedding").isNotNull())
 
-def scan_topk(query_matrix: np.ndarray, k: int):
-    """Function over (ids, matrix) pairs keeping the running best k per query."""
-    def scan(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame | None:
-        best = None
-        step = max(1, _BLOCK_SCORES // max(1, len(query_matrix)))
-        for ids, rows in pairs:
-            for at in range(0, len(rows), step):
-                # Adding zero turns -0.0 into 0.0.
-                scores = np.round(rows[at:at + step] @ query_matrix.T, DECIMALS) + 0.0
-                found = candidates(scores, ids[at:at + step], k)
-                best = best_k(found if best is None else pd.concat([best, found]), k)
-        return best
 
-    return scan
+def blocks(df: DataFrame, vector: str = "embedding") -> int:
+    """Blocks of bounded bytes that ``df`` makes."""
+    return max(1, math.ceil((df.agg(F.sum(F.size(vector) * 8)).first()[0] or 0) / BLOCK_BYTES))
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def hit_schema(asked: DataFrame, indexed: DataFrame, columns: list[str] | None = None) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("chunk_id", indexed.schema["chunk_id"].dataType),
+        *[T.StructField(c, indexed.schema[c].dataType) for c in columns or []], T.StructField("score", T.DoubleType())])
 
 
 def similarity_topk(queries: DataFrame, index: DataFrame, k: int, where: Column | None = None,
-                    query_vector: str = "embedding", index_vector: str = "embedding",
-                    max_query_rows: int = MAX_SIDE_ROWS, max_query_bytes: int = MAX_SIDE_BYTES) -> DataFrame:
+                    query_vector: str = "embedding", index_vector: str = "embedding") -> DataFrame:
     """``query_id, chunk_id, score, rank`` of the k highest dot products.
 
-    ``queries`` holds ``query_id`` and a vector, ``index`` a ``chunk_id`` and a
-    vector; ``where`` filters the index before the search. Vectors that are
+    ``queries`` holds ``query_id`` (unique) and a vector, ``index`` a ``chunk_id``
+    and a vector; ``where`` filters the index before the search. Vectors that are
     null, hold a non-number or differ in size from the queries have no score.
+    Every block of queries meets every block of the index, by equality on the
+    pair of block numbers; a task sends k rows per query.
     """
     if where is not None:
         index = index.filter(where)
-    asked = queries.select("query_id", F.col(query_vector).cast("array<double>").alias("embedding"))
-    asked = asked.filter(F.col("embedding").isNotNull())
-    indexed = index.select("chunk_id", F.col(index_vector).alias("embedding"))
-    n_queries, small = collect_if_small(asked, F.size("embedding") * 8, max_query_rows, max_query_bytes)
-    out = T.StructType([
-        T.StructField("query_id", asked.schema["query_id"].dataType),
-        T.StructField("chunk_id", indexed.schema["chunk_id"].dataType),
-        T.StructField("score", T.DoubleType())])
-    if small is not None:
-        return _ranked(_scan_index(small, indexed, k, out), k)
-    return _ranked(_join_blocks(asked, indexed, k, out, n_queries, max_query_rows), k)
-
-
-def hit_batch(best: pd.DataFrame, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        query_ids.take(pa.array(best["q"].to_numpy())), pa.array(best["chunk_id"].tolist(), id_type),
-        pa.array(best["score"].to_numpy(), pa.float64())], ["query_id", "chunk_id", "score"])
-
-
-def _scan_index(small: pa.Table, indexed: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    """Each task keeps the best k of every query over all of its rows, and sends those alone."""
-    asked = small.combine_chunks()
-    embeddings, ids = (asked.column(c).combine_chunks() for c in ("embedding", "query_id"))
-    dim = len(embeddings[0]) if len(embeddings) else 0
-    query_matrix, good = list_matrix(embeddings, dim)
-    query_ids = ids.filter(pa.array(good))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_type = None
-
-        def pairs():
-            nonlocal id_type
-            for batch in batches:
-                id_type = batch.column("chunk_id").type
-                rows, usable = list_matrix(batch.column("embedding"), dim)
-                yield batch.column("chunk_id").to_numpy(zero_copy_only=False)[usable], rows
-
-        best = scan_topk(query_matrix, k)(pairs()) if len(query_ids) else None
-        if best is not None and len(best):
-            yield hit_batch(best, query_ids, id_type)
-
-    return indexed.mapInArrow(scored, out)
-
-
-def _join_blocks(asked: DataFrame, indexed: DataFrame, k: int, out: T.StructType,
-                 n_queries: int, block: int) -> DataFrame:
-    """Every query block meets every index block, by equality on the pair of block numbers.
-
-    Both ids are unique, so their hashes fill the blocks evenly whatever the vectors are.
-    """
-    n_chunks = indexed.count()
-    q_blocks = max(1, math.ceil(n_queries / max(1, block // 2)))
-    i_blocks = max(1, math.ceil(n_chunks / 50_000))
-
-    def number(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("ib", number(i_blocks))
-    right = indexed.withColumn("ib", F.pmod(F.xxhash64("chunk_id"), F.lit(i_blocks)).cast("int")).withColumn("qb", number(q_blocks))
-
-    def meet(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return no_hits()
-        dim = len(q["embedding"].iloc[0])
-        query_matrix, good = matrix(q["embedding"], dim)
-        rows, usable = matrix(i["embedding"], dim)
-        best = scan_topk(query_matrix, k)(iter([(i["chunk_id"].to_numpy()[usable], rows)])) if len(query_matrix) else None
-        if best is None:
-            return no_hits()
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[good][best["q"]],
-                             "chunk_id": best["chunk_id"].to_numpy(), "score": best["score"].to_numpy()})
-
-    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(meet, out)
+    asked = usable_queries(queries, query_vector)
+    indexed = index.select("chunk_id", F.col(index_vector).cast("array<double>").alias("embedding"))
+    q_blocks = blocks(asked)
+    # At least a block for each core.
+    i_blocks = max(blocks(indexed), indexed.sparkSession.sparkContext.defaultParallelism)
+
+    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        number = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
+        return df.select("*", number.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    def meet(q: pa.Table, i: pa.Table) -> pa.Table:
+        dim = len(q["embedding"][0]) if q.num_rows else 0
+        query_matrix, good = list_matrix(q["embedding"], dim)
+        rows, usable = list_matrix(i["embedding"], dim)
+        best = Best(k)
+        if len(rows) and len(query_matrix):
+            score_blocks(query_matrix, rows, np.arange(len(rows)), np.arange(len(query_matrix)), best)
+        at, row = best.pairs()
+        return pa.table({"query_id": q["query_id"].filter(pa.array(good)).take(pa.array(at)),
+                         "chunk_id": i["chunk_id"].filter(pa.array(usable)).take(pa.array(row)),
+                         "score": exact_scores(query_matrix, rows, at, row)})
+
+    left = dealt(asked, "query_id", "qb", q_blocks, "ib", i_blocks).groupBy("qb", "ib")
+    right = dealt(indexed, "chunk_id", "ib", i_blocks, "qb", q_blocks).groupBy("qb", "ib")
+    return shown(ranked(left.cogroup(right).applyInArrow(meet, hit_schema(asked, indexed)), k))

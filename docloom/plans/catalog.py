@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from docloom.functions import markup, vectors
 from docloom.functions import text as tx
 from docloom.operators import (
-    chunking, cleaning, diagnosis, dialogue, encoding, experiments, feedback, indexing, ivf, keyword, metrics,
-    parsing, ranking, responses, semantic, settings, similarity, splitting,
+    chunking, cleaning, diagnosis, dialogue, encoding, experiments, feedback, indexing, keyword, metrics,
+    parsing, ranking, responses, semantic, settings, splitting, vector_index,
 )
 from docloom.operators.scaling import spread
 from docloom.plans import sweep
@@ -290,7 +290,7 @@ def chunk_semantic(t: Tables) -> DataFrame:
 
 @query
 def embed_hashing(t: Tables) -> DataFrame:
-    embedded = encoding.embed(t.documents.select("doc_id", "text"), "text")
+    embedded = encoding.embed_hashing(t.documents.select("doc_id", "text"), "text")
     exploded = embedded.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
     return exploded.filter(F.col("weight") != 0).select("doc_id", F.col("bucket").cast("long").alias("bucket"),
                                                         F.round("weight", 6).alias("weight"))
@@ -311,16 +311,18 @@ def embedding_report(t: Tables) -> DataFrame:
 
 # --- retrieval -------------------------------------------------------------
 
-def _topk(t: Tables, k: int = 5, where=None) -> DataFrame:
-    return similarity.similarity_topk(inputs.vector_queries(t.embeddings), inputs.vector_index(t.embeddings), k, where)
+def _vectors(t: Tables) -> vector_index.VectorIndex:
+    return vector_index.built_once(inputs.vector_index(t.embeddings), t.embeddings, "embeddings", ["label", "doc_id"])
+
+
+def _topk(t: Tables, k: int = 5, where=None, nprobe: int | None = None) -> DataFrame:
+    return _vectors(t).search(inputs.vector_queries(t.embeddings), k, nprobe, where, ["label", "doc_id"])
 
 
 def _hits(t: Tables, k: int = 5) -> DataFrame:
     """Ranked hits with labels; a hit is relevant when its label is the query's."""
-    index = inputs.vector_index(t.embeddings)
     asked = inputs.vector_queries(t.embeddings).select("query_id", F.col("label").alias("query_label"))
-    found = ranking.with_index_columns(_topk(t, k), index, ["label", "doc_id"], t.embeddings.count() * k)
-    return found.join(asked, "query_id").withColumn("relevant", F.col("label") == F.col("query_label"))
+    return _topk(t, k).join(asked, "query_id").withColumn("relevant", F.col("label") == F.col("query_label"))
 
 
 def _shown(hits: DataFrame) -> DataFrame:
@@ -332,13 +334,19 @@ def retrieve_topk(t: Tables) -> DataFrame:
     return _shown(_topk(t))
 
 
+# Share of the lists that an approximate search of the embeddings probes.
+PROBED = 0.6
+
+
 @query
 def retrieve_ann(t: Tables) -> DataFrame:
-    index = inputs.vector_index(t.embeddings)
-    n_lists = ivf.list_count(index)
-    centroids = ivf.train_centroids(index, n_lists)
-    lists = ivf.assign_lists(index.select("chunk_id", "embedding"), centroids)
-    return _shown(ivf.ann_topk(inputs.vector_queries(t.embeddings), lists, centroids, 5, max(1, n_lists // 4)))
+    return _shown(_topk(t, nprobe=max(1, round(PROBED * len(_vectors(t).list_ids)))))
+
+
+@query
+def retrieve_ann_all_lists(t: Tables) -> DataFrame:
+    """The approximate search with all lists probed, which is exact."""
+    return _shown(_topk(t, nprobe=len(_vectors(t).list_ids)))
 
 
 @query
@@ -353,37 +361,35 @@ def retrieve_filtered(t: Tables) -> DataFrame:
 
 @query
 def retrieve_by_document(t: Tables) -> DataFrame:
-    hits = ranking.with_index_columns(_topk(t, 10), inputs.vector_index(t.embeddings), ["doc_id"],
-                                      t.embeddings.count() * 10)
-    grouped = ranking.group_by_document(hits, "doc_id")
+    grouped = ranking.group_by_document(_topk(t, 10), "doc_id")
     return grouped.withColumn("first_rank", F.col("first_rank").cast("long"))
 
 
 def _embedded_queries(t: Tables) -> DataFrame:
-    return encoding.embed(inputs.text_queries(t.benchmark), "query")
+    return encoding.embed_hashing(inputs.text_queries(t.benchmark), "query")
 
 
-def _embedded_docs(t: Tables) -> DataFrame:
-    return encoding.embed(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), "text")
+def _document_vectors(t: Tables) -> vector_index.VectorIndex:
+    docs = encoding.embed_hashing(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), "text")
+    return vector_index.built_once(docs, t.documents, "documents")
 
 
 def _semantic_hits(t: Tables, k: int) -> DataFrame:
-    return similarity.similarity_topk(_embedded_queries(t), _embedded_docs(t), k)
+    return _document_vectors(t).search(_embedded_queries(t), k)
 
 
 def _keyword_hits(t: Tables, k: int, scheme: str = "bm25") -> DataFrame:
-    return keyword.keyword_topk(inputs.text_queries(t.benchmark), t.documents, k, scheme)
+    return keyword.built_once(t.documents, "documents").search(inputs.text_queries(t.benchmark), k, scheme)
 
 
-def _with_texts(t: Tables, hits: DataFrame, columns: list[str], k: int) -> DataFrame:
+def _with_texts(t: Tables, hits: DataFrame, columns: list[str]) -> DataFrame:
     docs = inputs.parsed_docs(t.documents).withColumnRenamed("doc_id", "chunk_id")
-    found = ranking.with_index_columns(hits, docs, columns, t.benchmark.count() * k)
-    return found.join(inputs.text_queries(t.benchmark), "query_id")
+    return ranking.with_index_columns(hits, docs, columns).join(inputs.text_queries(t.benchmark), "query_id")
 
 
 @query
 def retrieve_documents(t: Tables) -> DataFrame:
-    hits = _with_texts(t, _semantic_hits(t, 5), ["doc_content", "doc_uri", "lang", "source"], 5)
+    hits = _with_texts(t, _semantic_hits(t, 5), ["doc_content", "doc_uri", "lang", "source"])
     docs = ranking.to_documents(hits, "doc_content", "doc_uri", ["lang", "source"])
     m = F.col("metadata")
     return docs.select("query_id", F.col("rank").cast("long").alias("rank"), F.md5("page_content").alias("page_id"),
@@ -409,14 +415,14 @@ def retrieve_hybrid_rrf(t: Tables) -> DataFrame:
 
 @query
 def retrieve_hybrid_two_step(t: Tables) -> DataFrame:
-    candidates = _with_texts(t, _semantic_hits(t, 50).drop("rank"), ["doc_content"], 50)
+    candidates = _with_texts(t, _semantic_hits(t, 50).drop("rank"), ["doc_content"])
     best = ranking.two_step(candidates, "query", "doc_content", 10, 0.5)
     return best.select("query_id", "chunk_id", "keyword_score", "combined_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def rerank_overlap(t: Tables) -> DataFrame:
-    hits = _with_texts(t, _keyword_hits(t, 20), ["doc_content"], 20)
+    hits = _with_texts(t, _keyword_hits(t, 20), ["doc_content"])
     best = ranking.rerank_by_scorer(hits.drop("rank"), "overlap", "query", "doc_content", 5)
     return best.select("query_id", "chunk_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
@@ -434,7 +440,7 @@ def retrieve_expanded(t: Tables) -> DataFrame:
     variants = asked.select("query_id", F.posexplode(tx.sentences(F.col("query"))).alias("n", "variant"))
     named = variants.select("query_id", F.concat_ws("/", F.col("query_id").cast("string"), F.col("n").cast("string"))
                             .alias("variant_id"), "variant")
-    best = ranking.expand_topk(encoding.embed(named, "variant"), _embedded_docs(t), 5)
+    best = ranking.expand_topk(encoding.embed_hashing(named, "variant"), _document_vectors(t).search, 5)
     return best.select("query_id", "chunk_id", "score", "n_variants", F.col("rank").cast("long").alias("rank"))
 
 
@@ -458,7 +464,7 @@ def classify_intent(t: Tables) -> DataFrame:
 
 @query
 def assemble_context(t: Tables) -> DataFrame:
-    hits = _with_texts(t, _semantic_hits(t, 3), ["doc_content", "doc_uri"], 3)
+    hits = _with_texts(t, _semantic_hits(t, 3), ["doc_content", "doc_uri"])
     context = ranking.assemble_context(hits, "doc_content", "doc_uri", "Passage: {chunk_text}\nSource: {doc_uri}\n")
     return context.select("query_id", F.md5("context").alias("context_id"), F.length("context").cast("long").alias("n_chars"),
                           "n_chunks")

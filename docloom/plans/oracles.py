@@ -261,6 +261,33 @@ def fitting(most: int) -> list[str]:
 add("split_oversize_sentence", "SELECT doc_id, pos, md5(part) AS part_id FROM parts_v", *fitting(MAX_SENTENCE), recursive=True)
 
 
+# The splitter: slices by level, numbered by their path; then one step per chunk over sums of slice lengths.
+add("chunk_recursive", f"""SELECT md5(chunk) AS chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_pos, {n_words('chunk')} AS n_tokens
+FROM (SELECT doc_id, i, {strip("array_to_string(list_slice(parts, start + 1, i), '')")} AS chunk FROM jump JOIN listed USING (doc_id) WHERE pre[i + 1] > pre[prev + 1])""",
+    f"""cut AS (
+  SELECT doc_id, '' AS path, 0 AS level, text AS part FROM documents WHERE text <> ''
+  UNION ALL
+  SELECT doc_id, path || lpad(CAST(unnest(range(len(subs))) AS VARCHAR), 8, '0'), level + 1, unnest(subs) FROM (
+    SELECT *, CASE level
+        WHEN 0 THEN list_filter(string_split(regexp_replace(regexp_replace(replace(part, chr(10), chr(1) || chr(10)), '\\x01(\\n[^\\x01])', '\\1', 'g'), '\\x01(\\n)$', '\\1'), chr(1)), lambda x: x <> '')
+        WHEN 1 THEN list_filter(string_split(replace(part, chr(10), chr(1) || chr(10)), chr(1)), lambda x: x <> '')
+        WHEN 2 THEN list_filter(string_split(replace(part, ' ', chr(1) || ' '), chr(1)), lambda x: x <> '')
+        ELSE [left(part, length(part) // 2), substr(part, length(part) // 2 + 1)] END AS subs
+    FROM cut WHERE {n_words('part')} > 256 AND length(part) > 1))""",
+    f"""slices AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY path) AS upto FROM (
+  SELECT doc_id, path, part, {n_words('part')} AS n FROM cut WHERE NOT ({n_words('part')} > 256 AND length(part) > 1)))""",
+    """listed AS MATERIALIZED (SELECT doc_id, list(part ORDER BY path) AS parts, list_prepend(0, list(CAST(upto AS BIGINT) ORDER BY path)) AS pre, count(*) AS cnt
+  FROM slices GROUP BY doc_id)""",
+    """jump AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS prev,
+         coalesce(list_min(list_filter(range(1, cnt), lambda x: pre[x + 2] - pre[1] > 256)), cnt) AS i FROM listed
+  UNION ALL
+  SELECT doc_id, s, here, coalesce(list_min(list_filter(range(here + 1, cnt), lambda x: pre[x + 2] - pre[s + 1] > 256)), cnt) FROM (
+    SELECT j.doc_id, j.i AS here, l.pre, l.cnt,
+           list_min(list_filter(range(j.start, j.i + 1), lambda x: l.pre[j.i + 1] - l.pre[x + 1] <= least(64, 256 - (l.pre[j.i + 2] - l.pre[j.i + 1])))) AS s
+    FROM jump j JOIN listed l USING (doc_id) WHERE j.i < l.cnt))""", recursive=True)
+
+
 def hashed(source: str, key: str, text: str, name: str) -> list[str]:
     """<name> (key, bucket, n) and <name>_len (key, len): signed token counts per bucket."""
     digit = "instr('0123456789abcdef', substring(h, {}, 1)) - 1"
@@ -338,29 +365,30 @@ FROM (SELECT embedding, sqrt(list_sum(list_transform(embedding, lambda e: CAST(e
 def topk(k: int, where: str = "TRUE") -> str:
     """hits_v (query_id, chunk_id, score, rank, label, query_label, doc_id) by brute force."""
     return f"""hits_v AS (SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT * REPLACE (round(score, 6) + 0.0 AS score), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM (
     SELECT q.vec_id AS query_id, q.label AS query_label, i.vec_id AS chunk_id, i.label, i.vec_id // 4 AS doc_id,
-           round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) + 0.0 AS score
+           list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score
     FROM embeddings q, embeddings i WHERE {where.replace('label', 'i.label')})) WHERE rank <= {k})"""
 
 
 SHOWN = "SELECT query_id, chunk_id, score, rank FROM hits_v"
 add("retrieve_topk", SHOWN, topk(5))
+add("retrieve_ann_all_lists", SHOWN, topk(5))
 add("retrieve_threshold", SHOWN + " WHERE score >= 0.4", topk(5))
 add("retrieve_filtered", SHOWN, topk(5, "label IN (1, 3, 5)"))
 add("retrieve_by_document", """SELECT query_id, CAST(doc_id AS BIGINT) AS doc_id, max(score) AS best_score, min(rank) AS first_rank, count(*) AS n_chunks,
        string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS chunk_ids FROM hits_v GROUP BY query_id, doc_id""", topk(10))
 
 
-def ranked(name: str, scored: str, k: int) -> str:
-    return f"""{name} AS (SELECT query_id, chunk_id, score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ({scored})) WHERE rank <= {k})"""
+def ranked(name: str, scored: str, k: int, digits: int = 6) -> str:
+    return f"""{name} AS (SELECT query_id, chunk_id, round(score, {digits}) + 0.0 AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM ({scored})) WHERE rank <= {k})"""
 
 
 def semantic_hits(k: int, name: str = "sem") -> list[str]:
     # Every document with a direction competes, also at score 0.
     return [*DOC_VEC, *QUERY_VEC, ranked(name, """
-    SELECT q.item_id AS query_id, d.doc_id AS chunk_id, round(coalesce(p.dot, 0) / (q.len * d.len), 6) + 0.0 AS score
+    SELECT q.item_id AS query_id, d.doc_id AS chunk_id, coalesce(p.dot, 0) / (q.len * d.len) AS score
     FROM qvec_len q CROSS JOIN dvec_len d LEFT JOIN (
       SELECT a.item_id, b.doc_id, sum(a.n * b.n) AS dot FROM qvec a JOIN dvec b ON a.bucket = b.bucket GROUP BY a.item_id, b.doc_id) p
       ON p.item_id = q.item_id AND p.doc_id = d.doc_id""", k)]
@@ -378,7 +406,7 @@ BM25 = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 +
 
 def keyword_hits(k: int, weight: str = BM25, name: str = "kw") -> list[str]:
     return [*TERMS, ranked(name, f"""
-    SELECT item_id AS query_id, doc_id AS chunk_id, round(sum({weight}), 6) + 0.0 AS score
+    SELECT item_id AS query_id, doc_id AS chunk_id, sum({weight}) AS score
     FROM qterm JOIN dterm USING (term) JOIN dfreq USING (term) JOIN dlen USING (doc_id), corpus GROUP BY item_id, doc_id""", k)]
 
 
@@ -390,7 +418,7 @@ FROM sem JOIN docs_v ON doc_id = chunk_id""", DOCS, *semantic_hits(5))
 
 add("retrieve_hybrid_rrf", "SELECT query_id, chunk_id, score, rank FROM fused", *semantic_hits(20), *keyword_hits(20),
     ranked("fused", """SELECT query_id, chunk_id, round(coalesce(1.0 / (60 + sem.rank), 0) + coalesce(1.0 / (60 + kw.rank), 0), 9) AS score
-    FROM sem FULL OUTER JOIN kw USING (query_id, chunk_id)""", 10))
+    FROM sem FULL OUTER JOIN kw USING (query_id, chunk_id)""", 10, 9))
 
 OVERLAP = f"""round(len(list_intersect(list_distinct({words('lower(query)')}), list_distinct({words('lower(doc)')})))
           / len(list_distinct({words('lower(query)')})), 6)"""
@@ -416,11 +444,11 @@ add("rerank_recency", """SELECT query_id, chunk_id, score, place AS rank FROM (
 
 add("retrieve_expanded", """SELECT query_id, chunk_id, score, n_variants, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT query_id, chunk_id, max(score) AS score, count(*) AS n_variants FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY score DESC, chunk_id) AS place FROM scored) WHERE place <= 5
+    SELECT query_id, chunk_id, max(round(score, 6) + 0.0) AS score, count(*) AS n_variants FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY round(score, 12) DESC, chunk_id) AS place FROM scored) WHERE place <= 5
     GROUP BY query_id, chunk_id)) WHERE rank <= 5""", *DOC_VEC,
     f"variants AS ({exploded('benchmark', 'item_id', sentences('text'), 'variant')})", *hashed("variants", "item_id, pos", "variant", "vvec"),
-    """scored AS (SELECT q.item_id AS query_id, q.pos, d.doc_id AS chunk_id, round(coalesce(p.dot, 0) / (q.len * d.len), 6) + 0.0 AS score
+    """scored AS (SELECT q.item_id AS query_id, q.pos, d.doc_id AS chunk_id, coalesce(p.dot, 0) / (q.len * d.len) AS score
   FROM vvec_len q CROSS JOIN dvec_len d LEFT JOIN (
     SELECT a.item_id, a.pos, b.doc_id, sum(a.n * b.n) AS dot FROM vvec a JOIN dvec b ON a.bucket = b.bucket GROUP BY a.item_id, a.pos, b.doc_id) p
     ON p.item_id = q.item_id AND p.pos = q.pos AND p.doc_id = d.doc_id)""")

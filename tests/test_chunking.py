@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,28 +59,62 @@ def test_markdown_headers_once_and_headless_sections_kept(spark):
     assert "A\nB\nC\ntext c" in texts and "intro" in texts
 
 
-@pytest.mark.parametrize("size, overlap", [(5, 0), (5, 2), (3, 1)])
-def test_recursive_split_bounds_order_and_coverage(size, overlap):
-    text = "alpha beta gamma delta epsilon zeta.\n\nsecond paragraph here\nwith a line\n\n\nlast one two three four five six"
-    chunks = splitting.split_text(text, size, overlap)
-    assert all(0 < splitting.word_count(c) <= size for c in chunks)
-    spots, at = [], 0
-    for c in chunks:
-        at = text.index(c, at)
-        spots.append((at, at + len(c)))
-    covered = set()
-    for a, b in spots:
-        covered.update(range(a, b))
-    assert all(ch.isspace() for i, ch in enumerate(text) if i not in covered)
-
-
-def test_recursive_split_prefers_paragraphs():
-    assert splitting.split_text("a b c\n\nd e f", 3, 0) == ["a b c", "d e f"]
-
-
-def test_recursive_split_cuts_words_when_measured_in_characters():
-    chunks = splitting.split_text("abcdefghij klm", 4, 0, len)
-    assert "".join(chunks) == "abcdefghijklm" and all(len(c) <= 4 for c in chunks)
+def split_by_hand(text, size, overlap, measure):
+    """The recursive splitter in plain Python: slices before separators, then a greedy merge."""
+    def pieces(part, level):
+        if measure(part) <= size or len(part) <= 1:
+            return [part]
+        if level == 3:
+            half = len(part) // 2
+            return pieces(part[:half], 3) + pieces(part[half:], 3)
+        mark, out, start = ["\n\n", "\n", " "][level], [], 0
+        while start < len(part):
+            cut = part.find(mark, start + 1)
+            end = cut if cut >= 0 else len(part)
+            out += pieces(part[start:end], level + 1)
+            start = end
+        return out
+
+    chunks, held, fresh = [], [], False
+    for piece in pieces(text, 0):
+        n = measure(piece)
+        if held and sum(map(measure, held)) + n > size:
+            if fresh:
+                chunks.append("".join(held).strip(" \t\n\v\f\r"))
+            while held and (sum(map(measure, held)) > overlap or sum(map(measure, held)) + n > size):
+                held.pop(0)
+            fresh = False
+        held.append(piece)
+        fresh = fresh or measure(piece) > 0
+    return chunks + (["".join(held).strip(" \t\n\v\f\r")] if fresh else [])
+
+
+def n_words(text):
+    return len([w for w in re.split("[ \t\n\v\f\r]+", text) if w])
+
+
+@pytest.mark.parametrize("size, overlap", [(5, 0), (5, 2), (3, 1), (1, 0), (8, 7)])
+def test_recursive_split_equals_the_plain_one(spark, size, overlap):
+    rng = random.Random(size)
+    texts = ["alpha beta gamma delta epsilon zeta.\n\nsecond paragraph here\nwith a line\n\n\nlast one two three four five six", "", " \n", "\n\n\n"]
+    texts += ["".join(rng.choice(["a", "bb", " ", "  ", "\n", "\n\n", "\t", "é"]) for _ in range(rng.randint(1, 80))) for _ in range(150)]
+    df = docs(spark, *texts)
+    got = df.select("doc_id", splitting.split_text(F.col("text"), size, overlap).alias("c")).collect()
+    assert {r.doc_id: r.c for r in got} == {i: split_by_hand(t, size, overlap, n_words) for i, t in enumerate(texts)}
+
+
+def test_recursive_split_cuts_words_when_measured_in_characters(spark):
+    visible = lambda t: F.length(F.regexp_replace(t, "[ \t\n\x0B\f\r]", ""))
+    chunks = docs(spark, "abcdefghij klm").select(splitting.split_text(F.col("text"), 4, 0, visible).alias("c")).first().c
+    assert "".join(chunks).replace(" ", "") == "abcdefghijklm" and all(len(c.replace(" ", "")) <= 4 for c in chunks)
+
+
+def test_folds_run_without_python_or_shuffle(spark):
+    df = docs(spark, "One two. Three four.\n\n# Head\ntext.")
+    for chunks in (splitting.chunk_recursive(df, "text", 3, 1, ["doc_id"]), semantic.chunk_semantic(df, "text", ["doc_id"]),
+                   chunking.chunk_markdown(df, "doc_id", "text")):
+        plan = chunks._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
 def test_recursive_chunks_in_spark(spark):

@@ -10,7 +10,7 @@ from tests.conftest import SF_DIR
 QUERIES = catalog.QUERIES
 ORACLES = oracles.ORACLES
 TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-NO_SQL = {"chunk_recursive", "retrieve_ann"}
+NO_SQL = {"retrieve_ann"}
 
 
 @pytest.fixture(scope="module")

@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors
-from docloom.operators import encoding, ivf, keyword, ranking, similarity
-from tests.conftest import rows
+from docloom.operators import encoding, keyword, ranking, similarity, vector_index
+from docloom.plans import catalog
+from tests.conftest import SF_DIR, rows
 
 
 def unit_rows(n, dim, seed):
@@ -35,10 +36,10 @@ def rows_like(want):
     return sorted(want, key=lambda t: tuple((x is None, str(type(x)), str(x)) for x in t))
 
 
-def test_block_join_gives_the_same(vectors_small):
+def test_small_blocks_give_the_same(vectors_small, monkeypatch):
     queries, index, want = vectors_small
-    got = similarity.similarity_topk(queries, index, 7, max_query_rows=10)
-    assert rows(got, "query_id", "chunk_id", "rank") == rows_like(want)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 8 * 8 * 10)
+    assert rows(similarity.similarity_topk(queries, index, 7), "query_id", "chunk_id", "rank") == rows_like(want)
 
 
 def test_unusable_vectors_have_no_score(spark):
@@ -56,43 +57,79 @@ def test_empty_sides(spark):
     assert similarity.similarity_topk(one, index.filter("false"), 3).count() == 0
 
 
-def test_ann_with_all_lists_is_exact(spark, vectors_small, tmp_path):
+@pytest.mark.parametrize("room", [32 * 1024 * 1024, 8 * 8 * 20])
+def test_stored_lists_search_exactly(spark, vectors_small, tmp_path, monkeypatch, room):
+    # The small room cuts lists into several blocks and the queries too.
+    monkeypatch.setattr(vector_index, "BLOCK_BYTES", room)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", room)
     queries, index, want = vectors_small
-    centroids = ivf.train_centroids(index, 6)
-    ivf.write_lists(ivf.assign_lists(index, centroids), str(tmp_path / "lists"), salts=2)
-    lists = ivf.read_lists(spark, str(tmp_path / "lists"))
-    assert lists.count() == 300
-    got = ivf.ann_topk(queries, lists, centroids, 7, 6)
-    assert rows(got, "query_id", "chunk_id", "rank") == rows_like(want)
-    assert ivf.recall_against_exact(queries, index, got, 7) == 1.0
-    joined = ivf._ann_join(queries, lists, centroids, 7, 6, block=40)
-    assert rows(joined, "query_id", "chunk_id", "rank") == rows_like(want)
-
-
-def test_ann_recall_with_few_lists(spark, vectors_small, tmp_path):
+    built = vector_index.build(index.withColumn("list_no", F.lit(3)), str(tmp_path / "v"), lists=6, columns=["list_no"])
+    opened = vector_index.VectorIndex(spark, str(tmp_path / "v"))
+    assert len(built) == len(opened) == 300 and opened.vectors.count() == 300
+    for found in (opened.search(queries, 7, columns=["list_no"]), opened.search(queries, 7, nprobe=6)):
+        assert rows(found, "query_id", "chunk_id", "rank") == rows_like(want)
+    assert vector_index.recall_against_exact(queries, index, opened.search(queries, 7, nprobe=6), 7) == 1.0
+
+
+def test_search_with_a_filter_and_few_vectors(spark, vectors_small, tmp_path):
     queries, index, _ = vectors_small
-    centroids = ivf.train_centroids(index, 6)
-    lists = ivf.assign_lists(index, centroids)
-    few = ivf.ann_topk(queries, lists, centroids, 7, 3)
-    assert ivf.recall_against_exact(queries, index, few, 7) > 0.6
-    assert rows(few, "query_id", "chunk_id") == rows(ivf._ann_join(queries, lists, centroids, 7, 3, block=40), "query_id", "chunk_id")
+    built = vector_index.build(index.withColumn("grp", F.substring("chunk_id", 4, 1)), str(tmp_path / "v"), lists=5, columns=["grp"])
+    few = F.col("chunk_id").isin("c001", "c250")
+    assert rows(built.search(queries, 7, where=few), "query_id", "chunk_id") == rows(
+        similarity.similarity_topk(queries, index, 7, few), "query_id", "chunk_id")
+    assert built.search(queries, 7, where=F.col("grp") == "x").count() == 0
+
+
+def clustered(spark, n, groups, seed):
+    """Vectors around few directions, as texts of few topics have."""
+    rng = np.random.default_rng(seed)
+    x = unit_rows(groups, 32, 77)[rng.integers(0, groups, n)] + rng.normal(size=(n, 32)) * 0.05
+    return spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "chunk_id int, embedding array<double>")
+
+
+def test_lists_that_cannot_hold_a_hit_are_not_scored(spark, tmp_path):
+    index = clustered(spark, 3000, 30, 3)
+    queries = clustered(spark, 400, 30, 4).withColumnRenamed("chunk_id", "query_id")
+    built = vector_index.build(index, str(tmp_path / "v"))
+    assert rows(built.search(queries, 5), "query_id", "chunk_id", "rank") == rows(similarity.similarity_topk(queries, index, 5), "query_id", "chunk_id", "rank")
+    cost = built.cost(queries, 5)
+    assert cost["all"] == 400 * 3000 and cost["scored"] < 0.15 * cost["all"]
+    near = built.search(queries, 5, nprobe=4)
+    assert vector_index.recall_against_exact(queries, index, near, 5) >= 0.95
 
 
-def test_pruned_lists_reach_the_scan(spark, vectors_small, tmp_path):
+def test_registered_approximate_search_finds_nine_of_ten(spark):
+    t = catalog.Tables(spark, SF_DIR)
+    near = catalog.QUERIES["retrieve_ann"](spark, SF_DIR)
+    exact = catalog.QUERIES["retrieve_topk"](spark, SF_DIR)
+    both = exact.join(near.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    assert both.count() >= 0.9 * exact.count() and exact.count() == 5 * t.embeddings.count()
+
+
+def test_only_probed_lists_are_read(spark, vectors_small, tmp_path):
     queries, index, _ = vectors_small
-    centroids = ivf.train_centroids(index, 6)
-    ivf.write_lists(ivf.assign_lists(index, centroids), str(tmp_path / "lists"))
-    got = ivf.ann_topk(queries.filter("query_id = 0"), ivf.read_lists(spark, str(tmp_path / "lists")), centroids, 3, 1)
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    built = vector_index.build(index, str(tmp_path / "v"), lists=6)
+    plan = built.search(queries.filter("query_id = 0"), 3, nprobe=1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(list_id" in plan or "PartitionFilters: [list_id" in plan
 
 
+def test_index_of_odd_rows(spark, tmp_path):
+    rows_ = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [0.0, -1.0]), (None, [0.5, 0.0]), (7, [None, 1.0]), (8, [0.0, 0.0])]
+    index = spark.createDataFrame(rows_, "chunk_id int, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0])], "query_id int, embedding array<double>")
+    built = vector_index.build(index, str(tmp_path / "v"))
+    assert rows(built.search(queries, 9), "query_id", "chunk_id", "score") == rows_like(
+        [(1, 1, 1.0), (1, None, 0.5), (1, 5, 0.0), (1, 8, 0.0)] + [(4, c, 0.0) for c in (1, None, 5, 8)])
+    empty = vector_index.build(index.limit(0), str(tmp_path / "e"))
+    assert len(empty) == 0 and empty.search(queries, 3).count() == 0
+
+
 DOCS = [(0, "the cat sat on the mat"), (1, "The dog"), (2, ""), (3, "cat cat dog"), (4, None), (5, "bird")] + [(i, "the cat") for i in range(6, 16)]
 QUERIES = [(1, "cat the"), (2, "dog"), (3, "nothing here"), (4, "Cat CAT bird")]
 
 
 @pytest.mark.parametrize("scheme", ["bm25", "tfidf"])
-def test_keyword_scan_and_join_match_brute_force(spark, scheme):
+def test_keyword_search_matches_brute_force(spark, scheme):
     docs = spark.createDataFrame(DOCS, "doc_id int, text string").repartition(3)
     queries = spark.createDataFrame(QUERIES, "query_id int, query string")
     tokens = {i: (t or "").lower().split() for i, t in DOCS}
@@ -114,8 +151,11 @@ def test_keyword_scan_and_join_match_brute_force(spark, scheme):
             if hit:
                 scored.append((-round(score, 6), d))
         want += [(qid, d, -s) for s, d in sorted(scored)[:4]]
-    for limit in (1000, 1):
-        got = keyword.keyword_topk(queries, docs, 4, scheme, max_query_rows=limit)
+    built = keyword.KeywordIndex.build(docs, f"kw_{scheme}", "doc_id", "text")
+    assert built.terms.filter("term = 'the'").first().df == 12
+    for got in (keyword.keyword_topk(queries, docs, 4, scheme), built.search(queries, 4, scheme)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
         assert [(q, c, pytest.approx(s)) for q, c, s in sorted(want)] == sorted(tuple(r) for r in got.select("query_id", "chunk_id", "score").collect())
 
 
@@ -125,6 +165,20 @@ def test_hashing_encoder_is_stable_and_unit_length():
     assert vectors_[2] is None and statuses[2:] == ["ERROR: no direction"] * 2
 
 
+def test_hashing_in_the_jvm_equals_the_encoder(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 40, n)) for n in (1, 3, 60, 700)] + ["", None, " \n", "é ü\tß", "a b a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    native = encoding.embed_hashing(df, "text")
+    assert "Arrow" not in native._jdf.queryExecution().executedPlan().toString()
+    want = {r.id: (r.embedding, r.embedding_status) for r in encoding.embed(df, "text").collect()}
+    for r in native.collect():
+        vector, status = want[r.id]
+        assert r.embedding_status == status and (r.embedding is None) == (vector is None)
+        if vector is not None:
+            assert np.allclose(r.embedding, vector, atol=1e-12)
+
+
 def test_remote_encoder_keeps_order_retries_and_reports(spark):
     calls = {}
 
