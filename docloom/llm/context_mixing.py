@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHashes, fold, mixed, stored, texts_of
+from docloom.llm.common import fold, mixed, opened, sent, stored, texts_of
 
 FOLDS, HELD_OUT = 7, 2
 HEAD = 16_384
@@ -44,6 +44,8 @@ _SEGMENT_BITS = 14
 # Words per online step, and words expanded into decisions at a time.
 BLOCK = 64
 _CHUNK = 25_000
+# Words of the documents that learn side by side.
+_GROUP = 200_000
 RATE, CORRECTION_RATE = 0.002, 0.01
 _BUCKETS = 13
 _END, _ESCAPE = 0, 1
@@ -97,6 +99,7 @@ class Code:
         ordered = sorted(head.items(), key=lambda x: (-x[1], x[0]))
         self.symbol = {word: i + 2 for i, (word, _) in enumerate(ordered)}
         weights = [max(documents, 1), max(others, 1)] + [c for _, c in ordered]
+        self.hashes = np.array([0, 0] + [xxhash.xxh3_64_intdigest(word) for word, _ in ordered], np.uint64)
         self.log_counts = np.log10(np.array([documents, 0] + [c for _, c in ordered], float) + 1)
         n = len(weights)
         heap = [(w, i) for i, w in enumerate(weights)]
@@ -128,6 +131,13 @@ class Code:
         get = self.symbol.get
         return np.fromiter((get(w, _ESCAPE) for w in words), np.int32, len(words))
 
+    def hashes_of(self, words: list[bytes], symbols: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the words; only those outside the head are hashed here."""
+        out = self.hashes[symbols]
+        rare = np.flatnonzero(symbols == _ESCAPE)
+        out[rare] = [xxhash.xxh3_64_intdigest(words[i]) for i in rare.tolist()]
+        return out
+
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each decision the place of its symbol in ``symbols``, its node and its outcome."""
         first, count = self.start[symbols], self.start[symbols + 1] - self.start[symbols]
@@ -147,11 +157,12 @@ def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return ((context + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - TABLE_BITS)
 
 
-def _documents(batch: pa.RecordBatch, column: int, code: Code, hashes: WordHashes) -> Iterator[tuple]:
+def _documents(batch: pa.RecordBatch, column: int, code: Code) -> Iterator[tuple]:
     """``(row, words, symbols, contexts)`` of each text."""
     for row, text in enumerate(texts_of(batch.column(column))):
         words = words_of(text)
-        yield row, words, np.r_[code.encode(words), _END].astype(np.int32), _contexts(hashes.of(words))
+        symbols = code.encode(words)
+        yield row, words, np.r_[symbols, _END].astype(np.int32), _contexts(code.hashes_of(words, symbols))
 
 
 # --- tables ------------------------------------------------------------------
@@ -160,7 +171,7 @@ def _learned(code):
     size = 1 << TABLE_BITS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = code.value, WordHashes()
+        own = opened(code)
         counts = np.zeros((ORDERS, 2, size), np.uint32)
         symbols, contexts, held = [], [], 0
 
@@ -174,7 +185,7 @@ def _learned(code):
                     counts[order] += np.bincount(slot + size * bit.astype(np.int64), minlength=2 * size).reshape(2, size).astype(np.uint32)
 
         for batch in batches:
-            for _, _, symbol, context in _documents(batch, 0, own, hashes):
+            for _, _, symbol, context in _documents(batch, 0, own):
                 symbols.append(symbol)
                 contexts.append(context)
                 held += len(symbol)
@@ -223,10 +234,17 @@ def tables(training: DataFrame, code) -> np.ndarray:
 
 
 def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of the words and their closing zeros, after a hash of the two bytes before it."""
-    joined = np.frombuffer(b"\0\0" + b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+    """Each byte of the words and their closing zeros, after a hash of the two bytes before it.
+
+    Two zeros stand between words, so a word's first byte does not depend on the word that happens to stand before it.
+    """
+    joined = np.frombuffer(b"\0\0" + b"\0\0".join(words) + b"\0", np.uint8).astype(np.int64)
     before = (joined[:-2] * 57 + joined[1:-1] * 2609) % _PAIRS
-    return before, joined[2:]
+    # The second zero after each word but the last is not coded.
+    ends = np.cumsum([len(w) + 2 for w in words[:-1]]) - 1 if len(words) > 1 else np.empty(0, np.int64)
+    coded = np.ones(len(before), bool)
+    coded[ends] = False
+    return before[coded], joined[2:][coded]
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +286,7 @@ def mixed_bits(group: list[tuple], code: Code, odds: np.ndarray) -> np.ndarray:
     symbols = np.concatenate([s for s, _ in group])[order]
     contexts = [np.concatenate([c[k] for _, c in group])[order] for k in range(ORDERS)]
     inputs = ORDERS + 1
-    weights = np.tile(np.array([0.6] + [0.3] * ORDERS, np.float32), (len(group) * 4, 1))
+    weights = np.repeat(np.array([[0.6]] + [[0.3]] * ORDERS, np.float32), len(group) * 4, axis=1)
     correction = np.zeros(len(group) * _BUCKETS, np.float32)
     bits = np.zeros(len(group))
     edges = np.searchsorted(block, np.arange(block[-1] + 2))
@@ -279,27 +297,30 @@ def mixed_bits(group: list[tuple], code: Code, odds: np.ndarray) -> np.ndarray:
             b = min(a + _CHUNK, high)
             place, node, bit = code.decisions(symbols[a:b])
             owner = doc[a:b][place]
-            x = np.empty((inputs, len(place)), np.float32)
-            x[0] = code.odds[node]
-            gate = np.zeros(len(place), np.int64)
+            x = [code.odds[node]]
+            gate = owner * 4
             for k in range(ORDERS):
                 value = odds[k][_slots(contexts[k][a:b][place], node).astype(np.int64)]
                 gate += (value != 0).astype(np.int64) << k
-                x[k + 1] = value
-                x[k + 1] /= 16
-            chosen = owner * 4 + gate
-            mix = (weights[chosen].T * x).sum(axis=0)
-            bucket = owner * _BUCKETS + np.clip(mix + _BUCKETS / 2, 0, _BUCKETS - 1).astype(np.int64)
-            final = mix + correction[bucket]
-            sign = np.where(bit, -final, final)
-            wrong = np.exp(np.minimum(sign, 60))
-            bits += np.bincount(owner, np.log1p(wrong), len(group)) / math.log(2)
-            error = bit - 1 / (1 + np.exp(-np.maximum(mix, -60)))
-            late = np.where(bit, 1, -1) * (wrong / (1 + wrong))
-            steps.append(([np.bincount(chosen, error * x[k], len(weights)) for k in range(inputs)], np.bincount(bucket, late, len(correction))))
+                x.append(value * np.float32(1 / 16))
+            mix = weights[0].take(gate) * x[0]
+            for k in range(1, inputs):
+                mix += weights[k].take(gate) * x[k]
+            # Both logistic functions of a decision by one exponential each, on its own side.
+            bucket = owner * _BUCKETS + np.clip(mix + np.float32(_BUCKETS / 2), 0, _BUCKETS - 1).astype(np.int64)
+            side = 1 - 2 * bit.astype(np.float32)
+            wrong = np.exp(np.minimum(side * (mix + correction.take(bucket)), 60))
+            first = np.searchsorted(owner, np.arange(owner[0], owner[-1] + 1))
+            present = np.flatnonzero(np.diff(np.r_[first, len(owner)]))
+            bits[owner[0] + present] += np.add.reduceat(np.log1p(wrong), first[present], dtype=np.float64) / math.log(2)
+            aside = np.exp(np.minimum(side * mix, 60))
+            error = -side * (aside / (1 + aside))
+            late = -side * (wrong / (1 + wrong))
+            steps.append(([np.bincount(gate, error * value, weights.shape[1]) for value in x], np.bincount(bucket, late, len(correction))))
         for gradient, late in steps:
-            weights += RATE * np.stack(gradient, axis=1).astype(np.float32)
-            correction += CORRECTION_RATE * late.astype(np.float32)
+            for k in range(inputs):
+                weights[k] += (RATE * gradient[k]).astype(np.float32)
+            correction += (CORRECTION_RATE * late).astype(np.float32)
     return bits
 
 
@@ -315,7 +336,7 @@ class Model:
 
 def _scored(model):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = model.value, WordHashes()
+        own = opened(model)
         code = own.code
         log_counts = code.log_counts
         for batch in batches:
@@ -332,7 +353,7 @@ def _scored(model):
             def finish() -> None:
                 bits[rows] += mixed_bits(group, code, own.odds)
 
-            for row, words, symbols, contexts in _documents(batch.take(pa.array(order)), 2, code, hashes):
+            for row, words, symbols, contexts in _documents(batch.take(pa.array(order)), 2, code):
                 at = int(order[row])
                 rare = [words[i] for i in np.flatnonzero(symbols[:-1] == _ESCAPE).tolist()]
                 digest = xxhash.xxh3_128_intdigest(b" ".join(words))
@@ -344,7 +365,7 @@ def _scored(model):
                 group.append((symbols, contexts))
                 rows.append(at)
                 held += len(symbols)
-                if held >= _CHUNK:
+                if held >= _GROUP:
                     finish()
                     group, rows, held = [], [], 0
             if group:
@@ -359,7 +380,6 @@ def _scored(model):
 
 def scored(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
-    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
                        F.col("text").cast("binary").alias("text"))
     training = rows.filter(~F.col("held_out"))
@@ -370,8 +390,8 @@ def scored(docs: DataFrame, head: int = HEAD) -> DataFrame:
     common, rest = _head(counts, head)
     floor = min(common.values(), default=1 << 62)
     code = Code(common, documents, rest)
-    odds = tables(training, context.broadcast(code))
-    model = context.broadcast(Model(code, odds, spelling(counts, floor)))
+    odds = tables(training, sent(docs.sparkSession, code))
+    model = sent(docs.sparkSession, Model(code, odds, spelling(counts, floor)))
     done = stored(rows.mapInArrow(_scored(model), (
         "doc_id long, held_out boolean, high long, low long, n_tokens long, known long, size long, base double, bits double, "
         "others array<struct<token:binary,n:long>>")), "scored")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import mixed, ngram_hashes, stored, texts_of
+from docloom.llm.common import mixed, ngram_hashes, opened, sent, stored, texts_of
 
 SEED = 3
 MIN_WORDS = 8
@@ -217,7 +217,7 @@ def _found(own: SeedIndex, flags: np.ndarray, texts: Iterator[bytes]) -> Iterato
 
 def _counted(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = opened(index)
         flags, counts, documents = own.bits(), np.zeros(len(own.seeds), np.int64), 0
         for batch in batches:
             documents += batch.num_rows
@@ -233,7 +233,7 @@ def _counted(index):
 
 def _aligned(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = opened(index)
         flags = own.bits()
         for batch in batches:
             ids = batch.column(0)
@@ -248,7 +248,7 @@ def _aligned(index):
 
 def _clean(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = opened(index)
         flags = own.bits()
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
@@ -272,16 +272,16 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, block_words: int):
         if not rows:
             continue
         index = SeedIndex([r[0] for r in rows], [r[2] for r in rows])
-        sent = spark.sparkContext.broadcast(index)
+        counting = sent(spark, index)
         counts = np.zeros(len(index.seeds), np.int64)
         documents = 0
-        for r in texts.mapInArrow(_counted(sent), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in texts.mapInArrow(_counted(counting), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
             if r["seed"] < 0:
                 documents = r["n"]
             else:
                 counts[r["seed"]] = r["n"]
         index.set_counts(documents, counts)
-        yield spark.sparkContext.broadcast(index)
+        yield sent(spark, index)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

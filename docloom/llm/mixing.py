@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, stored
+from docloom.llm.common import WORD, fresh, stored
 
 HASH_BITS = 60
 LEVEL_BITS = 10
@@ -111,23 +111,43 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return stored(found, "thresholds")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """Per document: ``doc_id, source, size, source_size, target, taken`` (words taken, repeats counted)."""
-    sizes = stored(sized(docs), "sizes")
+def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """Per source: ``_source, source_size, target, passes`` (whole ones) and ``below``, the hash under which a document is taken once more."""
     sources = stored(targets(ranked_sources(sizes, weights), share, repeats), "targets")
     # Whole passes over the source first, then a part of one more.
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     planned = sources.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     cut = thresholds(sizes, planned)
-    plan = planned.join(cut, planned["source"].eqNullSafe(cut["source"]), "left").select(
+    return planned.join(cut, planned["source"].eqNullSafe(cut["source"]), "left").select(
         planned["source"].alias("_source"), "source_size", "target", "passes",
         # No threshold: the rest is not reached by any bucket, only possible with nothing left to take.
         F.coalesce("below", F.lit(0)).alias("below"))
-    return sizes.join(plan, sizes["source"].eqNullSafe(plan["_source"])).select(
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """Per document: ``doc_id, source, size, source_size, target, taken`` (words taken, repeats counted)."""
+    sizes = stored(sized(docs), "sizes")
+    planned = plan(sizes, weights, share, repeats)
+    return sizes.join(planned, sizes["source"].eqNullSafe(planned["_source"])).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("size") * (F.col("passes") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0))).alias("taken"))
 
 
+def corpus(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The documents that the mix takes, with all their columns and ``passes``, how often each is taken.
+
+    Documents of which nothing is taken, those without words among them, are left out. The plan has
+    a row per source and is stored, so it travels to the documents where its size allows.
+    """
+    name = fresh(docs, "passes")
+    planned = stored(plan(stored(sized(docs), "sizes"), weights, share, repeats).select(
+        *(F.col(c).alias(f"_plan_{c.strip('_')}") for c in ("_source", "passes", "below"))), "plan")
+    passes = F.col("_plan_passes") + F.when(_hash(docs["doc_id"]) < F.col("_plan_below"), 1).otherwise(0)
+    some = F.coalesce(docs["text"], F.lit("")).rlike(WORD)
+    return docs.join(planned, docs["source"].eqNullSafe(planned["_plan_source"])).filter(some & (passes > 0)).select(
+        *(docs[c] for c in docs.columns), passes.alias(name))
+
+
 # The same selection in DuckDB: sums in hash order instead of histograms.
 ORACLE = r"""
 WITH d AS (

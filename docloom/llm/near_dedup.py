@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import NO_ID, WordHashes, concat, mixed, ngram_hashes, stored, texts_of, with_fixed_ids
+from docloom.llm.common import NO_ID, WordHashes, concat, fresh, mixed, ngram_hashes, stored, texts_of, with_fixed_ids
 from docloom.llm.components import components
 
 SHINGLE = 5
@@ -313,6 +313,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that are kept: one id of each group, with all columns."""
-    gone = stored(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group, with all columns: the smallest id of the group, a row without id last; of equal ids any one row.
+
+    Every row is a document of its own here, so rows that share an id, or have none, are told apart.
+    """
+    row, taken = (fresh(docs, name) for name in ("row_key", "taken"))
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    groups = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(taken), "component_id")
+    named = groups.join(keyed.select(F.col(row), F.col("doc_id").cast("long").alias("own_id")), F.col(taken) == F.col(row))
+    first = F.min(F.struct(F.col("own_id").isNull(), "own_id", taken))[taken]
+    kept = named.groupBy("component_id").agg(first.alias("kept"))
+    gone = stored(groups.join(kept.select("kept"), F.col(taken) == F.col("kept"), "left_anti").select(taken), "gone")
+    return keyed.join(gone, F.col(row) == F.col(taken), "left_anti").drop(row)

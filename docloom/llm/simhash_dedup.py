@@ -107,7 +107,9 @@ def patterns(bits: Column) -> Column:
 
 def links(prints: DataFrame) -> DataFrame:
     """Links ``a, b`` between the distinct values of ``print`` that differ in at most two bits, enough to connect every component."""
-    distinct = prints.select("print").distinct()
+    # A number is given, as few small rows become many cells.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.select("print").distinct().repartition(parts, "print")
     standing = stored(distinct.select("print", F.explode(cells(place(F.col("print")))).alias("cell")), "cells")
     met = stored(standing.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("a"), F.max("print").alias("b")).filter("n > 1"), "met")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE

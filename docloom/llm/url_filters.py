@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import opened, sent
+
 # The queries' host rules, fixed by their contract.
 HOST_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 TEXT_PATTERNS = ("spam-farm", "cheap-pills", "casino-win", "casino", "viagra", "payday-loan*", "free-money", "/wp-login.php", "/cgi-bin/")
@@ -122,7 +124,7 @@ def _counted(wanted: frozenset[str]):
 
 def _judged(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = opened(index)
         for batch in batches:
             parts = [split_url(url) for url in batch.column(1).to_pylist()]
             found = [own.judge(*p) for p in parts]
@@ -135,12 +137,11 @@ def _judged(index):
 
 def judged(pages: DataFrame, host_rules: Sequence[tuple[str, str]] = HOST_RULES, patterns: Sequence[str] = TEXT_PATTERNS) -> DataFrame:
     """``page_id, host, path, rule, verdict``. The rules are parameters; their index is sent to the tasks."""
-    context = pages.sparkSession.sparkContext
     rules = [host_rule(*r) for r in host_rules] + [text_pattern(p) for p in patterns]
     wanted = frozenset(t for r in rules for t in r.tokens)
     # One row per literal token of the rules.
     counts = pages.select("url").mapInArrow(_counted(wanted), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    index = context.broadcast(RuleIndex(rules, {r["token"]: r["n"] for r in counts.collect()}))
+    index = sent(pages.sparkSession, RuleIndex(rules, {r["token"]: r["n"] for r in counts.collect()}))
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(
         _judged(index), "page_id long, host string, path string, rule string, verdict string")
 
