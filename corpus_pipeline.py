@@ -39,8 +39,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words to take of each document, so that sources meet their weights."""
-    return mixing.mixed(docs)
+    """The documents to take, and how often, so that sources meet their weights."""
+    return mixing.corpus(docs)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("decontamination", leaks), ("mixing", mixture)]
