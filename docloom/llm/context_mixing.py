@@ -44,8 +44,6 @@ _SEGMENT_BITS = 14
 # Words per online step, and words expanded into decisions at a time.
 BLOCK = 64
 _CHUNK = 25_000
-# Words of the documents that learn side by side.
-_GROUP = 200_000
 RATE, CORRECTION_RATE = 0.002, 0.01
 _BUCKETS = 13
 _END, _ESCAPE = 0, 1
@@ -365,7 +363,7 @@ def _scored(model):
                 group.append((symbols, contexts))
                 rows.append(at)
                 held += len(symbols)
-                if held >= _GROUP:
+                if held >= _CHUNK:
                     finish()
                     group, rows, held = [], [], 0
             if group:
