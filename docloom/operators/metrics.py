@@ -11,12 +11,13 @@ from docloom.functions import text as tx
 from docloom.operators.scaling import exact_percentiles
 
 
-def precision(hits: DataFrame, key: str = "query_id", relevant: str = "relevant") -> DataFrame:
-    """Share of the retrieved chunks that are relevant."""
-    return hits.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_retrieved"),
-        F.count_if(F.col(relevant)).alias("n_relevant"),
-    ).withColumn("precision", F.round(F.col("n_relevant") / F.col("n_retrieved"), 6))
+def precision(queries: DataFrame, hits: DataFrame, key: str = "query_id", relevant: str = "relevant") -> DataFrame:
+    """Share of the retrieved chunks that are relevant, for every query; 0 for one without hits."""
+    counted = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(relevant)).alias("_relevant"))
+    zero = F.lit(0).cast("long")
+    return queries.select(key).join(counted, key, "left").select(
+        key, F.coalesce("_n", zero).alias("n_retrieved"), F.coalesce("_relevant", zero).alias("n_relevant"),
+        F.round(F.coalesce(F.col("_relevant") / F.col("_n"), F.lit(0.0)), 6).alias("precision"))
 
 
 def document_recall(queries: DataFrame, hits: DataFrame, truth: DataFrame, on: list[str], uri: str,
@@ -38,13 +39,15 @@ def document_recall(queries: DataFrame, hits: DataFrame, truth: DataFrame, on: l
 
 
 def rank_metrics(hits: DataFrame, totals: DataFrame, ks: Sequence[int], key: str = "query_id") -> DataFrame:
-    """``key, k, precision_at_k, recall_at_k``; ``totals`` has ``key`` and ``n_truth`` relevant items."""
-    at = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
-    per_k = hits.select(key, "rank", "relevant", at).filter(F.col("rank") <= F.col("k"))
-    counted = per_k.groupBy(key, "k").agg(F.count_if("relevant").alias("n_relevant"))
-    return counted.join(totals, key).select(
-        key, "k", F.round(F.col("n_relevant") / F.col("k"), 6).alias("precision_at_k"),
-        F.round(F.try_divide(F.col("n_relevant").cast("double"), F.col("n_truth")), 6).alias("recall_at_k"))
+    """``key, k, precision_at_k, recall_at_k`` for every query of ``totals`` (``key``, ``n_truth`` relevant items) and every k.
+
+    A query without hits has 0; recall is null where nothing is relevant.
+    """
+    counted = hits.groupBy(key).agg(*(F.count_if(F.col("relevant") & (F.col("rank") <= k)).alias(f"_at_{k}") for k in ks))
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(F.col(f"_at_{k}"), F.lit(0)).alias("n")) for k in ks])).alias("at")
+    return totals.join(counted, key, "left").select(key, "n_truth", at).select(
+        key, "at.k", F.round(F.col("at.n") / F.col("at.k"), 6).alias("precision_at_k"),
+        F.round(F.try_divide(F.col("at.n").cast("double"), F.col("n_truth")), 6).alias("recall_at_k"))
 
 
 def ndcg(hits: DataFrame, totals: DataFrame, k: int, key: str = "query_id") -> DataFrame:

@@ -734,7 +734,7 @@ def feedback_agreement(t: Tables) -> DataFrame:
 
 @query
 def metric_precision(t: Tables) -> DataFrame:
-    return metrics.precision(_hits(t))
+    return metrics.precision(inputs.vector_queries(t.embeddings).select("query_id"), _hits(t))
 
 
 @query

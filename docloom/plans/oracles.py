@@ -521,7 +521,7 @@ add("condense_query", """SELECT conv_id, string_agg(content, ' ' ORDER BY turn)
 add("build_prompt", """SELECT conv_id, CAST(-1 AS BIGINT) AS seq, 'system' AS role,
        'Answer from the context of conversation ' || CAST(conv_id AS VARCHAR) AS content FROM ends_v
 UNION ALL SELECT conv_id, turn, role, content FROM turns_v JOIN ends_v USING (conv_id) WHERE turn < last_turn AND role IN ('user', 'assistant')
-UNION ALL SELECT conv_id, last_turn, 'user', question FROM ends_v""", TURNS, ENDS)
+UNION ALL SELECT conv_id, turn, role, content FROM turns_v JOIN ends_v USING (conv_id) WHERE turn = last_turn""", TURNS, ENDS)
 
 add("conversation_drop_system", "SELECT conv_id, turn, role, content FROM turns_v WHERE role <> 'system'", TURNS)
 
@@ -617,8 +617,9 @@ FROM text_v GROUP BY request_id""", LOG, TEXT)
 
 # --- evaluation ------------------------------------------------------------
 
-add("metric_precision", """SELECT query_id, count(*) AS n_retrieved, count(*) FILTER (WHERE label = query_label) AS n_relevant,
-       round(avg(CASE WHEN label = query_label THEN 1.0 ELSE 0.0 END), 6) AS precision FROM hits_v GROUP BY query_id""", topk(5))
+add("metric_precision", """SELECT e.vec_id AS query_id, count(h.chunk_id) AS n_retrieved, count(h.chunk_id) FILTER (WHERE h.label = e.label) AS n_relevant,
+       round(coalesce(avg(CASE WHEN h.chunk_id IS NULL THEN NULL WHEN h.label = e.label THEN 1.0 ELSE 0.0 END), 0.0), 6) AS precision
+FROM embeddings e LEFT JOIN hits_v h ON h.query_id = e.vec_id GROUP BY e.vec_id""", topk(5))
 
 add("metric_document_recall", """SELECT query_id, n_found, n_truth, round(n_found / n_truth, 6) AS recall FROM (
   SELECT h.query_id, count(DISTINCT CASE WHEN t.doc_id IS NOT NULL THEN h.doc_id END) AS n_found, any_value(z.n_truth) AS n_truth
@@ -627,8 +628,8 @@ add("metric_document_recall", """SELECT query_id, n_found, n_truth, round(n_foun
     topk(10), "truth AS (SELECT DISTINCT label, vec_id // 4 AS doc_id FROM embeddings)")
 
 add("metric_at_k", """SELECT query_id, k, round(r / k, 6) AS precision_at_k, round(r / n_truth, 6) AS recall_at_k FROM (
-  SELECT query_id, k, any_value(query_label) AS label, count(*) FILTER (WHERE label = query_label) AS r
-  FROM hits_v, (SELECT CAST(unnest([1, 3, 5, 10]) AS INTEGER) AS k) WHERE rank <= k GROUP BY query_id, k)
+  SELECT e.vec_id AS query_id, k, e.label, count(h.chunk_id) FILTER (WHERE h.label = e.label AND rank <= k) AS r
+  FROM embeddings e CROSS JOIN (SELECT CAST(unnest([1, 3, 5, 10]) AS INTEGER) AS k) LEFT JOIN hits_v h ON h.query_id = e.vec_id GROUP BY ALL)
 JOIN (SELECT label, count(*) AS n_truth FROM embeddings GROUP BY label) USING (label)""", topk(10))
 
 add("metric_ndcg", """SELECT e.vec_id AS query_id, round(coalesce(d.dcg, 0) / i.ideal, 6) AS ndcg

@@ -10,7 +10,7 @@ def test_worked_example(spark):
     hits = spark.createDataFrame([(1, "d1", True), (1, "d2", True), (1, "x", False)], "query_id int, doc string, relevant boolean")
     truth = spark.createDataFrame([(1, d) for d in ("d1", "d2", "d3", "d4", "d4")], "query_id int, doc string")
     asked = spark.createDataFrame([(1,), (2,)], "query_id int")
-    assert round(metrics.precision(hits).first().precision, 2) == 0.67
+    assert [(r.query_id, round(r.precision, 2)) for r in metrics.precision(asked, hits).orderBy("query_id").collect()] == [(1, 0.67), (2, 0.0)]
     assert rows(metrics.document_recall(asked, hits, truth, ["query_id"], "doc")) == [(1, 2, 4, 0.5)]
 
 
@@ -25,6 +25,7 @@ def test_rank_metrics_and_ndcg(spark):
     totals = spark.createDataFrame([(1, 4), (2, 1)], "query_id int, n_truth long")
     got = metrics.rank_metrics(hits, totals, [1, 2])
     assert rows(got) == [(1, 1, 0.0, 0.0), (1, 2, 0.5, 0.25), (2, 1, 0.0, 0.0), (2, 2, 0.0, 0.0)]
+    assert rows(metrics.rank_metrics(hits.filter("query_id = 1"), totals, [1]), "query_id", "precision_at_k") == [(1, 0.0), (2, 0.0)]
     # Four items are relevant, so three hits could all have been; queries without a relevant hit or any hit have 0.
     more = totals.unionByName(spark.createDataFrame([(3, 2), (4, 0)], "query_id int, n_truth long"))
     ideal = 1 + 1 / np.log2(3) + 0.5
