@@ -342,7 +342,8 @@ def _scored(model):
             tokens, known, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             base, bits = np.zeros(n), np.zeros(n)
             high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            others: list = [None] * n
+            # The other words of each text, in the order of ``order``: Arrow arrays, as objects of all texts would fill the memory.
+            names, times, sizes, parts = [], [], np.zeros(n, np.int64), []
             # Documents of like length learn side by side.
             lengths = [len(t) for t in texts_of(batch.column(2))]
             order = np.argsort(lengths, kind="stable")
@@ -350,6 +351,9 @@ def _scored(model):
 
             def finish() -> None:
                 bits[rows] += mixed_bits(group, code, own.odds)
+                parts.append((pa.array(names, pa.binary()), pa.array(times, pa.int64())))
+                names.clear()
+                times.clear()
 
             for row, words, symbols, contexts in _documents(batch.take(pa.array(order)), 2, code):
                 at = int(order[row])
@@ -359,7 +363,10 @@ def _scored(model):
                 tokens[at], known[at], size[at] = len(symbols), len(symbols) - len(rare), lengths[at]
                 base[at] = log_counts[symbols].sum()
                 bits[at] = own.spell(rare)
-                others[at] = [{"token": w, "n": c} for w, c in Counter(rare).items()]
+                counted = Counter(rare)
+                names.extend(counted)
+                times.extend(counted.values())
+                sizes[row] = len(counted)
                 group.append((symbols, contexts))
                 rows.append(at)
                 held += len(symbols)
@@ -368,9 +375,11 @@ def _scored(model):
                     group, rows, held = [], [], 0
             if group:
                 finish()
+            listed = [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], kind) for i, kind in enumerate((pa.binary(), pa.int64()))]
+            others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays(listed, names=["token", "n"]))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(tokens), pa.array(known),
-                pa.array(size), pa.array(base), pa.array(bits), pa.array(others, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))],
+                pa.array(size), pa.array(base), pa.array(bits), others.take(pa.array(np.argsort(order)))],
                 names=["doc_id", "held_out", "high", "low", "n_tokens", "known", "size", "base", "bits", "others"])
 
     return scan
