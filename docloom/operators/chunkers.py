@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from docloom.operators import semantic, splitting  # noqa: F401
-from docloom.operators.chunking import chunk_by_name, chunker_named, register_chunker, without_text
+from docloom.operators.chunking import chunk_by_name, chunker_named, register_chunker, without_chunk
 
-__all__ = ["chunk_by_name", "chunker_named", "register_chunker", "without_text"]
+__all__ = ["chunk_by_name", "chunker_named", "register_chunker", "without_chunk"]

@@ -238,6 +238,13 @@ def chunk_by_name(name: str, df: DataFrame, text: str, keep: list[str], **settin
     return chunker_named(name)(df, text, keep, **settings)
 
 
-def without_text(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Documents that no chunker finds a chunk in, with the reason as ``chunker_status``."""
-    return df.filter(~F.coalesce(F.rlike(text, F.lit(r"\S")), F.lit(False))).select(*keep, F.lit("ERROR: no text").alias("chunker_status"))
+def without_chunk(docs: DataFrame, chunks: DataFrame, text: str, keep: list[str], key: str) -> DataFrame:
+    """Documents of which ``chunks`` holds nothing, with the reason as ``chunker_status``.
+
+    Found from the chunks themselves, so it is right for every chunker: a text
+    of white space only, or one that the chunker made nothing of.
+    """
+    blank = ~F.coalesce(F.rlike(text, F.lit(r"\S")), F.lit(False))
+    reason = F.when(blank, "ERROR: no text").otherwise("ERROR: no chunk")
+    cut = chunks.select(F.col(key).alias("_cut")).distinct()
+    return docs.select(*keep, reason.alias("chunker_status")).join(cut, F.col(key).eqNullSafe(F.col("_cut")), "left_anti")

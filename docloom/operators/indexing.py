@@ -1,16 +1,39 @@
-"""Keeping the index in step with the chunks."""
+"""Keeping the index in step with the chunks, merged when it is read.
+
+A stored index is a view over two tables: the base, bucketed by chunk id, and
+the delta, one published batch of upserts and tombstones per sync. A sync
+writes what has changed and nothing else; reading takes the newest delta row
+of a chunk before its base row. Once the delta has grown to a share of the
+base, both are written anew as one base. ``origin`` tells the sync that a row
+comes from, 0 being the first build.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import id_bucket
 from docloom.operators.encoding import Encoder, HashingEncoder, embed
-from docloom.operators.scaling import cut_lineage
-from docloom.sources.tables import overwrite_partitions
+from docloom.operators.scaling import stored
+from docloom.sources.published import create_published, location, publish_batch
+from docloom.sources.tables import index_versions
+
+# Bytes of text that one bucket of a base holds about, and the share of the base at which a delta is merged into it.
+BUCKET_BYTES = 128 << 20
+COMPACT_SHARE = 0.1
+
+_MERGED = """
+SELECT {columns} FROM {base} LEFT ANTI JOIN (SELECT chunk_id AS changed FROM {delta}) ON chunk_id = changed
+UNION ALL
+SELECT {newest} FROM (SELECT max_by(struct({columns}, deleted), origin) AS row FROM {delta} GROUP BY chunk_id) WHERE NOT row.deleted
+"""
+
+
+def _merge_sql(columns: list[str]) -> str:
+    quoted = [f"`{c}`" for c in columns]
+    return _MERGED.replace("{columns}", ", ".join(quoted)).replace("{newest}", ", ".join(f"row.{c} AS {c}" for c in quoted))
 
 
 def index_changes(old: DataFrame, new: DataFrame, text: str = "chunked_text") -> DataFrame:
@@ -19,77 +42,98 @@ def index_changes(old: DataFrame, new: DataFrame, text: str = "chunked_text") ->
     Chunk ids are unique on both sides; texts are compared by digest, so the
     texts themselves are not shuffled.
     """
-    before = old.select("chunk_id", F.md5(text).alias("_old"))
-    after = new.select("chunk_id", F.md5(text).alias("_new"))
+    before = old.select("chunk_id", F.lit(True).alias("_was"), F.md5(text).alias("_old"))
+    after = new.select("chunk_id", F.lit(True).alias("_is"), F.md5(text).alias("_new"))
     change = (
-        F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete")
-        .when(F.col("_old") != F.col("_new"), "update").otherwise("same"))
+        F.when(F.col("_was").isNull(), "insert").when(F.col("_is").isNull(), "delete")
+        .when(~F.col("_old").eqNullSafe(F.col("_new")), "update").otherwise("same"))
     return before.join(after, "chunk_id", "full_outer").select("chunk_id", change.alias("change"))
 
 
-def apply_changes(index: DataFrame, chunks: DataFrame, text: str = "chunked_text",
+def delta_rows(changes: DataFrame, chunks: DataFrame, origin: int, text: str = "chunked_text",
+               factory: Callable[[], Encoder] | None = None) -> DataFrame:
+    """Upserts and tombstones of a sync: the columns of ``chunks``, ``origin`` and ``deleted``.
+
+    With a ``factory``, inserted and updated texts are encoded; the others are not looked at.
+    """
+    fresh = chunks.join(changes.filter(F.col("change").isin("insert", "update")), "chunk_id", "left_semi")
+    upserts = embed(fresh, text, "embedding", factory) if factory else fresh
+    gone = changes.filter(F.col("change") == "delete").select("chunk_id", F.lit(True).alias("deleted"))
+    return upserts.withColumn("deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True).withColumn(
+        "origin", F.lit(origin).cast("long"))
+
+
+def merged(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """The rows a reader sees: the newest delta row of a chunk, or else its base row."""
+    return base.sparkSession.sql(_merge_sql(base.columns), base=base, delta=delta)
+
+
+def apply_changes(index: DataFrame, chunks: DataFrame, origin: int = 1, text: str = "chunked_text",
                   factory: Callable[[], Encoder] | None = None) -> DataFrame:
-    """The index after a sync, out of one join: rows whose text is unchanged are kept as they
-    are, new and changed ones come from ``chunks``, and the others are gone.
+    """The index after a sync: unchanged rows as they are, ``origin`` included, changed ones from ``chunks``.
 
-    With a ``factory`` the index has ``embedding`` and ``embedding_status``, and
-    only new and changed texts are encoded.
+    ``index`` has the columns of ``chunks``, ``origin``, and with a ``factory`` also ``embedding`` and ``embedding_status``.
     """
-    columns = [c for c in chunks.columns if c != "chunk_id"]
-    extra = ["embedding", "embedding_status"] if factory else []
-    old = index.select("chunk_id", F.struct(*columns, *extra).alias("_old"))
-    new = chunks.select("chunk_id", F.struct(*columns).alias("_new"))
-    stale = F.coalesce(F.col(f"_old.{text}") != F.col(f"_new.{text}"), F.lit(True))
-    joined = old.join(new, "chunk_id", "right").withColumn("_stale", stale)
-    picked = joined.select("chunk_id", *[
-        F.when(F.col("_stale"), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in columns],
-        *[F.col(f"_old.{c}").alias(f"_kept_{c}") for c in extra], "_stale")
-    if not factory:
-        return picked.drop("_stale")
-    encoded = embed(picked, text, "embedding", factory, only="_stale")
-    return encoded.select("chunk_id", *columns, *[
-        F.when(F.col("_stale"), F.col(c)).otherwise(F.col(f"_kept_{c}")).alias(c) for c in extra])
+    return merged(index, delta_rows(index_changes(index, chunks, text), chunks, origin, text, factory))
 
 
-def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
-               factory: Callable[[], Encoder] = HashingEncoder, files_per_bucket: int = 1) -> dict[str, int]:
-    """Bring a stored index up to date with ``chunks (chunk_id, text, ...)``.
-
-    The table is partitioned by ``bucket``, a hash of the chunk id. Buckets
-    with a change are rebuilt and overwritten, others are not touched, and only
-    inserted and updated chunks are encoded. ``files_per_bucket`` tasks share
-    the writing of one bucket; raise it with the size of the index. The new buckets are written to the
-    checkpoint folder before the table is overwritten, so a lost executor never
-    leaves a half-read source.
+def _buckets(rows: DataFrame, text: str, bucket_bytes: int) -> int:
+    size = rows.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(1, -(-size // bucket_bytes))
+
+
+def _start(index_table: str, rows: DataFrame, version: int, text: str, bucket_bytes: int) -> None:
+    """A new base out of ``rows`` with an empty delta; the view turns to them once both are stored."""
+    spark = rows.sparkSession
+    base, delta = f"{index_table}_base_v{version}", f"{index_table}_delta_v{version}"
+    n = _buckets(rows, text, bucket_bytes)
+    rows.repartition(n, "chunk_id").write.mode("overwrite").bucketBy(n, "chunk_id").saveAsTable(base)
+    create_published(spark.read.table(base).withColumn("deleted", F.lit(False)), delta)
+    spark.sql(f"CREATE OR REPLACE VIEW {index_table} AS " + _merge_sql(rows.columns).format(base=base, delta=delta))
+
+
+def _stored_bytes(spark: SparkSession, table: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(location(spark, table))
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def compact_index(spark: SparkSession, index_table: str, text: str = "chunked_text", bucket_bytes: int = BUCKET_BYTES) -> None:
+    """Merge base and delta into a new base.
+
+    The tables replaced stay until the next compaction, for readers that have begun.
     """
-    spark = chunks.sparkSession
-    bucket = id_bucket(F.col("chunk_id"))
+    versions = index_versions(spark, index_table, "base")
+    _start(index_table, spark.read.table(index_table), versions[-1] + 1, text, bucket_bytes)
+    for old in versions[:-1]:
+        for kind in ("base", "delta"):
+            spark.sql(f"DROP TABLE IF EXISTS {index_table}_{kind}_v{old}")
 
-    def laid_out(df: DataFrame) -> DataFrame:
-        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(files_per_bucket)).alias("_salt")
-        return df.repartition(F.col("bucket"), salt) if files_per_bucket > 1 else df.repartition("bucket")
 
-    if not spark.catalog.tableExists(index_table):
-        built = embed(chunks, text, "embedding", factory).withColumn("bucket", bucket)
-        laid_out(built).write.partitionBy("bucket").saveAsTable(index_table)
-        return {"insert": spark.read.table(index_table).count(), "update": 0, "delete": 0, "same": 0}
-    index = spark.read.table(index_table)
-    changes = cut_lineage(index_changes(index, chunks, text))
+def sync_index(index_table: str, chunks: DataFrame, text: str = "chunked_text",
+               factory: Callable[[], Encoder] = HashingEncoder, compact_share: float = COMPACT_SHARE,
+               bucket_bytes: int = BUCKET_BYTES) -> dict[str, int]:
+    """Bring a stored index up to date with ``chunks (chunk_id, text, ...)``; returns the number of rows per change.
+
+    Only inserted and updated chunks are encoded, and only changed rows are
+    written. Ids are unique in ``chunks`` and none is null. One sync runs at a time.
+    """
+    spark = chunks.sparkSession
     counts = {"insert": 0, "update": 0, "delete": 0, "same": 0}
+    if not spark.catalog.tableExists(index_table):
+        built = stored(embed(chunks, text, "embedding", factory).withColumn("origin", F.lit(0).cast("long")), "index")
+        _start(index_table, built, 0, text, bucket_bytes)
+        return counts | {"insert": built.count()}
+    version = index_versions(spark, index_table, "base")[-1]
+    base, delta = f"{index_table}_base_v{version}", f"{index_table}_delta_v{version}"
+    changes = stored(index_changes(spark.read.table(index_table), chunks, text), "changes")
     counts.update({r["change"]: r["count"] for r in changes.groupBy("change").count().collect()})
-    buckets = [r["b"] for r in changes.filter(F.col("change") != "same")
-               .select(bucket.alias("b")).distinct().collect()]  # at most 256
-    if not buckets:
+    if counts["same"] == sum(counts.values()):
         return counts
-    rebuilt = cut_lineage(apply_changes(
-        index.filter(F.col("bucket").isin(buckets)), chunks.filter(bucket.isin(buckets)), text, factory,
-    ).withColumn("bucket", bucket).select(*index.columns))
-    # A bucket whose last chunk was deleted has no new rows to overwrite it with.
-    emptied = set(buckets) - {r["bucket"] for r in rebuilt.select("bucket").distinct().collect()}
-    overwrite_partitions(laid_out(rebuilt), index_table)
-    for bucket in emptied:
-        spark.sql(f"ALTER TABLE {index_table} DROP IF EXISTS PARTITION (bucket = {int(bucket)})")
-    spark.catalog.refreshTable(index_table)
+    newest = [spark.read.table(t).agg(F.max("origin")).first()[0] or 0 for t in (base, delta)]
+    origin = max(newest) + 1
+    publish_batch(delta_rows(changes, chunks, origin, text, factory).select(*spark.read.table(delta).drop("batch_id").columns), delta, origin)
+    if _stored_bytes(spark, delta) > compact_share * _stored_bytes(spark, base):
+        compact_index(spark, index_table, text, bucket_bytes)
     return counts
 
 

@@ -128,11 +128,3 @@ def input_files(df: DataFrame) -> tuple:
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         found.append((name, status.getLen(), status.getModificationTime()))
     return tuple(sorted(found))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
-    return df.checkpoint()

@@ -493,8 +493,10 @@ def index_sync_changes(t: Tables) -> DataFrame:
 
 @query
 def index_sync_apply(t: Tables) -> DataFrame:
-    synced = indexing.apply_changes(*_snapshots(t))
-    return synced.select("chunk_id", "doc_uri", F.md5("chunked_text").alias("text_id"))
+    """The index after a sync; ``origin`` is 0 where the row of before is kept."""
+    old, new = _snapshots(t)
+    synced = indexing.apply_changes(old.withColumn("origin", F.lit(0).cast("long")), new)
+    return synced.select("chunk_id", "doc_uri", F.md5("chunked_text").alias("text_id"), "origin")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import indexing, parsing
-from docloom.operators.chunkers import chunk_by_name, without_text
+from docloom.operators.chunkers import chunk_by_name, without_chunk
 from docloom.operators.chunking import dedup_chunks
 from docloom.sources.files import load_files
 from docloom.sources.tables import Layout, log_lineage, read_table, tag_table, write_table
@@ -56,8 +56,8 @@ def run_documents(spark: SparkSession, path: str, strategy: Strategy, layout: La
     spark.sql(f"DROP TABLE {layout.staging}")
     parsed, keep = read_table(spark, layout.parsed), ["doc_uri", "last_modified"]
     write_table(chunk_by_name(strategy.chunker, parsed, "doc_content", keep, **strategy.chunker_settings), layout.chunked)
-    write_table(without_text(parsed, "doc_content", keep), layout.quarantine(layout.chunked))
     stored = read_table(spark, layout.chunked)
+    write_table(without_chunk(parsed, stored, "doc_content", keep, "doc_uri"), layout.quarantine(layout.chunked))
     unique = dedup_chunks(stored, "doc_uri").select("chunk_id", "chunked_text", "doc_uri")
     synced = indexing.sync_index(layout.table("index"), unique, factory=encoder_factory(strategy.encoder))
     counts = {"documents": report["total"], "quarantined": report["failed"], "chunks": stored.count(), **synced}

@@ -482,7 +482,9 @@ add("index_sync_changes", """SELECT md5(doc_uri || '#' || CAST(pos AS VARCHAR))
        CASE WHEN o.chunk IS NULL THEN 'insert' WHEN n.chunk IS NULL THEN 'delete' WHEN o.chunk <> n.chunk THEN 'update' ELSE 'same' END AS change
 FROM old_v o FULL OUTER JOIN new_v n USING (doc_uri, pos)""", *SNAPSHOTS)
 
-add("index_sync_apply", "SELECT md5(doc_uri || '#' || CAST(pos AS VARCHAR)) AS chunk_id, doc_uri, md5(chunk) AS text_id FROM new_v", *SNAPSHOTS)
+add("index_sync_apply", """SELECT md5(doc_uri || '#' || CAST(pos AS VARCHAR)) AS chunk_id, doc_uri, md5(n.chunk) AS text_id,
+       CAST(CASE WHEN o.chunk = n.chunk THEN 0 ELSE 1 END AS BIGINT) AS origin
+FROM new_v n LEFT JOIN old_v o USING (doc_uri, pos)""", *SNAPSHOTS)
 
 add("index_coverage", f"""SELECT source, count(*) AS n_docs,
        count(*) FILTER (WHERE parser_status <> 'SUCCESS' OR doc_id NOT IN (SELECT doc_id FROM chunks_v WHERE {n_words('chunk')} >= 8)) AS n_missing

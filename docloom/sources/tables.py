@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,17 +71,6 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
     writer.saveAsTable(name)
 
 
-def overwrite_partitions(df: DataFrame, name: str) -> None:
-    """Replace those partitions of a table that ``df`` has rows for, and no others."""
-    conf = df.sparkSession.conf
-    previous = conf.get("spark.sql.sources.partitionOverwriteMode")
-    conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").insertInto(name)
-    finally:
-        conf.set("spark.sql.sources.partitionOverwriteMode", previous)
-
-
 def append_table(df: DataFrame, name: str, checkpoint: str, continuous: str | None = None,
                  fmt: str = "parquet") -> StreamingQuery:
     """Append a stream to a table: everything available now, or every ``continuous`` interval."""
@@ -95,10 +85,28 @@ def delete_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def index_versions(spark: SparkSession, index_table: str, kind: str) -> list[int]:
+    """Numbers of the ``base`` or ``delta`` tables behind an index view, oldest first."""
+    schema, _, name = index_table.lower().rpartition(".")
+    shown = spark.sql(f"SHOW TABLES IN {schema}" if schema else "SHOW TABLES").select("tableName").collect()
+    found = (re.fullmatch(rf"{re.escape(name)}_{kind}_v(\d+)", r["tableName"].lower()) for r in shown)
+    return sorted(int(m.group(1)) for m in found if m)
+
+
+def drop_index(spark: SparkSession, index_table: str) -> None:
+    """Drop an index view and the tables behind it."""
+    spark.sql(f"DROP VIEW IF EXISTS {index_table}")
+    for kind in ("base", "delta"):
+        for version in index_versions(spark, index_table, kind):
+            spark.sql(f"DROP TABLE IF EXISTS {index_table}_{kind}_v{version}")
+
+
 def reset(spark: SparkSession, layout: Layout) -> None:
     """Drop the run's tables and checkpoints, so that every file is read again."""
+    drop_index(spark, layout.table("index"))
     for table in layout.tables():
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if table != layout.table("index"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         delete_folder(spark, layout.checkpoint(table))
 
 

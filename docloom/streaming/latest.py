@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators.feedback import latest_by
-from docloom.streaming.stages import write_batch
+from docloom.sources.published import publish_batch
 
 
 def stream_latest(stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str) -> StreamingQuery:
@@ -17,7 +17,7 @@ def stream_latest(stream: DataFrame, keys: list[str], order: list[str], table: s
     a repeated batch replaces itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(latest_by(batch, keys, order), table, batch_id)
+        publish_batch(latest_by(batch, keys, order), table, batch_id)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -1,4 +1,9 @@
-"""Incremental document stages chained by tables, each exactly once per checkpoint."""
+"""Incremental document stages chained by tables, each exactly once per checkpoint.
+
+Loading appends through Spark's file sink, which keeps a log of its files. The
+later stages write two tables from one micro-batch, so they publish their
+batches (``sources.published``) and read what the stage before has published.
+"""
 
 from __future__ import annotations
 
@@ -8,31 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom.operators.chunkers import chunker_named, without_text
+from docloom.operators.chunkers import chunker_named, without_chunk
 from docloom.operators.chunking import dedup_chunks
 from docloom.operators.encoding import Encoder, HashingEncoder, embed
 from docloom.operators.parsing import split_status
 from docloom.plans.documents import parse_files
 from docloom.sources.files import stream_files
-from docloom.sources.tables import Layout, append_table, overwrite_partitions, stream_table
+from docloom.sources.published import publish_batch, published_rows, stream_published
+from docloom.sources.tables import Layout, append_table, stream_table
 
 
 def _trigger(continuous: str | None) -> dict:
     return {"processingTime": continuous} if continuous else {"availableNow": True}
 
 
-def write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
-    """Store a micro-batch under its number; a repeated batch replaces itself.
-
-    A reader that streams from the table while a batch is being repeated could
-    see that batch again, so stages are run one after the other.
-    """
-    numbered = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    if not rows.sparkSession.catalog.tableExists(table):
-        numbered.limit(0).write.mode("ignore").partitionBy("batch_id").saveAsTable(table)
-    overwrite_partitions(numbered, table)
-
-
 def split_sink(stream: DataFrame, status: str, good_table: str, bad_table: str, checkpoint: str,
                continuous: str | None = None,
                project: Callable[[DataFrame], DataFrame] = lambda df: df,
@@ -45,10 +39,10 @@ def split_sink(stream: DataFrame, status: str, good_table: str, bad_table: str,
         batch.persist()
         try:
             good, bad = split_status(batch, F.col(status))
-            write_batch(project(good), good_table, batch_id)
-            write_batch(bad, bad_table, batch_id)
+            publish_batch(project(good), good_table, batch_id)
+            stored = publish_batch(bad, bad_table, batch_id)
             if failed is not None:
-                failed[batch_id] = bad.count()
+                failed[batch_id] = stored.count()
         finally:
             batch.unpersist()
 
@@ -70,21 +64,23 @@ def parse_stage(spark: SparkSession, layout: Layout, parser: str | None = None,
 
 def chunk_stage(spark: SparkSession, layout: Layout, chunker: str = "window", continuous: str | None = None,
                 failed: dict[int, int] | None = None, **settings) -> StreamingQuery:
-    """Chunks of newly parsed documents; documents without text go to the quarantine table.
+    """Chunks of newly parsed documents; documents that give no chunk go to the quarantine table.
 
-    Document columns travel with the chunks, so no stream is joined.
+    Document columns travel with the chunks, so no stream is joined. The chunks
+    are stored before the documents without any are looked for.
     """
     cut, keep = chunker_named(chunker), ["doc_uri", "last_modified"]
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        empty = without_text(batch, "doc_content", keep)
-        chunks = cut(batch, "doc_content", keep, **settings)
-        write_batch(chunks.withColumn("chunker_status", F.lit("SUCCESS")), layout.chunked, batch_id)
-        write_batch(empty, layout.quarantine(layout.chunked), batch_id)
+    def write(listed: DataFrame, batch_id: int) -> None:
+        documents = published_rows(listed, layout.parsed)
+        chunks = cut(documents, "doc_content", keep, **settings)
+        stored = publish_batch(chunks.withColumn("chunker_status", F.lit("SUCCESS")), layout.chunked, batch_id)
+        empty = publish_batch(without_chunk(documents, stored, "doc_content", keep, "doc_uri"),
+                              layout.quarantine(layout.chunked), batch_id)
         if failed is not None:
             failed[batch_id] = empty.count()
 
-    stream = stream_table(spark, layout.parsed).drop("batch_id")
+    stream = stream_published(spark, layout.parsed)
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", layout.checkpoint(layout.chunked))
             .trigger(**_trigger(continuous)).start())
 
@@ -93,20 +89,20 @@ def index_stage(spark: SparkSession, layout: Layout, factory: Callable[[], Encod
                 continuous: str | None = None) -> StreamingQuery:
     """Encode newly stored chunks into the index table, once or at every ``continuous`` interval.
 
-    A chunk id stands for its text, so a known id needs no new vector. Ids of
-    other batches alone count as known, which lets a repeated batch replace itself.
+    A chunk id stands for its text, so a known id needs no new vector. A batch
+    that is already in the index is not written again.
     """
     table = layout.table("index_stream")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = dedup_chunks(batch, "doc_uri").select("chunk_id", "chunked_text", "doc_uri")
+    def write(listed: DataFrame, batch_id: int) -> None:
+        session = listed.sparkSession
+        fresh = dedup_chunks(published_rows(listed, layout.chunked), "doc_uri").select("chunk_id", "chunked_text", "doc_uri")
         if session.catalog.tableExists(table):
-            known = session.read.table(table).filter(F.col("batch_id") != batch_id).select("chunk_id")
+            known = session.read.table(table).select("chunk_id")
             fresh = fresh.join(known, "chunk_id", "left_anti")
-        write_batch(embed(fresh, "chunked_text", "embedding", factory), table, batch_id)
+        publish_batch(embed(fresh, "chunked_text", "embedding", factory), table, batch_id)
 
-    stream = stream_table(spark, layout.chunked).drop("batch_id")
+    stream = stream_published(spark, layout.chunked)
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", layout.checkpoint(table))
             .trigger(**_trigger(continuous)).start())
 

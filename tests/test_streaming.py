@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.plans.documents import Strategy, run_documents
 from docloom.plans.sweep import run_sweep
-from docloom.sources import files, tables
+from docloom.sources import files, published, tables
 from docloom.streaming import latest, monitor, stages
 from tests.conftest import rows
 
@@ -69,6 +69,11 @@ def test_chunkers_by_name_and_quarantine(spark, corpus, tmp_path, chunker):
     assert uris == {"a.html", "b.txt"}
     bad = spark.read.table(layout.quarantine(layout.chunked)).collect()
     assert [(r.doc_uri.split("/")[-1], r.chunker_status) for r in bad] == [("empty.txt", "ERROR: no text")]
+    (corpus / "heading.txt").write_text("# Only a heading")
+    stages.run_incremental(spark, str(corpus), layout, chunker=chunker)
+    parsed, cut, bad = (spark.read.table(t) for t in (layout.parsed, layout.chunked, layout.quarantine(layout.chunked)))
+    assert parsed.count() == cut.select("doc_uri").distinct().count() + bad.count() == 4
+    assert bad.filter("chunker_status = 'ERROR: no chunk'").count() == (chunker == "markdown")
     with pytest.raises(ValueError, match="unknown chunker"):
         stages.chunk_stage(spark, layout, "no such")
 
@@ -102,14 +107,56 @@ def test_index_follows_the_chunks(spark, corpus, tmp_path):
     assert spark.read.table(layout.table("index_stream")).count() == sizes[0] + 1
 
 
-def test_repeated_batch_replaces_itself(spark):
+def test_repeated_batch_changes_nothing(spark):
     spark.sql("DROP TABLE IF EXISTS batches")
     df = spark.createDataFrame([(1,), (2,)], "a int")
     for batch in (0, 1, 1):
-        stages.write_batch(df, "batches", batch)
+        published.publish_batch(df, "batches", batch)
     assert spark.read.table("batches").count() == 4
 
 
+def test_reader_sees_a_repeated_batch_once(spark, tmp_path, monkeypatch):
+    """A batch is repeated while a stream reads the table, and again after a stop between mark and partition."""
+    spark.sql("DROP TABLE IF EXISTS followed")
+    spark.sql("DROP TABLE IF EXISTS seen")
+    batch = lambda *v: spark.createDataFrame([(x,) for x in v], "a int")
+    published.publish_batch(batch(1, 2), "followed", 0)
+
+    def copy(listed, batch_id):
+        published.publish_batch(published.published_rows(listed, "followed"), "seen", batch_id)
+
+    query = (published.stream_published(spark, "followed").writeStream.foreachBatch(copy)
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start())
+    try:
+        query.processAllAvailable()
+        published.publish_batch(batch(1, 2), "followed", 0)
+        run = type(spark).sql
+
+        def stopped(self, text, *args, **kwargs):
+            if text.startswith("ALTER"):
+                raise KeyboardInterrupt
+            return run(self, text, *args, **kwargs)
+
+        with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):
+            patch.setattr(type(spark), "sql", stopped)
+            published.publish_batch(batch(3), "followed", 1)
+        query.processAllAvailable()
+        published.publish_batch(batch(3), "followed", 1)
+        published.publish_batch(batch(), "followed", 2)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert rows(spark.read.table("seen"), "a") == rows(spark.read.table("followed"), "a") == [(1,), (2,), (3,)]
+
+
+def test_unpublished_files_are_not_read(spark):
+    spark.sql("DROP TABLE IF EXISTS halfway")
+    df = spark.createDataFrame([(1,)], "a int")
+    published.publish_batch(df, "halfway", 0)
+    df.write.parquet(f"{published.location(spark, 'halfway')}/_batches/1-left")
+    assert spark.read.table("halfway").count() == 1
+
+
 def test_latest_click_per_key(spark, tmp_path):
     schema = "event_id long, request_id long, ts timestamp, v string"
     t = lambda m: datetime.datetime(2024, 1, 1, 0, m)
