@@ -59,9 +59,13 @@ def root_cause(df: DataFrame, truth: bool) -> DataFrame:
     return df.withColumn("_why", chosen).select(*df.columns, "_why.*")
 
 
-def cause_frequency(diagnosed: DataFrame, by: str = "root_cause") -> DataFrame:
-    """``value, n, percent`` of the rows that have a cause; the window sees one row per rule at most."""
-    counted = diagnosed.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+def cause_frequency(diagnosed: DataFrame, by: str = "root_cause", with_missing: bool = False) -> DataFrame:
+    """``value, n, percent`` of the rows that have a cause, or ``with_missing`` of all rows.
+
+    The window sees one row per rule and one for none at most.
+    """
+    rated = diagnosed if with_missing else diagnosed.filter(F.col(by).isNotNull())
+    counted = rated.groupBy(F.col(by).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("percent", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 6))
 
 

@@ -169,6 +169,14 @@ def chunk_markdown_headers(t: Tables) -> DataFrame:
     return sections.select("doc_id", "h1", "h2", "h3", tx.chunk_id(whole).alias("chunk_id"))
 
 
+@query
+def chunk_quarantine(t: Tables) -> DataFrame:
+    """Documents that the heading chunker makes no chunk of."""
+    docs = inputs.outline_docs(t.documents)
+    chunks = chunking.chunk_by_name("markdown", docs, "markdown", ["doc_id"])
+    return chunking.without_chunk(docs, chunks, "markdown", ["doc_id"], "doc_id")
+
+
 @query
 def chunk_id(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.chunk_id(F.col("text")).alias("chunk_id"))
@@ -620,10 +628,18 @@ def _log(t: Tables) -> DataFrame:
     return inputs.assessment_log(t.events)
 
 
-def _attached(t: Tables) -> DataFrame:
+def _requests(t: Tables) -> DataFrame:
+    """The request log with the five best keyword hits of each request as its trace."""
+    asked = inputs.request_log(t.conversations)
+    hits = keyword.built_once(t.documents, "documents").search(asked.select(F.col("request_id").alias("query_id"), F.col("request").alias("query")), 5)
+    docs = inputs.parsed_docs(t.documents).select(F.col("doc_id").alias("chunk_id"), "doc_uri", F.col("doc_content").alias("content"))
+    return inputs.with_trace(asked, ranking.with_index_columns(hits, docs, ["doc_uri", "content"]))
+
+
+def _attached(t: Tables, requests: DataFrame | None = None) -> DataFrame:
     log = _log(t)
-    return feedback.attach_ground_truth(
-        inputs.request_log(t.conversations), feedback.dedup_assessments(log), feedback.rated_requests(log))
+    asked = requests or inputs.request_log(t.conversations)
+    return feedback.attach_ground_truth(asked, feedback.dedup_assessments(log), feedback.rated_requests(log))
 
 
 def _ratings(column: str = "retrieval_assessments"):
@@ -691,19 +707,19 @@ def evalset_chunk_relevance(t: Tables) -> DataFrame:
 @query
 def trace_retrieved_chunks(t: Tables) -> DataFrame:
     chunks = feedback.trace_chunks(F.col("trace"))
-    return inputs.request_log(t.conversations).select("request_id", F.posexplode(chunks).alias("pos", "c")).select(
+    return _requests(t).select("request_id", F.posexplode(chunks).alias("pos", "c")).select(
         "request_id", F.col("pos").cast("long").alias("pos"), "c.doc_uri", "c.content")
 
 
 @query
 def evalset_expected_context(t: Tables) -> DataFrame:
     context = feedback.expected_context(feedback.trace_chunks(F.col("trace")), F.col("retrieval_assessments"))
-    return _attached(t).select("request_id", "source_user", "step_id", context.alias("c")).filter(
+    return _attached(t, _requests(t)).select("request_id", "source_user", "step_id", context.alias("c")).filter(
         F.col("c").isNotNull()).select("request_id", "source_user", "step_id", _uris(F.col("c")).alias("expected_context"))
 
 
 def _evaluation_set(t: Tables) -> DataFrame:
-    return feedback.create_evaluation_set(inputs.request_log(t.conversations), _log(t))
+    return feedback.create_evaluation_set(_requests(t), _log(t))
 
 
 @query
@@ -792,9 +808,13 @@ def root_cause_no_truth(t: Tables) -> DataFrame:
 
 @query
 def root_cause_frequency(t: Tables) -> DataFrame:
+    """Of all documents, those without a label included: their cause is null."""
     found = _diagnosed(t, False)
-    causes = diagnosis.cause_frequency(found, "root_cause").withColumn("kind", F.lit("cause"))
-    return causes.unionByName(diagnosis.cause_frequency(found, "rationale").withColumn("kind", F.lit("rationale")))
+
+    def shares(by: str, kind: str) -> DataFrame:
+        return diagnosis.cause_frequency(found, by, with_missing=True).withColumn("kind", F.lit(kind))
+
+    return shares("root_cause", "cause").unionByName(shares("rationale", "rationale"))
 
 
 @query

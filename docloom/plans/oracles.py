@@ -84,10 +84,10 @@ RUNS = """runs_v AS (
 
 JUDGE = """judge_v AS (
   SELECT d.doc_id AS request_id, CAST(d.n_chars % 5 AS DOUBLE) / 4 AS chunk_relevance_precision,
-         CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS groundedness,
-         CASE WHEN l.toxic = 0 THEN 'yes' ELSE 'no' END AS relevance_to_query,
+         CASE WHEN l.quality = 1 THEN 'yes' WHEN l.quality <> 1 THEN 'no' END AS groundedness,
+         CASE WHEN l.toxic = 0 THEN 'yes' WHEN l.toxic <> 0 THEN 'no' END AS relevance_to_query,
          CASE WHEN d.doc_id % 2 = 0 THEN 'yes' ELSE 'no' END AS correctness
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 ORACLES: dict[str, str] = {}
 
@@ -179,6 +179,13 @@ add("chunk_paragraph", PLACES, PARAGRAPHS)
 add("chunk_sentence", PLACES, SENTENCES)
 add("chunk_id", "SELECT doc_id, md5(text) AS chunk_id FROM documents")
 
+add("chunk_quarantine", f"""SELECT doc_id, CASE WHEN n IS NULL OR (n > 2 AND blank) THEN 'ERROR: no text' ELSE 'ERROR: no chunk' END AS chunker_status
+FROM documents LEFT JOIN (
+  SELECT doc_id, max(n) AS n, bool_and({strip('line')} = '' AND NOT (n <= 2 OR pos % 12 IN (1, 4, 7))) AS blank,
+         bool_or({strip('line')} <> '' AND NOT (n <= 2 OR pos % 12 IN (1, 4, 7))) AS kept
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM lines_v) GROUP BY doc_id) USING (doc_id)
+WHERE NOT coalesce(kept, FALSE)""", LINES)
+
 add("chunk_markdown_headers", f"""SELECT doc_id, h1, h2, h3, md5(concat_ws(chr(10), h1, h2, h3, body)) AS chunk_id
 FROM (SELECT doc_id, section, any_value(t1) AS h1, any_value(CASE WHEN p2 > coalesce(p1, -1) THEN t2 END) AS h2,
              any_value(CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN t3 END) AS h3,
@@ -552,12 +559,17 @@ add("response_fallback", f"""SELECT conv_id, turn, reason AS fallback_reason, CA
 # --- feedback --------------------------------------------------------------
 
 REQUESTS = """requests_v AS (
-  SELECT conv_id AS request_id, min_by(text, turn) FILTER (WHERE role = 'user') AS request,
-         max_by(text, turn) FILTER (WHERE role = 'assistant') AS response, conv_id % 9 <> 8 AS traced
-  FROM conversations GROUP BY conv_id)"""
+  SELECT conv_id || ':' || turn AS request_id, text AS request,
+         CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS response
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY role = 'user')"""
+
+TRACE = [REQUESTS, f"qterm AS (SELECT DISTINCT request_id AS item_id, unnest({words('lower(request)')}) AS term FROM requests_v)",
+         *keyword_hits(5)[1:],
+         """trace_v AS (SELECT query_id AS request_id, CAST(rank - 1 AS BIGINT) AS pos, source || '/' || doc_id AS doc_uri, text AS content
+  FROM kw JOIN documents ON doc_id = chunk_id)"""]
 
 LOG = """log_v AS (
-  SELECT event_id, user_id AS request_id, ts, 'rev' || CAST(event_id % 3 AS VARCHAR) AS source_id,
+  SELECT event_id, user_id || ':' || CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) // 20 AS request_id, ts, 'rev' || CAST(event_id % 3 AS VARCHAR) AS source_id,
          CASE WHEN event_id % 2 = 0 THEN 'step_a' ELSE 'step_b' END AS step_id,
          CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative' WHEN 'click' THEN 'idk' END AS answer_rating,
          CASE WHEN event_type IN ('purchase', 'error', 'click') THEN
@@ -587,9 +599,10 @@ LABELLED = """labelled_v AS (SELECT *,
          CASE is_correct WHEN 'positive' THEN coalesce(suggested_output, response) WHEN 'negative' THEN suggested_output END AS expected_response,
          suggested_output IS NOT NULL AS has_edit FROM attached_v)"""
 CONTEXT = """context_v AS (SELECT l.*, (
-    SELECT string_agg('d/' || CAST(request_id + i AS VARCHAR) || '=c' || CAST(i AS VARCHAR), ',' ORDER BY i)
-    FROM (SELECT unnest(range(5)) AS i) WHERE traced AND list_contains(good_positions, i)) AS expected_context FROM labelled_v l)"""
-CHAIN = [REQUESTS, LOG, TEXT, CHUNK, NEST, MERGED, ATTACHED, LABELLED, CONTEXT]
+    SELECT string_agg(doc_uri || '=' || content, ',' ORDER BY pos) FROM trace_v t
+    WHERE t.request_id = l.request_id AND list_contains(good_positions, pos)) AS expected_context FROM labelled_v l)"""
+CHAIN = [REQUESTS, LOG, TEXT, CHUNK, NEST, MERGED, ATTACHED, LABELLED]
+FULL = [*TRACE, *CHAIN[1:], CONTEXT]
 
 add("feedback_latest_text", "SELECT event_id, request_id, source_id, step_id, answer_rating, suggested_output FROM text_v", LOG, TEXT)
 add("feedback_latest_retrieval", "SELECT event_id, request_id, source_id, step_id, position, chunk_rating FROM chunk_v", LOG, CHUNK)
@@ -599,17 +612,16 @@ add("feedback_attach", "SELECT request_id, is_correct, suggested_output, source_
 add("evalset_label", "SELECT request_id, source_user, step_id, source_tag, expected_response, has_edit FROM labelled_v", *CHAIN[:8])
 add("evalset_union", ORACLES["evalset_label"])
 add("evalset_chunk_relevance", "SELECT request_id, source_user, step_id, ratings AS chunk_relevance FROM attached_v WHERE ratings IS NOT NULL", *CHAIN[:7])
-add("trace_retrieved_chunks", """SELECT request_id, i AS pos, 'd/' || CAST(request_id + i AS VARCHAR) AS doc_uri, 'c' || CAST(i AS VARCHAR) AS content
-FROM requests_v, (SELECT unnest(range(5)) AS i) WHERE traced""", REQUESTS)
-add("evalset_expected_context", "SELECT request_id, source_user, step_id, expected_context FROM context_v WHERE expected_context IS NOT NULL", *CHAIN)
+add("trace_retrieved_chunks", "SELECT request_id, pos, doc_uri, content FROM trace_v", *TRACE)
+add("evalset_expected_context", "SELECT request_id, source_user, step_id, expected_context FROM context_v WHERE expected_context IS NOT NULL", *FULL)
 add("evaluation_set", """SELECT request_id, request, response, expected_response, expected_context AS expected_retrieved_context,
-       source_user, step_id, source_tag, has_edit FROM context_v""", *CHAIN)
+       source_user, step_id, source_tag, has_edit FROM context_v""", *FULL)
 add("evaluation_set_one_row", """SELECT request_id, source_user, step_id, source_tag FROM context_v
 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY CASE source_tag WHEN 'thumbs_up' THEN 0 WHEN 'thumbs_down_edited' THEN 1 ELSE 2 END,
-  coalesce(source_user, ''), coalesce(step_id, '')) = 1""", *CHAIN)
+  coalesce(source_user, ''), coalesce(step_id, '')) = 1""", *FULL)
 _HEX = "instr('0123456789abcdef', substring(md5(CAST(request_id AS VARCHAR)), {}, 1)) - 1"
 add("evalset_split", f"""SELECT request_id, source_user, step_id, CASE WHEN b < 179 THEN 'train' WHEN b < 230 THEN 'test' ELSE 'validation' END AS split
-FROM (SELECT *, ({_HEX.format(1)}) * 16 + {_HEX.format(2)} AS b FROM context_v)""", *CHAIN)
+FROM (SELECT *, ({_HEX.format(1)}) * 16 + {_HEX.format(2)} AS b FROM context_v)""", *FULL)
 add("evalset_report", """SELECT source_tag, count(*) AS n_rows, count(DISTINCT request_id) AS n_requests, count(expected_response) AS n_expected,
        count(*) >= 30 AS enough FROM labelled_v GROUP BY source_tag""", *CHAIN[:8])
 add("feedback_agreement", """SELECT request_id, count(*) AS n_reviewers, count(*) FILTER (WHERE answer_rating = 'positive') AS n_positive,
@@ -673,7 +685,7 @@ CAUSE = "SELECT request_id, root_cause, assessment, rationale FROM diagnosed_v"
 add("root_cause_truth", CAUSE, JUDGE, causes(True))
 add("root_cause_no_truth", CAUSE, JUDGE, causes(False))
 add("root_cause_frequency", " UNION ALL ".join(f"""SELECT {c} AS value, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent, '{kind}' AS kind FROM diagnosed_v WHERE {c} IS NOT NULL GROUP BY {c}"""
+       round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent, '{kind}' AS kind FROM diagnosed_v GROUP BY {c}"""
                                                for c, kind in (("root_cause", "cause"), ("rationale", "rationale"))), JUDGE, causes(False))
 add("drilldown_retrieval", """SELECT request_id, chunk_relevance_precision, groundedness, relevance_to_query, assessment, rationale
 FROM diagnosed_v WHERE root_cause = 'Improve Retrieval'""", JUDGE, causes(False))

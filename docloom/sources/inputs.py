@@ -6,7 +6,7 @@ These views derive them, row by row, from the columns that are there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import lines
@@ -66,23 +66,39 @@ def turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", F.when(empty, "").otherwise(F.col("text")).alias("content"))
 
 
+def outline_docs(documents: DataFrame) -> DataFrame:
+    """As ``markdown_docs``, but documents of one or two lines are headings alone."""
+    every = F.size(lines(F.col("text"))) <= 2
+    marked = F.transform(lines(F.col("text")), lambda t, i: F.concat(
+        F.when(every | (i % 12 == 1), "# ").when(i % 12 == 4, "## ").when(i % 12 == 7, "### ").otherwise(""), t))
+    return documents.select("doc_id", F.array_join(marked, "\n").alias("markdown"))
+
+
 def request_log(conversations: DataFrame) -> DataFrame:
-    """One request per conversation with the JSON trace of its retrieval step."""
-    document = [
-        F.concat(F.lit('{"doc_uri":"d/'), (F.col("conv_id") + i).cast("string"), F.lit(f'","content":"c{i}"}}'))
-        for i in range(5)
-    ]
-    trace = F.concat(
-        F.lit('{"spans":[{"span_type":"PARSER","documents":[]},{"span_type":"RETRIEVER","documents":['),
-        F.concat_ws(",", *document), F.lit("]}]}"))
-    said = F.struct("turn", "text")
-    return (
-        conversations.groupBy("conv_id")
-        .agg(F.min(F.when(F.col("role") == "user", said)).alias("first"),
-             F.max(F.when(F.col("role") == "assistant", said)).alias("last"))
-        .select(F.col("conv_id").alias("request_id"), F.col("first.text").alias("request"),
-                F.col("last.text").alias("response"), F.when(F.col("conv_id") % 9 != 8, trace).alias("trace"))
-    )
+    """One request per user turn with the assistant turn that follows it, if one does."""
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    follows = F.when(F.lead("role").over(after) == "assistant", F.lead("text").over(after))
+    return conversations.withColumn("response", follows).filter(F.col("role") == "user").select(
+        request_id(F.col("conv_id"), F.col("turn")).alias("request_id"), F.col("text").alias("request"), "response")
+
+
+def request_id(conversation: Column, turn: Column) -> Column:
+    return F.concat_ws(":", conversation.cast("string"), turn.cast("string"))
+
+
+def with_trace(requests: DataFrame, hits: DataFrame) -> DataFrame:
+    """Adds the JSON trace of the retrieval step; ``hits`` has ``query_id, rank, doc_uri, content``, a few per request."""
+    found = hits.groupBy(F.col("query_id").alias("request_id")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "doc_uri", "content"))).alias("found"))
+    documents = F.transform(F.coalesce("found", F.array().cast("array<struct<rank:int,doc_uri:string,content:string>>")),
+                            lambda h: F.struct(h["doc_uri"].alias("doc_uri"), h["content"].alias("content")))
+
+    def span(kind: str, shown: Column) -> Column:
+        return F.struct(F.lit(kind).alias("span_type"), shown.alias("documents"))
+
+    spans = F.array(span("PARSER", F.slice(documents, 1, 0)), span("RETRIEVER", documents))
+    return requests.join(found, "request_id", "left").select(
+        *requests.columns, F.to_json(F.struct(spans.alias("spans"))).alias("trace"))
 
 
 def assessment_log(events: DataFrame) -> DataFrame:
@@ -102,7 +118,7 @@ def assessment_log(events: DataFrame) -> DataFrame:
         (k % 5).alias("position"), step.alias("step_id"),
         ratings(F.when(kind == "view", "true").when(kind == "signup", "false")))
     return events.select(
-        "event_id", F.col("user_id").alias("request_id"), step.alias("step_id"),
+        "event_id", request_id(F.col("user_id"), F.floor(k / 20)).alias("request_id"), step.alias("step_id"),
         F.col("ts").alias("timestamp"),
         F.struct(F.concat(F.lit("rev"), (F.col("event_id") % 3).cast("string")).alias("id")).alias("source"),
         F.when(is_text, text).alias("text_assessment"),
@@ -127,11 +143,11 @@ def text_queries(benchmark: DataFrame) -> DataFrame:
 
 
 def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per-request ratings out of the labels."""
+    """Per-request ratings out of the labels; a rating is null where the document has no label."""
     def yes(condition):
-        return F.when(condition, "yes").otherwise("no")
+        return F.when(condition, "yes").when(~condition, "no")
 
-    return documents.join(labels, "doc_id").select(
+    return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("request_id"),
         ((F.col("n_chars") % 5).cast("double") / 4).alias("chunk_relevance_precision"),
         yes(F.col("quality") == 1).alias("groundedness"),

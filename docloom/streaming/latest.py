@@ -1,32 +1,37 @@
-"""The newest row of each key as a stream arrives."""
+"""The newest row of each key as a stream arrives, kept as keyed state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom.operators.feedback import latest_by
 from docloom.sources.published import publish_batch
 
 
-def stream_latest(stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str) -> StreamingQuery:
-    """Append, per micro-batch, the newest row of each key seen in it.
+def stream_latest(stream: DataFrame, keys: list[str | Column], order: list[str], checkpoint: str,
+                  changes: str | None = None) -> StreamingQuery:
+    """Keep the row with the greatest ``order`` columns of each key in the query's state, one row per key.
 
-    No state is kept between batches: ``read_latest`` reduces the batches, and
-    a repeated batch replaces itself.
+    The order decides, not the arrival: a late older row changes nothing. Each
+    task reduces its own rows before the shuffle, so a hot key is no more than
+    a row per task. ``changes`` names a table that gets the new row of every
+    key that a micro-batch has met, published once per batch. Keys stay until
+    the checkpoint is deleted. Columns are of orderable types, so no maps;
+    rows equal in ``order`` are decided by their other columns.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        publish_batch(latest_by(batch, keys, order), table, batch_id)
-
-    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
-def read_latest(spark: SparkSession, table: str, keys: list[str], order: list[str]) -> DataFrame:
-    return latest_by(spark.read.table(table).drop("batch_id"), keys, order)
-
-
-def compact_latest(spark: SparkSession, table: str, keys: list[str], order: list[str], target: str) -> None:
-    """Write the newest rows alone to another table, once the batches have piled up."""
-    read_latest(spark, table, keys, order).write.mode("overwrite").saveAsTable(target)
+    rest = [c for c in stream.columns if c not in order]
+    named = [k if isinstance(k, Column) else F.col(k) for k in keys]
+    newest = stream.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(named)]).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    writer = (newest.select("_row.*").select(*stream.columns).writeStream.outputMode("update")
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    if changes is None:
+        return writer.format("noop").start()
+    return writer.foreachBatch(lambda batch, batch_id: publish_batch(batch, changes, batch_id) and None).start()
+
+
+def read_latest(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state of ``stream_latest`` after its last batch: one row per key, nothing left to reduce."""
+    state = spark.read.format("statestore").load(checkpoint)
+    newest = state.schema["value"].dataType.fieldNames()[0]
+    return state.select(F.col("value").getField(newest).alias("_row")).select("_row.*")

@@ -160,16 +160,18 @@ def test_unpublished_files_are_not_read(spark):
 def test_latest_click_per_key(spark, tmp_path):
     schema = "event_id long, request_id long, ts timestamp, v string"
     t = lambda m: datetime.datetime(2024, 1, 1, 0, m)
-    folder = str(tmp_path / "log")
+    folder, checkpoint = str(tmp_path / "log"), str(tmp_path / "ck")
     spark.sql("DROP TABLE IF EXISTS newest")
-    for part in ([(1, 1, t(5), "old"), (2, 2, t(1), "x")], [(3, 1, t(9), "new"), (4, 2, t(1), "tie"), (5, 1, t(2), "late")]):
+    for part in ([(1, 1, t(5), "old"), (2, 2, t(1), "x"), (6, None, t(1), None)],
+                 [(3, 1, t(9), "new"), (4, 2, t(1), "tie"), (5, 1, t(2), "late")], [(7, 1, t(3), "later still")]):
         spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(schema).parquet(folder)
-        latest.stream_latest(stream, ["request_id"], ["ts", "event_id"], "newest", str(tmp_path / "ck")).awaitTermination()
-    got = latest.read_latest(spark, "newest", ["request_id"], ["ts", "event_id"])
-    assert rows(got, "request_id", "v") == [(1, "new"), (2, "tie")]
-    latest.compact_latest(spark, "newest", ["request_id"], ["ts", "event_id"], "newest_compact")
-    assert rows(spark.read.table("newest_compact"), "request_id", "v") == [(1, "new"), (2, "tie")]
+        latest.stream_latest(stream, ["request_id"], ["ts", "event_id"], checkpoint, "newest").awaitTermination()
+        state = spark.read.format("statestore").load(checkpoint)
+        assert state.count() == state.select("key").distinct().count() == 3
+    got = latest.read_latest(spark, checkpoint)
+    assert rows(got, "request_id", "v") == rows(spark.createDataFrame([(1, "new"), (2, "tie"), (None, None)], "a long, b string"))
+    assert rows(spark.read.table("newest").filter("request_id = 1"), "batch_id", "v") == [(0, "old"), (1, "new"), (2, "new")]
 
 
 def test_monitor_stream_closes_windows_and_drops_late_rows(spark, tmp_path):
