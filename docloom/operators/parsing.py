@@ -49,9 +49,13 @@ def register_parser(name: str, parser: Parser, extensions: tuple[str, ...] = ())
     _BY_EXTENSION.update({e.lower(): name for e in extensions})
 
 
+def parser_names() -> list[str]:
+    return sorted(_PARSERS)
+
+
 def parser(name: str) -> Parser:
     if name not in _PARSERS:
-        raise ValueError(f"unknown parser {name!r}, known: {sorted(_PARSERS)}")
+        raise ValueError(f"unknown parser {name!r}, known: {parser_names()}")
     return _PARSERS[name]
 
 

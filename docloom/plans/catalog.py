@@ -390,6 +390,13 @@ def _keyword_hits(t: Tables, k: int, scheme: str = "bm25") -> DataFrame:
     return keyword.built_once(t.documents, "documents").search(inputs.text_queries(t.benchmark), k, scheme)
 
 
+def _found(t: Tables, asked: DataFrame, k: int) -> DataFrame:
+    """The k best keyword hits of ``query_id, query`` with ``doc_uri`` and ``content``."""
+    hits = keyword.built_once(t.documents, "documents").search(asked, k)
+    docs = inputs.parsed_docs(t.documents).select(F.col("doc_id").alias("chunk_id"), "doc_uri", F.col("doc_content").alias("content"))
+    return ranking.with_index_columns(hits, docs, ["doc_uri", "content"])
+
+
 def _with_texts(t: Tables, hits: DataFrame, columns: list[str]) -> DataFrame:
     docs = inputs.parsed_docs(t.documents).withColumnRenamed("doc_id", "chunk_id")
     return ranking.with_index_columns(hits, docs, columns).join(inputs.text_queries(t.benchmark), "query_id")
@@ -518,6 +525,7 @@ def index_coverage(t: Tables) -> DataFrame:
 
 # --- conversations ---------------------------------------------------------
 
+GROUNDED = "Answer from these passages only.\n\n"
 REWRITE = "Make the last question stand alone.\n\nSo far:\n{history}\n\nQuestion: {question}\n"
 
 
@@ -566,8 +574,10 @@ def condense_query(t: Tables) -> DataFrame:
 
 @query
 def build_prompt(t: Tables) -> DataFrame:
-    system = F.concat(F.lit("Answer from the context of conversation "), F.col("conv_id").cast("string"))
-    return dialogue.build_prompt(inputs.turns(t.conversations), system)
+    turns = inputs.turns(t.conversations)
+    asked = dialogue.last_user_query(turns).select(F.col("conv_id").alias("query_id"), F.col("question").alias("query"))
+    context = dialogue.retrieved_context(_found(t, asked, 3)).withColumnRenamed("query_id", "conv_id")
+    return dialogue.build_prompt(turns, F.concat(F.lit(GROUNDED), "context"), context)
 
 
 @query
@@ -592,9 +602,11 @@ def _answers(t: Tables) -> DataFrame:
 
 
 def _supported(t: Tables) -> DataFrame:
-    """Each answer with the share of its words that the turn before it holds."""
-    before = inputs.turns(t.conversations).select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("content").alias("context"))
-    joined = _answers(t).join(before, ["conv_id", "turn"], "left")
+    """Each answer with the share of its words that the passages found for its question hold."""
+    asked = inputs.request_log(t.conversations)
+    context = dialogue.retrieved_context(_found(t, asked.select(F.col("request_id").alias("query_id"), F.col("request").alias("query")), 5))
+    answers = _answers(t).withColumn("query_id", inputs.request_id(F.col("conv_id"), F.col("turn") - 1))
+    joined = answers.join(context, "query_id", "left").drop("query_id")
     share = responses.support(F.col("content"), F.coalesce("context", F.lit("")))
     return joined.withColumn("support", F.round(F.coalesce(share, F.lit(0.0)), 6))
 
@@ -631,9 +643,7 @@ def _log(t: Tables) -> DataFrame:
 def _requests(t: Tables) -> DataFrame:
     """The request log with the five best keyword hits of each request as its trace."""
     asked = inputs.request_log(t.conversations)
-    hits = keyword.built_once(t.documents, "documents").search(asked.select(F.col("request_id").alias("query_id"), F.col("request").alias("query")), 5)
-    docs = inputs.parsed_docs(t.documents).select(F.col("doc_id").alias("chunk_id"), "doc_uri", F.col("doc_content").alias("content"))
-    return inputs.with_trace(asked, ranking.with_index_columns(hits, docs, ["doc_uri", "content"]))
+    return inputs.with_trace(asked, _found(t, asked.select(F.col("request_id").alias("query_id"), F.col("request").alias("query")), 5))
 
 
 def _attached(t: Tables, requests: DataFrame | None = None) -> DataFrame:

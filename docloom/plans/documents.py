@@ -44,20 +44,26 @@ def parse_files(files: DataFrame, parser: str | None = None) -> DataFrame:
 def run_documents(spark: SparkSession, path: str, strategy: Strategy, layout: Layout,
                   lineage_table: str | None = None) -> dict[str, int]:
     """Run every step once and store its table; each table is read back, so nothing is parsed twice."""
-    from docloom.operators.encoding import encoder_factory
-
     files = load_files(spark, path, strategy.file_format)
     write_table(parse_files(files, strategy.parser), layout.staging)
-    everything = read_table(spark, layout.staging)
-    report = parsing.check_parsed(everything)
-    good, bad = parsing.split_status(everything, F.col("parser_status"))
+    counts = store_documents(read_table(spark, layout.staging), strategy, layout, lineage_table)
+    spark.sql(f"DROP TABLE {layout.staging}")
+    return counts
+
+
+def store_documents(parsed: DataFrame, strategy: Strategy, layout: Layout, lineage_table: str | None = None) -> dict[str, int]:
+    """Documents, chunks, index and quarantine tables of a strategy out of stored rows of ``parse_files``."""
+    from docloom.operators.encoding import encoder_factory
+
+    spark = parsed.sparkSession
+    report = parsing.check_parsed(parsed)
+    good, bad = parsing.split_status(parsed, F.col("parser_status"))
     write_table(good, layout.parsed)
     write_table(bad, layout.quarantine(layout.parsed))
-    spark.sql(f"DROP TABLE {layout.staging}")
-    parsed, keep = read_table(spark, layout.parsed), ["doc_uri", "last_modified"]
-    write_table(chunk_by_name(strategy.chunker, parsed, "doc_content", keep, **strategy.chunker_settings), layout.chunked)
+    documents, keep = read_table(spark, layout.parsed), ["doc_uri", "last_modified"]
+    write_table(chunk_by_name(strategy.chunker, documents, "doc_content", keep, **strategy.chunker_settings), layout.chunked)
     stored = read_table(spark, layout.chunked)
-    write_table(without_chunk(parsed, stored, "doc_content", keep, "doc_uri"), layout.quarantine(layout.chunked))
+    write_table(without_chunk(documents, stored, "doc_content", keep, "doc_uri"), layout.quarantine(layout.chunked))
     unique = dedup_chunks(stored, "doc_uri").select("chunk_id", "chunked_text", "doc_uri")
     synced = indexing.sync_index(layout.table("index"), unique, factory=encoder_factory(strategy.encoder))
     counts = {"documents": report["total"], "quarantined": report["failed"], "chunks": stored.count(), **synced}

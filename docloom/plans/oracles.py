@@ -11,7 +11,7 @@ from __future__ import annotations
 from docloom.functions.markup import ENTITIES, HTML_STEPS
 from docloom.operators.diagnosis import RULES_WITH_TRUTH, RULES_WITHOUT_TRUTH
 from docloom.plans.catalog import (
-    BLOCKED, FORMATS, GOOD_SPECS, INTENTS, MAX_SENTENCE, MODELS, REWRITE, SEMANTIC_MAX, SORRY, SPECS, VOCABULARY, YEAR,
+    BLOCKED, FORMATS, GOOD_SPECS, GROUNDED, INTENTS, MAX_SENTENCE, MODELS, REWRITE, SEMANTIC_MAX, SORRY, SPECS, VOCABULARY, YEAR,
 )
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -527,10 +527,13 @@ FROM history_v JOIN ends_v USING (conv_id) WHERE n > 1 WINDOW w AS (PARTITION BY
 add("condense_query", """SELECT conv_id, string_agg(content, ' ' ORDER BY turn) AS standalone_query, count(*) AS n_turns FROM (
   SELECT * FROM turns_v WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) GROUP BY conv_id""", TURNS)
 
-add("build_prompt", """SELECT conv_id, CAST(-1 AS BIGINT) AS seq, 'system' AS role,
-       'Answer from the context of conversation ' || CAST(conv_id AS VARCHAR) AS content FROM ends_v
+add("build_prompt", f"""SELECT conv_id, CAST(-1 AS BIGINT) AS seq, 'system' AS role, {s(GROUNDED)} || coalesce(context, '') AS content
+FROM ends_v LEFT JOIN (SELECT query_id AS conv_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
+                       FROM kw JOIN documents ON doc_id = chunk_id GROUP BY query_id) USING (conv_id)
 UNION ALL SELECT conv_id, turn, role, content FROM turns_v JOIN ends_v USING (conv_id) WHERE turn < last_turn AND role IN ('user', 'assistant')
-UNION ALL SELECT conv_id, turn, role, content FROM turns_v JOIN ends_v USING (conv_id) WHERE turn = last_turn""", TURNS, ENDS)
+UNION ALL SELECT conv_id, turn, role, content FROM turns_v JOIN ends_v USING (conv_id) WHERE turn = last_turn""", TURNS, ENDS,
+    f"""qterm AS (SELECT DISTINCT conv_id AS item_id, unnest({words('lower(q)')}) AS term FROM (
+      SELECT conv_id, arg_max(content, turn) AS q FROM turns_v WHERE role = 'user' GROUP BY conv_id))""", *keyword_hits(3)[1:])
 
 add("conversation_drop_system", "SELECT conv_id, turn, role, content FROM turns_v WHERE role <> 'system'", TURNS)
 
@@ -546,18 +549,6 @@ add("response_filter", f"""SELECT conv_id, turn, blocked_terms, blocked_terms <>
   SELECT conv_id, turn, array_to_string(list_sort(list_intersect({listed(BLOCKED)}, {PLAIN.format(x='content')})), ',') AS blocked_terms FROM answers_v)""",
     TURNS, ANSWERS)
 
-SUPPORT = f"""support_v AS (
-  SELECT conv_id, turn, content, round(coalesce(len(list_intersect(ws, cs)) / nullif(len(ws), 0), 0.0), 6) AS support FROM (
-    SELECT a.conv_id, a.turn, a.content, list_distinct({PLAIN.format(x='a.content')}) AS ws,
-           list_distinct({PLAIN.format(x="coalesce(b.content, '')")}) AS cs
-    FROM answers_v a LEFT JOIN turns_v b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1))"""
-add("response_support", "SELECT conv_id, turn, support FROM support_v", TURNS, ANSWERS, SUPPORT)
-add("response_fallback", f"""SELECT conv_id, turn, reason AS fallback_reason, CASE WHEN reason IS NULL THEN content ELSE {s(SORRY)} END AS final_response FROM (
-  SELECT *, CASE WHEN content = '' THEN 'empty' WHEN support < 0.05 THEN 'unsupported' END AS reason FROM support_v)""", TURNS, ANSWERS, SUPPORT)
-
-
-# --- feedback --------------------------------------------------------------
-
 REQUESTS = """requests_v AS (
   SELECT conv_id || ':' || turn AS request_id, text AS request,
          CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS response
@@ -568,6 +559,19 @@ TRACE = [REQUESTS, f"qterm AS (SELECT DISTINCT request_id AS item_id, unnest({wo
          """trace_v AS (SELECT query_id AS request_id, CAST(rank - 1 AS BIGINT) AS pos, source || '/' || doc_id AS doc_uri, text AS content
   FROM kw JOIN documents ON doc_id = chunk_id)"""]
 
+SUPPORT = [TURNS, ANSWERS, *TRACE, """context_v AS (SELECT request_id, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS context FROM trace_v GROUP BY request_id)""",
+           f"""support_v AS (
+  SELECT conv_id, turn, content, round(coalesce(len(list_intersect(ws, cs)) / nullif(len(ws), 0), 0.0), 6) AS support FROM (
+    SELECT a.conv_id, a.turn, a.content, list_distinct({PLAIN.format(x='a.content')}) AS ws,
+           list_distinct({PLAIN.format(x="coalesce(b.context, '')")}) AS cs
+    FROM answers_v a LEFT JOIN context_v b ON b.request_id = a.conv_id || ':' || (a.turn - 1)))"""]
+add("response_support", "SELECT conv_id, turn, support FROM support_v", *SUPPORT)
+add("response_fallback", f"""SELECT conv_id, turn, reason AS fallback_reason, CASE WHEN reason IS NULL THEN content ELSE {s(SORRY)} END AS final_response FROM (
+  SELECT *, CASE WHEN content = '' THEN 'empty' WHEN support < 0.05 THEN 'unsupported' END AS reason FROM support_v)""", *SUPPORT)
+
+
+# --- feedback --------------------------------------------------------------
+
 LOG = """log_v AS (
   SELECT event_id, user_id || ':' || CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) // 20 AS request_id, ts, 'rev' || CAST(event_id % 3 AS VARCHAR) AS source_id,
          CASE WHEN event_id % 2 = 0 THEN 'step_a' ELSE 'step_b' END AS step_id,

@@ -1,8 +1,10 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.plans import sweep
 from docloom.plans.documents import Strategy, run_documents
 from docloom.plans.sweep import run_sweep
 from docloom.sources import files, published, tables
@@ -204,3 +206,25 @@ def test_batch_run_and_sweep(spark, corpus, tmp_path):
         drop(spark, tables.layout_for(s.name, "default", str(tmp_path / "ck")))
     results = run_sweep(spark, str(corpus), swept, "default", str(tmp_path / "ck"))
     assert results["sweep w"]["documents"] == 2 and results["sweep none"].startswith("ERROR")
+
+
+def test_sweep_scans_and_parses_once(spark, corpus, tmp_path):
+    root = str(tmp_path / "ck")
+    wanted = [("html", "html"), (None, None), ("html", "text")]
+    plan = sweep.parse_once(files.load_files(spark, str(corpus)), wanted)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan binaryFile") == 1
+    chunkers = ["window", "chars", "paragraph", "sentence", "markdown", "recursive", "semantic"]
+    swept = [Strategy(f"all {c}", chunker=c) for c in chunkers] + [Strategy("all text", "html", "text"), Strategy("all odd", parser="no such")]
+    for s in swept:
+        drop(spark, tables.layout_for(s.name, "default", root))
+    results = sweep.run_sweep(spark, str(corpus), swept, "default", root)
+    assert results["all odd"].startswith("ERROR: unknown parser")
+    alone = tables.Layout("default", root, "alone")
+    for strategy in swept[:-1]:
+        drop(spark, alone)
+        assert run_documents(spark, str(corpus), strategy, alone) == results[strategy.name]
+        own = tables.layout_for(strategy.name, "default", root)
+        columns = ["chunk_id", "doc_uri", "chunked_text"]
+        assert rows(spark.read.table(own.chunked), *columns) == rows(spark.read.table(alone.chunked), *columns)
+    assert not [t.name for t in spark.catalog.listTables("default") if re.fullmatch("sweep_[0-9a-f]{8}_parsed", t.name)]
