@@ -74,6 +74,14 @@ def rated_requests(log: DataFrame) -> DataFrame:
     return log.filter(rated).select("request_id").distinct()
 
 
+def good_chunk_requests(log: DataFrame) -> DataFrame:
+    """Ids of the requests with a positive chunk rating: no other request's trace reaches the evaluation set.
+
+    A rating that a later click withdrew is among them, which only costs an unused trace.
+    """
+    return log.filter(is_positive(F.col("retrieval_assessment.ratings.answer_correct.value"))).select("request_id").distinct()
+
+
 def attach_ground_truth(requests: DataFrame, feedback: DataFrame, rated_ids: DataFrame | None = None) -> DataFrame:
     """Requests with each reviewer's rating, edit and chunk ratings; unrated requests stay.
 
@@ -149,7 +157,12 @@ def expected_context(chunks: Column, assessments: Column) -> Column:
 
 
 def create_evaluation_set(requests: DataFrame, log: DataFrame) -> DataFrame:
-    """Evaluation rows: one per request, reviewer and rated step; one for an unrated request."""
+    """Evaluation rows: one per request, reviewer and rated step; one for an unrated request.
+
+    Requests without a ``trace`` column expect no context.
+    """
+    if "trace" not in requests.columns:
+        requests = requests.withColumn("trace", F.lit(None).cast("string"))
     labelled = label_records(attach_ground_truth(requests, dedup_assessments(log), rated_requests(log)))
     return labelled.select(
         "request_id", "request", "response", "expected_response",

@@ -642,10 +642,20 @@ def _log(t: Tables) -> DataFrame:
 
 def _requests(t: Tables) -> DataFrame:
     """The request log with the five best keyword hits of each request as its trace."""
-    asked = inputs.request_log(t.conversations)
+    return _traced(t, inputs.request_log(t.conversations))
+
+
+def _traced(t: Tables, asked: DataFrame) -> DataFrame:
     return inputs.with_trace(asked, _found(t, asked.select(F.col("request_id").alias("query_id"), F.col("request").alias("query")), 5))
 
 
+def _judged_requests(t: Tables) -> DataFrame:
+    """The request log with traces where a chunk was rated good; the other traces are never looked at."""
+    asked, good = inputs.request_log(t.conversations), feedback.good_chunk_requests(_log(t))
+    traced = _traced(t, asked.join(good, "request_id", "left_semi"))
+    return traced.unionByName(asked.join(good, "request_id", "left_anti"), allowMissingColumns=True)
+
+
 def _attached(t: Tables, requests: DataFrame | None = None) -> DataFrame:
     log = _log(t)
     asked = requests or inputs.request_log(t.conversations)
@@ -724,17 +734,18 @@ def trace_retrieved_chunks(t: Tables) -> DataFrame:
 @query
 def evalset_expected_context(t: Tables) -> DataFrame:
     context = feedback.expected_context(feedback.trace_chunks(F.col("trace")), F.col("retrieval_assessments"))
-    return _attached(t, _requests(t)).select("request_id", "source_user", "step_id", context.alias("c")).filter(
+    return _attached(t, _judged_requests(t)).select("request_id", "source_user", "step_id", context.alias("c")).filter(
         F.col("c").isNotNull()).select("request_id", "source_user", "step_id", _uris(F.col("c")).alias("expected_context"))
 
 
 def _evaluation_set(t: Tables) -> DataFrame:
-    return feedback.create_evaluation_set(_requests(t), _log(t))
+    """The evaluation set for those who ask for its rows and tags, not for the expected context."""
+    return feedback.create_evaluation_set(inputs.request_log(t.conversations), _log(t))
 
 
 @query
 def evaluation_set(t: Tables) -> DataFrame:
-    made = _evaluation_set(t)
+    made = feedback.create_evaluation_set(_judged_requests(t), _log(t))
     return made.withColumn("expected_retrieved_context", _uris(F.col("expected_retrieved_context")))
 
 
