@@ -412,8 +412,9 @@ BM25 = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 +
 
 
 def keyword_hits(k: int, weight: str = BM25, name: str = "kw") -> list[str]:
+    """Weights are added in the order of their size: equal ones in any order would give sums that differ in their last bits."""
     return [*TERMS, ranked(name, f"""
-    SELECT item_id AS query_id, doc_id AS chunk_id, sum({weight}) AS score
+    SELECT item_id AS query_id, doc_id AS chunk_id, sum({weight} ORDER BY {weight}) AS score
     FROM qterm JOIN dterm USING (term) JOIN dfreq USING (term) JOIN dlen USING (doc_id), corpus GROUP BY item_id, doc_id""", k)]
 
 
