@@ -24,6 +24,14 @@ def one(spark, value, build, kind="string"):
     ("<p>1 &lt; 2 &amp;&amp; 3 &amp;lt; 4 &copy;</p>", "1 < 2 && 3 &lt; 4 ©"),
     ("<header>top</header><table><tr><th>a</th><td>b</td></tr></table>", "top\n\n| a | b |"),
     ("", ""),
+    ("<ol><li>one</li><li>two</li></ol><ul><li>x</li></ul><ol start='3'><li>a</li></ol>", "1. one\n2. two\n\n* x\n\n1. a"),
+    ("<ol><li>a<ul><li>b</li></ul></li></ol>", "* a\n\n* b"),
+    ("<p>See <a class='x' href='/u'>it</a> and <a data-href='no' href=\"/v\">that</a></p>", "See [it](/u) and [that](/v)"),
+    ("<p><img src='/a.png' alt=\"A b\"><img alt='c' src='/d.png'/> <img src=\"/e.png\"></p>", "![A b](/a.png)![c](/d.png) ![](/e.png)"),
+    ("<p>Use <code>x &lt; y</code>:</p><pre><code>if x:\n    y = 1\n\n\n\n    z</code></pre><p>end</p>",
+     "Use `x < y`:\n\n```\nif x:\n    y = 1\n\n\n\n    z\n```\n\nend"),
+    ("<p>&#8364;&#x41;&#X1F600; &#38;lt; &amp;#65; &#xD800; &#0; &bogus; a & b &copy;</p>", "€A😀 &lt; &#65; &#xD800; &#0; &bogus; a & b ©"),
+    ("<p>a</p><pre>  open\n  <b>x</b>", "a\n\n```\n  open\n  x\n```"),
 ])
 def test_html_to_markdown(spark, html, expected):
     assert one(spark, html, markup.html_to_markdown) == expected
