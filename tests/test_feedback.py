@@ -61,6 +61,19 @@ def test_evaluation_set(requests, log):
     assert rows(feedback.one_row_per_request(got), "request_id", "source_user") == [(1, "r"), (2, "q"), (3, "r"), (4, "r"), (5, None)]
 
 
+def test_traces_of_requests_without_a_good_chunk_are_not_needed(requests, log):
+    good = feedback.good_chunk_requests(log)
+    assert rows(good, "request_id") == [(1,), (4,)]
+    kept = requests.join(good, "request_id", "left_semi").unionByName(
+        requests.drop("trace").join(good, "request_id", "left_anti"), allowMissingColumns=True)
+    whole = feedback.create_evaluation_set(requests, log)
+    assert sorted(map(str, feedback.create_evaluation_set(kept, log).collect())) == sorted(map(str, whole.collect()))
+    bare = feedback.create_evaluation_set(requests.drop("trace"), log)
+    assert bare.filter("expected_retrieved_context is not null").isEmpty()
+    rest = [c for c in whole.columns if c != "expected_retrieved_context"]
+    assert sorted(map(str, bare.select(rest).collect())) == sorted(map(str, whole.select(rest).collect()))
+
+
 def test_ratings_of_some_positions_select_those_chunks(spark):
     documents = ",".join(f'{{"doc_uri":"d{i}","content":"c"}}' for i in range(5))
     trace = f'{{"spans":[{{"span_type":"RETRIEVER","documents":[{documents}]}}]}}'
