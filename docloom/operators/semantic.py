@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.functions.vectors import dot, norm
 from docloom.operators.chunking import explode_chunks, register_chunker
-from docloom.operators.encoding import Encoder, hashed_counts
+from docloom.operators.encoding import Encoder, shared_counts, sparse_counts
 
 # The defaults of the semantic chunker.
 MAX_CHUNK_SIZE = 512
@@ -78,10 +77,10 @@ def neighbour_distances(sentences: Column, factory: Callable[[], Encoder] | None
         def pairs(vectors: Column) -> Column:
             last = F.size(vectors) - 1
             # Signed counts are whole numbers: products and sums are exact.
-            return F.transform(vectors, lambda v, i: F.when(i == last, 0.0).otherwise(F.round(F.lit(1.0) - F.coalesce(
-                F.try_divide(dot(v, F.get(vectors, i + 1)), norm(v) * norm(F.get(vectors, i + 1))), F.lit(0.0)), 9) + 0.0))
+            return F.transform(vectors, lambda v, i: F.when(i == last, 0.0).otherwise(F.round(F.lit(1.0) - F.coalesce(tx.let(
+                F.get(vectors, i + 1), lambda w: F.try_divide(shared_counts(v, w), v["norm"] * w["norm"])), F.lit(0.0)), 9) + 0.0))
 
-        return tx.let(F.transform(sentences, hashed_counts), pairs)
+        return tx.let(F.transform(sentences, sparse_counts), pairs)
 
     @F.pandas_udf("array<double>")
     def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -139,13 +138,17 @@ def semantic_groups(df: DataFrame, text: str, max_tokens: int = MAX_CHUNK_SIZE,
                     min_sentences: int = MIN_SENTENCES,
                     factory: Callable[[], Encoder] | None = None) -> DataFrame:
     """Adds the arrays ``sentences, token_counts, distances, groups`` and the ``threshold``."""
-    staged = df.withColumn("_parts", fitting_sentences(F.col(text), max_tokens))
+    def columns(**named: Column) -> Column:
+        """The columns of a one-row list. A filter above stays above it: it would otherwise run the whole chain again for each use."""
+        return F.inline(F.array(F.struct(*[c.alias(n) for n, c in named.items()])))
+
+    staged = df.select("*", columns(_parts=fitting_sentences(F.col(text), max_tokens)))
     staged = staged.withColumns({"sentences": F.col("_parts.part"), "token_counts": F.col("_parts.n")}).drop("_parts")
-    staged = staged.withColumn("distances", neighbour_distances(F.col("sentences"), factory))
+    staged = staged.select("*", columns(distances=neighbour_distances(F.col("sentences"), factory)))
     between = F.slice(F.col("distances"), F.lit(1), F.greatest(F.size("distances") - 1, F.lit(0)))
-    staged = staged.withColumn("threshold", array_percentile(between, fraction))
-    return staged.withColumn("groups", segment(
-        F.col("token_counts"), F.col("distances"), F.col("threshold"), max_tokens, min_sentences))
+    staged = staged.select("*", columns(threshold=array_percentile(between, fraction)))
+    return staged.select("*", columns(groups=segment(
+        F.col("token_counts"), F.col("distances"), F.col("threshold"), max_tokens, min_sentences)))
 
 
 def chunk_semantic(df: DataFrame, text: str, keep: list[str], max_tokens: int = MAX_CHUNK_SIZE,

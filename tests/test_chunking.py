@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, semantic, splitting
+from docloom.operators.encoding import HashingEncoder
 from docloom.plans import sweep
 from tests.conftest import rows
 
@@ -180,6 +182,23 @@ def test_segments_follow_the_rule(spark):
         assert [(g.start, g.len) for g in got] == brute_groups(counts, gaps, limit, most, least)
 
 
+def test_hashed_gaps_equal_the_encoder(spark):
+    rng = np.random.default_rng(3)
+    spoken = [[" ".join(f"w{j}" for j in rng.integers(0, 30, rng.integers(0, 12))) for _ in range(n)] for n in (0, 1, 2, 9, 40)] + [None, [""], ["a", "a"]]
+    df = spark.createDataFrame(list(enumerate(spoken)), "id int, s array<string>").coalesce(1)
+    got, want = ({r.id: r.g for r in df.select("id", semantic.neighbour_distances(F.col("s"), f).alias("g")).collect()} for f in (None, HashingEncoder))
+    assert got.pop(5) is None and want.pop(5) == []
+    assert {i: pytest.approx(g, abs=2e-9) for i, g in want.items()} == got
+
+
+@pytest.mark.parametrize("wanted", [lambda d: d.select(F.explode("groups").alias("g")).select("g.start"),
+                                    lambda d: d.filter(F.col("threshold").isNotNull()).select("threshold")])
+def test_a_filter_does_not_repeat_the_gaps(spark, wanted):
+    """Filters, also those that Spark adds to an explode, once held the whole chain of sentences, gaps and groups several times."""
+    plan = wanted(semantic.semantic_groups(docs(spark, "One. Two."), "text", 30))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text#") == plan.count("md5(") == 1
+
+
 def test_percentile_is_a_fraction(spark):
     df = spark.createDataFrame([([0.1, 0.5, 0.2, 0.9],), ([],)], "v array<double>")
     got = [r.p for r in df.select(semantic.array_percentile(F.col("v"), 0.95).alias("p")).collect()]
