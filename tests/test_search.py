@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors
-from docloom.operators import encoding, keyword, ranking, similarity, vector_index
+from docloom.operators import encoding, keyword, keyword_blocks, ranking, similarity, vector_index
 from docloom.plans import catalog
 from tests.conftest import SF_DIR, rows
 
@@ -159,6 +159,30 @@ def test_keyword_search_matches_brute_force(spark, scheme):
         assert [(q, c, pytest.approx(s)) for q, c, s in sorted(want)] == sorted(tuple(r) for r in got.select("query_id", "chunk_id", "score").collect())
 
 
+@pytest.mark.parametrize("scheme", ["bm25", "tfidf"])
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_keyword_blocks_equal_the_postings(spark, monkeypatch, scheme, ids):
+    """Also where ids repeat or are missing on either side, texts are copies or missing, and a word of every text weighs nothing."""
+    monkeypatch.setattr(keyword_blocks, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(keyword_blocks, "BLOCK_TERMS", 20)
+    monkeypatch.setattr(keyword_blocks, "_TOKENS", 50)
+    rng = np.random.default_rng(4)
+    texts = ["The " + " ".join(f"w{int(j)}" for j in rng.zipf(1.4, n) % 50) for n in rng.integers(0, 40, 90)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(3, "the w1 w2 the"), (None, "the w1"), (None, "w2 the"), (700, None)]
+    docs += [(100 + i, "the w1 w2 w3") for i in range(30)]
+    asked = [(i, f"The w{i} w1 w2 x{i}") for i in range(40)] + [(3, "w3 w4"), (None, "w5 the"), (50, ""), (51, None), (52, "the")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(ids)).repartition(5)
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    index = keyword_blocks.BlockIndex.build(docs)
+    assert index.blocks.count() > 5
+    want = rows(keyword.keyword_topk(queries, docs, 4, scheme))
+    got = index.search(queries, 4, scheme)
+    assert rows(got) == want and len(want) > 150
+    # What is shuffled are the best of each pair of blocks, not all pairs that share a word.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(query_id") == 1 and "HashAggregate" not in plan
+
+
 def test_hashing_encoder_is_stable_and_unit_length():
     vectors_, statuses = encoding.HashingEncoder().encode(["a b a", "a b a", "", None])
     assert np.array_equal(vectors_[0], vectors_[1]) and np.isclose(vectors_[0] @ vectors_[0], 1)
