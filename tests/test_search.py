@@ -208,6 +208,12 @@ def test_hashing_encoder_is_stable_and_unit_length():
     assert vectors_[2] is None and statuses[2:] == ["ERROR: no direction"] * 2
 
 
+def test_a_filter_on_hashed_vectors_does_not_make_them_again(spark):
+    found = encoding.embed_hashing(spark.createDataFrame([(1, "a b")], "id int, text string"), "text")
+    plan = found.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+
+
 def test_hashing_in_the_jvm_equals_the_encoder(spark):
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{j}" for j in rng.integers(0, 40, n)) for n in (1, 3, 60, 700)] + ["", None, " \n", "é ü\tß", "a b a"]
