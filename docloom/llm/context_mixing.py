@@ -26,10 +26,11 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,20 +42,80 @@ HEAD = 16_384
 TABLE_BITS = 20
 ORDERS = 2
 _SEGMENT_BITS = 14
-# Words per online step, and words expanded into decisions at a time.
+# Words per online step, bytes of the documents that learn side by side, and words expanded into decisions at a time.
 BLOCK = 64
-_CHUNK = 25_000
+_GROUP, _CHUNK = 600_000, 4_000
+# Bytes of the documents scored and sent at a time: an Arrow batch of long ones, its copy in order and their other words would fill the memory.
+_SCORED = 4_000_000
 RATE, CORRECTION_RATE = 0.002, 0.01
 _BUCKETS = 13
 _END, _ESCAPE = 0, 1
 # Places of the hash of two bytes.
 _PAIRS = 4093
+# Multipliers of a decision's slot in the tables: of its node, then of node and context together.
+_NODE, _SLOT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
+# 0 for the six characters between words, 1 for all others.
+_INSIDE = bytes(len(bytes([i]).split()) for i in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def words_in(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """``words_of`` all texts one behind the other, and their number by text."""
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[edges[0]:edges[-1]].tobytes()
+    edges = edges - edges[0]
+    inside = np.frombuffer(data.translate(_INSIDE), bool)
+    # A word begins behind a blank or at the beginning of a text, and ends before a blank or at the end of one.
+    blank, edge = ~inside, np.zeros(len(data) + 1, bool)
+    edge[edges] = True
+    begins, ends = edge[:-1].copy(), edge[1:].copy()
+    begins[1:] |= blank[:-1]
+    ends[:-1] |= blank[1:]
+    first, last = np.flatnonzero(begins & inside), np.flatnonzero(ends & inside)
+    offsets = np.append(0, np.cumsum(last + 1 - first)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(data.lower(), np.uint8)[inside])])
+    return words, np.diff(np.searchsorted(first, edges))
+
+
+def listed(words: pa.BinaryArray) -> list[bytes]:
+    """The values of an array without nulls that starts at its buffers' beginning; three times as fast as ``to_pylist``."""
+    data = words.buffers()[2].to_pybytes() if len(words) else b""
+    edges = np.frombuffer(words.buffers()[1], np.int32)[:len(words) + 1].tolist() if len(words) else [0]
+    return [data[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _parts(columns: Iterable[pa.Array], most: int = _GROUP) -> Iterator[pa.BinaryArray]:
+    """All texts in order, nulls as empty, some ``most`` bytes at a time; a longer one stands alone."""
+    held, size = [], 0
+    for column in columns:
+        column = pc.fill_null(column.cast(pa.binary()), b"")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64)
+        low = 0
+        while low < len(column):
+            before = int(ends[low - 1]) if low else 0
+            # At least one text, at most a million: empty ones have no bytes.
+            high = min(max(int(np.searchsorted(ends, before + most - size, "right")), low + 1), low + 1_000_000)
+            held.append(column.slice(low, high - low))
+            size += int(ends[high - 1]) - before
+            low = high
+            if low < len(column):
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, some ``most`` bytes of the column at a time."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges[:-1], edges[1:]):
+        yield batch.slice(low, high - low)
+
+
 # --- counts ------------------------------------------------------------------
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +156,7 @@ class Code:
 
     def __init__(self, head: dict[bytes, int], documents: int, others: int):
         ordered = sorted(head.items(), key=lambda x: (-x[1], x[0]))
-        self.symbol = {word: i + 2 for i, (word, _) in enumerate(ordered)}
+        self.words = pa.array([word for word, _ in ordered], pa.binary())
         weights = [max(documents, 1), max(others, 1)] + [c for _, c in ordered]
         self.hashes = np.array([0, 0] + [xxhash.xxh3_64_intdigest(word) for word, _ in ordered], np.uint64)
         self.log_counts = np.log10(np.array([documents, 0] + [c for _, c in ordered], float) + 1)
@@ -114,53 +175,74 @@ class Code:
         for child in range(len(total) - 1):
             if side[child]:
                 odds[parent[child]] = math.log(total[child] / (total[parent[child]] - total[child]))
-        nodes, bits, self.start = [], [], np.zeros(n + 1, np.int64)
+        nodes, bits, start = [], [], np.zeros(n + 1, np.int64)
         for i in range(n):
             at = i
             while at != len(total) - 1:
                 nodes.append(parent[at])
                 bits.append(side[at])
                 at = parent[at]
-            self.start[i + 1] = len(nodes)
-        self.node, self.bit = np.array(nodes, np.int32), np.array(bits, np.uint8)
-        self.odds = odds
+            start[i + 1] = len(nodes)
+        self.start, self.count = start[:-1], np.diff(start)
+        # By place in the codes of all symbols: as small as can be, so that they stay in the cache. By node: odds and share of the slot.
+        self.node, self.bit = np.array(nodes, np.min_scalar_type(len(total))), np.array(bits, np.uint8)
+        self.odds, self.slot = odds, np.arange(len(total), dtype=np.uint64) * _NODE * _SLOT
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.symbol.get
-        return np.fromiter((get(w, _ESCAPE) for w in words), np.int32, len(words))
-
-    def hashes_of(self, words: list[bytes], symbols: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the words; only those outside the head are hashed here."""
-        out = self.hashes[symbols]
-        rare = np.flatnonzero(symbols == _ESCAPE)
-        out[rare] = [xxhash.xxh3_64_intdigest(words[i]) for i in rare.tolist()]
-        return out
+    def encode(self, words: pa.BinaryArray) -> np.ndarray:
+        """The head's words from 2 on, all others ``_ESCAPE``."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), _ESCAPE - 2).to_numpy() + np.int32(2)
 
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each decision the place of its symbol in ``symbols``, its node and its outcome."""
-        first, count = self.start[symbols], self.start[symbols + 1] - self.start[symbols]
-        place = np.repeat(np.arange(len(symbols)), count)
-        at = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        return place, self.node[at], self.bit[at]
+        """The number of decisions of each symbol, and of all decisions the nodes and outcomes."""
+        count = self.count.take(symbols)
+        at = np.repeat(self.start.take(symbols) - np.cumsum(count) + count, count)
+        at += np.arange(len(at))
+        return count, self.node.take(at).astype(np.int64), self.bit.take(at)
 
 
-def _contexts(hashes: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the last word and the last two words before each word and before the end."""
-    one = np.r_[np.zeros(1, np.uint64), hashes]
-    two = np.r_[np.zeros(1, np.uint64), one[:-1]]
-    return [mixed(one + np.uint64(1)), mixed(one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(2))]
+def _contexts(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the last word and the last two words before each symbol, times the slots' multiplier.
 
+    The documents stand one behind the other, each from ``first`` to its end sign, which has hash 0.
+    """
+    zero = np.zeros(1, np.uint64)
+    one = np.concatenate([zero, hashes[:-1]])
+    two = np.concatenate([zero, one[:-1]])
+    two[first] = 0
+    return [mixed(one + np.uint64(1)) * _SLOT, mixed(one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(2)) * _SLOT]
 
-def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((context + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - TABLE_BITS)
 
+def _slots(context: np.ndarray, count: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Slots of decisions: the high bits of (context + node * ``_NODE``) * ``_SLOT``, multiplied out."""
+    out = np.repeat(context, count)
+    out += slot
+    out >>= np.uint64(64 - TABLE_BITS)
+    return out.view(np.int64)
+
+
+class Group:
+    """Some documents in a row, whose texts have no nulls.
+
+    ``sizes`` are symbols by document, end sign included; ``symbols`` and ``contexts`` those of all;
+    ``rare`` are the words outside the head and ``holder`` the document of each.
+    """
 
-def _documents(batch: pa.RecordBatch, column: int, code: Code) -> Iterator[tuple]:
-    """``(row, words, symbols, contexts)`` of each text."""
-    for row, text in enumerate(texts_of(batch.column(column))):
-        words = words_of(text)
-        symbols = code.encode(words)
-        yield row, words, np.r_[symbols, _END].astype(np.int32), _contexts(code.hashes_of(words, symbols))
+    def __init__(self, texts: pa.BinaryArray, code: Code):
+        words, lengths = words_in(texts)
+        encoded = code.encode(words)
+        self.sizes = lengths + 1
+        ends = np.cumsum(self.sizes) - 1
+        inside = np.ones(len(words) + len(texts), bool)
+        inside[ends] = False
+        self.symbols = np.full(len(inside), _END, np.int32)
+        self.symbols[inside] = encoded
+        places = np.flatnonzero(encoded == _ESCAPE)
+        self.rare = listed(words.take(pa.array(places)))
+        self.holder = np.repeat(np.arange(len(texts)), lengths)[places]
+        # Only words outside the head are hashed here.
+        hashes = code.hashes.take(self.symbols)
+        hashes[places + self.holder] = np.fromiter(map(xxhash.xxh3_64_intdigest, self.rare), np.uint64, len(self.rare))
+        self.contexts = _contexts(hashes, ends - lengths)
 
 
 # --- tables ------------------------------------------------------------------
@@ -171,27 +253,15 @@ def _learned(code):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = opened(code)
         counts = np.zeros((ORDERS, 2, size), np.uint32)
-        symbols, contexts, held = [], [], 0
-
-        def add() -> None:
-            every = np.concatenate(symbols)
-            around = [np.concatenate([c[order] for c in contexts]) for order in range(ORDERS)]
-            for low in range(0, len(every), _CHUNK):
-                place, node, bit = own.decisions(every[low:low + _CHUNK])
+        flat = [counts[order].reshape(-1) for order in range(ORDERS)]
+        seen = np.uint32(1)
+        for texts in _parts((batch.column(0) for batch in batches)):
+            group = Group(texts, own)
+            for low in range(0, len(group.symbols), _CHUNK):
+                count, node, bit = own.decisions(group.symbols[low:low + _CHUNK])
+                slot, outcome = own.slot.take(node), bit.astype(np.int64) * size
                 for order in range(ORDERS):
-                    slot = _slots(around[order][low:low + _CHUNK][place], node).astype(np.int64)
-                    counts[order] += np.bincount(slot + size * bit.astype(np.int64), minlength=2 * size).reshape(2, size).astype(np.uint32)
-
-        for batch in batches:
-            for _, _, symbol, context in _documents(batch, 0, own):
-                symbols.append(symbol)
-                contexts.append(context)
-                held += len(symbol)
-                if held >= 4 * _CHUNK:
-                    add()
-                    symbols, contexts, held = [], [], 0
-        if held:
-            add()
+                    np.add.at(flat[order], _slots(group.contexts[order][low:low + _CHUNK], count, slot) + outcome, seen)
         width = 1 << _SEGMENT_BITS
         for order in range(ORDERS):
             for segment in range(size >> _SEGMENT_BITS):
@@ -236,10 +306,10 @@ def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     Two zeros stand between words, so a word's first byte does not depend on the word that happens to stand before it.
     """
-    joined = np.frombuffer(b"\0\0" + b"\0\0".join(words) + b"\0", np.uint8).astype(np.int64)
+    joined = np.frombuffer(b"\0\0" + b"\0\0".join(words) + b"\0", np.uint8).astype(np.int32)
     before = (joined[:-2] * 57 + joined[1:-1] * 2609) % _PAIRS
     # The second zero after each word but the last is not coded.
-    ends = np.cumsum([len(w) + 2 for w in words[:-1]]) - 1 if len(words) > 1 else np.empty(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)[:-1] - 1
     coded = np.ones(len(before), bool)
     coded[ends] = False
     return before[coded], joined[2:][coded]
@@ -270,116 +340,121 @@ def spelling(counts: DataFrame, floor: int) -> np.ndarray:
 
 # --- scoring -----------------------------------------------------------------
 
-def mixed_bits(group: list[tuple], code: Code, odds: np.ndarray) -> np.ndarray:
-    """Bits of each document of a group: ``group`` has ``(symbols, contexts)``.
+def mixed_bits(group: Group, code: Code, odds: np.ndarray) -> np.ndarray:
+    """Bits of each document of a group.
 
     Block by block over all documents at once; a block is coded with what the
     document's earlier blocks have taught.
     """
-    lengths = np.array([len(symbols) for symbols, _ in group])
-    doc = np.repeat(np.arange(len(group)), lengths)
-    block = np.concatenate([np.arange(n) // BLOCK for n in lengths])
+    documents = len(group.sizes)
+    doc = np.repeat(np.arange(documents), group.sizes)
+    block = (np.arange(len(doc)) - np.repeat(np.cumsum(group.sizes) - group.sizes, group.sizes)) // BLOCK
     order = np.argsort(block, kind="stable")
-    doc, block = doc[order], block[order]
-    symbols = np.concatenate([s for s, _ in group])[order]
-    contexts = [np.concatenate([c[k] for _, c in group])[order] for k in range(ORDERS)]
+    doc, block, symbols = doc[order], block[order], group.symbols[order]
+    contexts = [c[order] for c in group.contexts]
     inputs = ORDERS + 1
-    weights = np.repeat(np.array([[0.6]] + [[0.3]] * ORDERS, np.float32), len(group) * 4, axis=1)
-    correction = np.zeros(len(group) * _BUCKETS, np.float32)
-    bits = np.zeros(len(group))
-    edges = np.searchsorted(block, np.arange(block[-1] + 2))
+    weights = np.repeat(np.array([[0.6]] + [[0.3]] * ORDERS, np.float32), documents * 4, axis=1)
+    correction = np.zeros(documents * _BUCKETS, np.float32)
+    bits = np.zeros(documents)
+    edges = np.searchsorted(block, np.arange(block[-1] + 2)).tolist()
     for low, high in zip(edges[:-1], edges[1:]):
-        # Of a very long block row, part after part with the same weights, learnt at its end.
-        steps = []
+        # Of a long block row, part after part with the same weights, learnt at its end.
+        gradient, late = np.zeros(weights.shape), np.zeros(len(correction))
         for a in range(low, high, _CHUNK):
             b = min(a + _CHUNK, high)
-            place, node, bit = code.decisions(symbols[a:b])
-            owner = doc[a:b][place]
-            x = [code.odds[node]]
-            gate = owner * 4
+            count, node, bit = code.decisions(symbols[a:b])
+            owner = np.repeat(doc[a:b], count)
+            slot, side = code.slot.take(node), 1 - 2 * bit.astype(np.float32)
+            x = [code.odds.take(node)]
+            seen = np.zeros(len(node), np.uint8)
             for k in range(ORDERS):
-                value = odds[k][_slots(contexts[k][a:b][place], node).astype(np.int64)]
-                gate += (value != 0).astype(np.int64) << k
+                value = odds[k].take(_slots(contexts[k][a:b], count, slot))
+                seen |= (value != 0).view(np.uint8) << np.uint8(k)
                 x.append(value * np.float32(1 / 16))
-            mix = weights[0].take(gate) * x[0]
+            gate = owner * 4
+            gate += seen
+            mix = weights[0].take(gate)
+            mix *= x[0]
             for k in range(1, inputs):
                 mix += weights[k].take(gate) * x[k]
             # Both logistic functions of a decision by one exponential each, on its own side.
-            bucket = owner * _BUCKETS + np.clip(mix + np.float32(_BUCKETS / 2), 0, _BUCKETS - 1).astype(np.int64)
-            side = 1 - 2 * bit.astype(np.float32)
-            wrong = np.exp(np.minimum(side * (mix + correction.take(bucket)), 60))
-            first = np.searchsorted(owner, np.arange(owner[0], owner[-1] + 1))
-            present = np.flatnonzero(np.diff(np.r_[first, len(owner)]))
-            bits[owner[0] + present] += np.add.reduceat(np.log1p(wrong), first[present], dtype=np.float64) / math.log(2)
-            aside = np.exp(np.minimum(side * mix, 60))
-            error = -side * (aside / (1 + aside))
-            late = -side * (wrong / (1 + wrong))
-            steps.append(([np.bincount(gate, error * value, weights.shape[1]) for value in x], np.bincount(bucket, late, len(correction))))
-        for gradient, late in steps:
-            for k in range(inputs):
-                weights[k] += (RATE * gradient[k]).astype(np.float32)
-            correction += (CORRECTION_RATE * late).astype(np.float32)
+            bucket = owner * _BUCKETS
+            bucket += np.clip(mix + np.float32(_BUCKETS / 2), 0, _BUCKETS - 1).astype(np.int8)
+            wrong = _exp(side, mix + correction.take(bucket))
+            first = np.flatnonzero(np.concatenate([[True], doc[a + 1:b] != doc[a:b - 1]]))
+            bits[doc[a:b][first]] += np.add.reduceat(np.log1p(wrong), (np.cumsum(count) - count)[first], dtype=np.float64) / math.log(2)
+            error = _error(side, _exp(side, mix))
+            for k, value in enumerate(x):
+                gradient[k] += np.bincount(gate, error * value, weights.shape[1])
+            late += np.bincount(bucket, _error(side, wrong), len(correction))
+        weights += (RATE * gradient).astype(np.float32)
+        correction += (CORRECTION_RATE * late).astype(np.float32)
     return bits
 
 
+def _exp(side: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    out = side * mix
+    np.minimum(out, 60, out=out)
+    return np.exp(out, out=out)
+
+
+def _error(side: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    out = odds / (1 + odds)
+    out *= side
+    return np.negative(out, out=out)
+
+
 class Model:
     def __init__(self, code: Code, odds: np.ndarray, bytes_bits: np.ndarray):
         self.code, self.odds, self.bytes_bits = code, odds, bytes_bits
 
-    def spell(self, words: list[bytes]) -> float:
-        if not words:
-            return 0.0
-        return float(self.bytes_bits[_letters(words)].sum(dtype=float))
+    def spell(self, group: Group) -> np.ndarray:
+        """Bits of the rare words of each document."""
+        if not group.rare:
+            return np.zeros(len(group.sizes))
+        before, byte = _letters(group.rare)
+        owner = np.repeat(group.holder, np.fromiter(map(len, group.rare), np.int64, len(group.rare)) + 1)
+        return np.bincount(owner, self.bytes_bits.take(before * 256 + byte), len(group.sizes))
 
 
 def _scored(model):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = opened(model)
         code = own.code
-        log_counts = code.log_counts
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 2, _SCORED)):
             n = batch.num_rows
-            tokens, known, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
             base, bits = np.zeros(n), np.zeros(n)
             high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             # The other words of each text, in the order of ``order``: Arrow arrays, as objects of all texts would fill the memory.
-            names, times, sizes, parts = [], [], np.zeros(n, np.int64), []
+            sizes, parts = np.zeros(n, np.int64), []
             # Documents of like length learn side by side.
-            lengths = [len(t) for t in texts_of(batch.column(2))]
+            lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy().astype(np.int64)
             order = np.argsort(lengths, kind="stable")
-            group, rows, held = [], [], 0
-
-            def finish() -> None:
-                bits[rows] += mixed_bits(group, code, own.odds)
+            done = 0
+            for texts in _parts([batch.column(2).take(pa.array(order))]):
+                group = Group(texts, code)
+                at = order[done:done + len(texts)]
+                for row, text in zip(at.tolist(), texts_of(texts)):
+                    digest = xxhash.xxh3_128_intdigest(text)
+                    high[row], low[row] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
+                edge = np.searchsorted(group.holder, np.arange(len(at) + 1))
+                tokens[at], known[at] = group.sizes, group.sizes - np.diff(edge)
+                base[at] = np.add.reduceat(code.log_counts[group.symbols], np.cumsum(group.sizes) - group.sizes)
+                bits[at] = own.spell(group) + mixed_bits(group, code, own.odds)
+                names, times = [], []
+                for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()), done):
+                    counted = Counter(group.rare[a:b])
+                    names.extend(counted)
+                    times.extend(counted.values())
+                    sizes[k] = len(counted)
                 parts.append((pa.array(names, pa.binary()), pa.array(times, pa.int64())))
-                names.clear()
-                times.clear()
-
-            for row, words, symbols, contexts in _documents(batch.take(pa.array(order)), 2, code):
-                at = int(order[row])
-                rare = [words[i] for i in np.flatnonzero(symbols[:-1] == _ESCAPE).tolist()]
-                digest = xxhash.xxh3_128_intdigest(b" ".join(words))
-                high[at], low[at] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
-                tokens[at], known[at], size[at] = len(symbols), len(symbols) - len(rare), lengths[at]
-                base[at] = log_counts[symbols].sum()
-                bits[at] = own.spell(rare)
-                counted = Counter(rare)
-                names.extend(counted)
-                times.extend(counted.values())
-                sizes[row] = len(counted)
-                group.append((symbols, contexts))
-                rows.append(at)
-                held += len(symbols)
-                if held >= _CHUNK:
-                    finish()
-                    group, rows, held = [], [], 0
-            if group:
-                finish()
-            listed = [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], kind) for i, kind in enumerate((pa.binary(), pa.int64()))]
-            others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays(listed, names=["token", "n"]))
+                done += len(at)
+            columns = [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], kind) for i, kind in enumerate((pa.binary(), pa.int64()))]
+            others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays(columns, names=["token", "n"]))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(tokens), pa.array(known),
-                pa.array(size), pa.array(base), pa.array(bits), others.take(pa.array(np.argsort(order)))],
+                pa.array(lengths), pa.array(base), pa.array(bits), others.take(pa.array(np.argsort(order)))],
                 names=["doc_id", "held_out", "high", "low", "n_tokens", "known", "size", "base", "bits", "others"])
 
     return scan

@@ -3,8 +3,13 @@
 import os
 import subprocess
 import sys
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -30,6 +35,40 @@ def test_a_word_is_spelled_alike_behind_any_other():
         assert together[k].tolist() == [x for part in apart for x in part[k].tolist()]
 
 
+def test_words_and_bits_of_documents_in_a_group_are_those_of_each_alone():
+    texts = [b"", None, b"\x0bOne\ttwo\r\n", "Ünï two\x00 ONE\x1c three".encode(), b" \f ", b"three", prose(3, 300).encode(), b"two one " * 90]
+    words = [(t or b"").lower().split() for t in texts]
+    code = context_mixing.Code({b"one": 9, b"two": 8, b"three": 2, b"w7": 1}, 8, 400)
+    odds = np.random.default_rng(0).integers(-90, 90, (context_mixing.ORDERS, 1 << context_mixing.TABLE_BITS)).astype(np.int8)
+    model = context_mixing.Model(code, odds, np.random.default_rng(1).random((context_mixing._PAIRS, 256)))
+    for most in (1, 40, 10_000):
+        parts = list(context_mixing._parts([pa.array([b"a b", *texts], pa.binary()).slice(1), pa.array(texts, pa.binary())], most))
+        cut = [context_mixing.words_in(p) for p in parts]
+        assert [w for part, _ in cut for w in context_mixing.listed(part)] == [w for own in words + words for w in own]
+        assert [n for _, sizes in cut for n in sizes.tolist()] == [len(own) for own in words + words]
+        groups = [context_mixing.Group(p, code) for p in parts]
+        got = np.concatenate([context_mixing.mixed_bits(g, code, odds) + model.spell(g) for g in groups])
+        alone = [context_mixing.Group(pa.array([t or b""], pa.binary()), code) for t in texts]
+        want = [float((context_mixing.mixed_bits(g, code, odds) + model.spell(g))[0]) for g in alone]
+        assert got.tolist() == pytest.approx(want + want, rel=1e-6)
+        # An end sign knows no word of the document before its own.
+        assert len({int(g.contexts[1][0]) for g in alone if len(g.symbols) == 1}) == 1
+
+
+def test_learning_holds_one_table_of_counts():
+    """A group of documents is added into the table, not counted into a second one of its size."""
+    code = context_mixing.Code({b"w%d" % i: 400 - i for i in range(300)}, 50, 500)
+    table = context_mixing.ORDERS * 2 * 4 << context_mixing.TABLE_BITS
+    batch = pa.RecordBatch.from_arrays([pa.array([prose(i, 200).encode() for i in range(50)], pa.binary())], names=["text"])
+    tracemalloc.start()
+    try:
+        rows = sum(r.num_rows for r in context_mixing._learned(SimpleNamespace(value=cloudpickle.dumps(code)))(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows and table < peak < 1.5 * table
+
+
 def test_one_row_of_each_group_stays(spark, documents):
     base = prose(1, 120)
     rows = [(5, base, "en", "a"), (3, edited(base, 2, 0.005), "en", "a"), (None, base, "en", "a"), (None, base, "en", "b"),
