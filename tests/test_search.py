@@ -1,6 +1,9 @@
+import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +205,112 @@ def test_keyword_blocks_equal_the_postings(spark, monkeypatch, scheme, ids):
     assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(query_id") > 0 and "HashAggregate" not in plan
 
 
+def met_blocks(texts, asked, k, scheme, floors=None):
+    """``{query: {document: score}}`` that a block of documents, numbered as they are listed, sends on for a block of queries."""
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array([0] * len(texts), pa.int32())],
+                                      names=["chunk_id", "text", "number"])
+    block = next(keyword_blocks._block_of_documents(iter([docs])))
+    words = [(t or "").split() for t in texts]
+    n, average, held = len(texts), sum(map(len, words)) / len(texts), Counter(w for ws in words for w in set(ws))
+    rows = [(q, w, float(np.log(1 + (n - held[w] + 0.5) / (held[w] + 0.5)) if scheme == "bm25" else np.log(n / held[w])), average)
+            for q, ws in enumerate(asked) for w in set(ws.split()) if w in held]
+    rows += [(q, None, f, None) for q, f in (floors or {}).items()]
+    queries = pa.RecordBatch.from_pylist([dict(zip(("query_id", "term", "rarity", "average"), r)) for r in rows], pa.schema(
+        [("query_id", pa.int64()), ("term", pa.string()), ("rarity", pa.float64()), ("average", pa.float64())]))
+    grouped = next(keyword_blocks._block_of_queries(iter([queries])))
+    both = pa.RecordBatch.from_arrays([*block.columns, *grouped.columns], names=[*block.schema.names, *grouped.schema.names])
+    found = {}
+    for batch in keyword_blocks._meeting(k, scheme)(iter([both])):
+        for r in batch.to_pylist():
+            found.setdefault(r["query_id"], {})[r["chunk_id"]] = r["score"]
+    return found
+
+
+def every_score(texts, asked, scheme):
+    words = [Counter((t or "").split()) for t in texts]
+    n, average, held = len(texts), sum(w.total() for w in words) / len(texts), Counter(w for ws in words for w in ws)
+    scores = {}
+    for q, ws in enumerate(asked):
+        for d, of in enumerate(words):
+            tfs = [(of[w], held[w]) for w in set(ws.split()) if w in of]
+            if tfs and scheme == "bm25":
+                scores.setdefault(q, {})[d] = sum(np.log(1 + (n - h + 0.5) / (h + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * of.total() / average)) for tf, h in tfs)
+            elif tfs:
+                scores.setdefault(q, {})[d] = sum(tf * np.log(n / h) for tf, h in tfs)
+    return scores
+
+
+def many_texts(rng, n, words):
+    return ["the " + " ".join(f"w{int(j) % words}" for j in rng.zipf(1.2, m)) for m in rng.integers(1, 60, n)]
+
+
+@pytest.mark.parametrize("scheme", ["bm25", "tfidf"])
+@pytest.mark.parametrize("tile,long,left", [(16_384, 8192, 0.4), (128, 12, 0.9), (1024, 8192, 0.0)])
+def test_bounded_totals_find_the_best(monkeypatch, scheme, tile, long, left):
+    """Whatever is left out at first, and with floors or without; copies, questions of one word and of very many among them."""
+    monkeypatch.setattr(keyword_blocks, "_TILE", tile)
+    monkeypatch.setattr(keyword_blocks, "_LONG", long)
+    monkeypatch.setattr(keyword_blocks, "_LEFT", left)
+    rng = np.random.default_rng(7)
+    texts = many_texts(rng, 900, 300)
+    texts += texts[:40] * 3 + ["", None, "only"]
+    asked = [" ".join(f"w{int(j) % 330}" for j in rng.zipf(1.2, m)) for m in rng.integers(1, 30, 150)]
+    asked += ["the", "only", "nothing", "the only", " ".join(f"w{j}" for j in range(300))] + texts[:20]
+    every = every_score(texts, asked, scheme)
+    best = {q: sorted(of, key=lambda d: (-round(of[d], 9), d))[:5] for q, of in every.items()}
+    floors = {q: keyword_blocks.STEP * int(every[q][ds[-1]] / keyword_blocks.STEP) for q, ds in best.items() if len(ds) == 5 and q % 3}
+    for least in (None, floors):
+        found = met_blocks(texts, asked, 5, scheme, least)
+        assert found.keys() == best.keys()
+        for q, of in found.items():
+            assert all(abs(of[d] - every[q][d]) < 1e-8 for d in of)
+            assert sorted(of, key=lambda d: (-round(of[d], 9), d))[:5] == best[q]
+
+
+def test_a_block_sends_on_only_what_reaches_the_floor():
+    """Before, every block of documents sent on its k best, however many blocks there are."""
+    texts, asked = many_texts(np.random.default_rng(1), 400, 100), ["w1 w2 w3 w40", "w5 w50", "w7"]
+    every = every_score(texts, asked, "bm25")
+    floors = {0: sorted(every[0].values())[-2] - 1e-6, 1: max(every[1].values()) + 1}
+    found = met_blocks(texts, asked, 5, "bm25", floors)
+    assert len(found[0]) == 2 and 1 not in found and len(found[2]) >= 5
+
+
+def test_blocks_cut_words_as_the_postings_do(spark):
+    texts = ["a\x0bb\fc\rd", " \n a  a\t", "x\u00a0y\u2003z\x1cw\x85v", "", " ", None, "\u0130 \u03a3\u03a3 B", "b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(2)
+    block, posted = keyword_blocks.BlockIndex.build(docs), keyword.KeywordIndex.over(docs)
+    assert rows(block.terms, "term", "df", "n", "average") == rows(posted.terms, "term", "df", "n", "average")
+    words = sum(len([w for w in re.split("[ \\t\\n\\x0b\\f\\r]+", t or "") if w]) for t in texts)
+    assert block.corpus.first()["total"] == words
+
+
+def test_most_blocks_are_searched_with_floors(spark, monkeypatch):
+    """The later blocks send on few of the pairs that are met, and the hits are the same."""
+    monkeypatch.setattr(keyword_blocks, "BLOCK_TOKENS", 400)
+    sent = spark.sparkContext.accumulator(0)
+    meeting = keyword_blocks._meeting
+
+    def counted(k, scheme):
+        run = meeting(k, scheme)
+
+        def counting(batches):
+            for batch in run(batches):
+                sent.add(batch.num_rows)
+                yield batch
+        return counting
+
+    monkeypatch.setattr(keyword_blocks, "_meeting", counted)
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame(list(enumerate(many_texts(rng, 1500, 200))), "doc_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(many_texts(rng, 40, 200))), "query_id long, query string")
+    index = keyword_blocks.BlockIndex.build(docs)
+    n = index.blocks.count()
+    got = rows(index.search(queries, 3))
+    assert n >= 64 and got == rows(keyword.keyword_topk(queries, docs, 3))
+    assert sent.value < 0.6 * 3 * 40 * n
+
+
 def test_hashing_encoder_is_stable_and_unit_length():
     vectors_, statuses = encoding.HashingEncoder().encode(["a b a", "a b a", "", None])
     assert np.array_equal(vectors_[0], vectors_[1]) and np.isclose(vectors_[0] @ vectors_[0], 1)
